@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from petriflow.llm.html_extract import op3_html_extraction
+from petriflow.llm.mixing import op10_mixing
+from petriflow.llm.quality import op4_quality_classifier
 from petriflow.llm.sharding import op8_sharding
 from petriflow.llm.simhash import op9_simhash_near_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_html_extraction": op3_html_extraction,
+        "op4_quality_classifier": op4_quality_classifier,
         "op8_sharding": op8_sharding,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_mixing": op10_mixing,
     }
 
 
