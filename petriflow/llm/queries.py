@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from petriflow.llm.ann import op7_nearest_neighbours
 from petriflow.llm.html_extract import op3_html_extraction
 from petriflow.llm.mixing import op10_mixing
 from petriflow.llm.quality import op4_quality_classifier
@@ -13,6 +14,7 @@ def queries() -> dict:
     return {
         "op3_html_extraction": op3_html_extraction,
         "op4_quality_classifier": op4_quality_classifier,
+        "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_sharding": op8_sharding,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mixing": op10_mixing,
