@@ -8,12 +8,14 @@ from petriflow.llm.mixing import op10_mixing
 from petriflow.llm.quality import op4_quality_classifier
 from petriflow.llm.sharding import op8_sharding
 from petriflow.llm.simhash import op9_simhash_near_dedup
+from petriflow.llm.substring_dedup import op6_substring_dedup
 
 
 def queries() -> dict:
     return {
         "op3_html_extraction": op3_html_extraction,
         "op4_quality_classifier": op4_quality_classifier,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_sharding": op8_sharding,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
