@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from petriflow.llm.common import partitions, utf8
 from petriflow.llm.ngrams import pieces
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
 #: Buckets of the key space: so many for each shuffle partition, and more where a bucket would get more than BUCKET_BYTES of text.
 BUCKETS_PER_PARTITION, BUCKET_BYTES = 6, 32 << 20
 
@@ -69,7 +69,7 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             return pa.RecordBatch.from_arrays([pa.array([first + k], pa.int64()), ids, pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([body], pa.binary())], ["block", "ids", "sizes", "body"])
 
         for batch in batches:
-            for b in pieces(batch, "text", BLOCK_BYTES):
+            for b in pieces(batch, "text", BLOCK_BYTES // 8):
                 held.append(b)
                 size += int(utf8(b.column(1))[1][-1])
                 if size >= BLOCK_BYTES:
