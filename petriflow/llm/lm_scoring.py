@@ -56,12 +56,14 @@ class _Block:
                 last, g = g, np.empty_like(self.h)
                 g[1:] = mix(last[:-1] * _CHAIN + self.h[1:] + np.uint64(k))
             there = np.flatnonzero(place >= k - 1)
-            keys, first, inverse = np.unique(g[there], return_index=True, return_inverse=True)
+            keys, inverse = np.unique(g[there], return_inverse=True)
             full = np.full(len(self.h), -1, np.int64)
             full[there] = inverse
+            at = np.empty(len(keys), np.int64)
+            at[inverse] = there
             self.keys.append(keys)
             self.inverse.append(full)
-            self.at.append(there[first])
+            self.at.append(at)
             self.counts.append(np.bincount(inverse[learns[there]], minlength=len(keys)))
 
 
