@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from petriflow.llm.ann import op7_nearest_neighbours
 from petriflow.llm.html_extract import op3_html_extraction
+from petriflow.llm.line_dedup import op1_line_dedup
 from petriflow.llm.lm_scoring import op2_lm_scoring
 from petriflow.llm.mixing import op10_mixing
 from petriflow.llm.quality import op4_quality_classifier
@@ -14,6 +15,7 @@ from petriflow.llm.substring_dedup import op6_substring_dedup
 
 def queries() -> dict:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_lm_scoring": op2_lm_scoring,
         "op3_html_extraction": op3_html_extraction,
         "op4_quality_classifier": op4_quality_classifier,
