@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from petriflow.llm.ann import op7_nearest_neighbours
+from petriflow.llm.decontaminate import op5_decontamination
 from petriflow.llm.html_extract import op3_html_extraction
 from petriflow.llm.line_dedup import op1_line_dedup
 from petriflow.llm.lm_scoring import op2_lm_scoring
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op2_lm_scoring": op2_lm_scoring,
         "op3_html_extraction": op3_html_extraction,
         "op4_quality_classifier": op4_quality_classifier,
+        "op5_decontamination": op5_decontamination,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_nearest_neighbours": op7_nearest_neighbours,
         "op8_sharding": op8_sharding,
