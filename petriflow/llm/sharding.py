@@ -123,3 +123,8 @@ def op8_sharding(spark, sf_dir: str) -> DataFrame:
     slim = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = uniform_shards(slim)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def shard_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the documents with their shard and slot."""
+    return uniform_shards(docs)

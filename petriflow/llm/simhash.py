@@ -181,3 +181,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the first row of each group of near copies."""
+    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    first = near_duplicates(rows, "_row").where("id = component").select(F.col("id").alias("_row"))
+    return rows.join(save(first, "first"), "_row", "left_semi").select(*docs.columns)
