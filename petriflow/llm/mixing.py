@@ -63,25 +63,27 @@ def with_posteriors(docs: DataFrame, models: list[Linear], text_col: str = "text
     return docs.mapInArrow(run, schema)
 
 
-def rate(steps: list[np.ndarray]) -> F.Column:
-    """The rate that a row's posteriors and the steps so far give."""
+def rate(steps: list[np.ndarray], most: float | None = None) -> F.Column:
+    """The rate that a row's posteriors and the steps so far give, `most` at most."""
     r = F.lit(1.0)
     for g in steps:
         r = F.greatest(F.lit(0.0), r - sum(F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS, g, strict=True)))
+        r = r if most is None else F.least(F.lit(float(most)), r)
     return r
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors: dict[str, float] | None = None) -> F.Column:
+def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors: dict[str, float] | None = None, most: float | None = None) -> F.Column:
     """The expression of the fitted rate over `rows` (with n_tokens and posteriors).
 
-    targets: wanted share of all tokens by domain; factors: wanted multiple of a domain's own expected tokens.
+    targets: wanted share of all tokens by domain; factors: wanted multiple of a domain's own expected tokens;
+    most: an upper bound of the rates.
     """
     k, steps, want = len(DOMAINS), [], None
     p = [F.col(f"p_{d}") for d in DOMAINS]
     t = F.col("n_tokens").cast("double")
     best: tuple[float, int] = (float("inf"), 0)
     for _ in range(ITERATIONS + 1):
-        r = rate(steps)
+        r = rate(steps, most)
         aggs = [F.sum(r * t * x) for x in p] + [F.sum(F.when(F.col("_r") > 0, t * p[i] * p[j])) for i in range(k) for j in range(k)]
         got = np.array([x or 0.0 for x in rows.withColumn("_r", r).agg(*aggs).first()])
         now, gram = got[:k], got[k:].reshape(k, k)
@@ -95,7 +97,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors:
         if size <= TOLERANCE * max(total, 1.0):
             break
         steps.append(np.linalg.lstsq(gram + 1e-9 * np.eye(k) * max(np.trace(gram), 1e-9), off, rcond=None)[0])
-    return rate(steps[: best[1]])
+    return rate(steps[: best[1]], most)
 
 
 def mix_to_targets(docs: DataFrame, models: list[Linear], **wanted) -> DataFrame:
@@ -112,9 +114,9 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 
 def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as its rate says; toxic tokens go to zero, the other domains keep theirs."""
+    """Pipeline stage: toxic tokens go to zero, the other domains keep theirs; rates are 1 at most, so no document is repeated."""
     models = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = mix_to_targets(docs, models, factors={"good": 1.0, "poor": 1.0, "toxic": 0.0})
+    rated = mix_to_targets(docs, models, factors={"good": 1.0, "poor": 1.0, "toxic": 0.0}, most=1.0)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
     copies = F.floor(F.round(F.col("rate") * GRAIN) / GRAIN + chance).cast("int")
     return rated.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
