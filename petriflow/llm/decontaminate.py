@@ -26,10 +26,11 @@ from petriflow.llm.common import save, utf8, words
 from petriflow.llm.exchange import expand, squeeze
 from petriflow.llm.ngrams import pieces
 
-ITEMS, RANK, PASSES = 256, 256, 2
+ITEMS, RANK, PASSES = 224, 240, 1
 COSINE, LCS, LOOSE_LCS, ANSWER = 0.3, 0.8, 0.6, 0.8
-#: Terms in more than this share of a block's items, and in more than two, carry no weight; the check of order still uses them.
-COMMON = 0.1
+#: Terms in more than this share of the passages, and in more than COMMON_COUNT, carry no weight, but for the RARE rarest terms of an
+#: item; the check of order uses all terms.
+COMMON, COMMON_COUNT, RARE = 0.02, 1000, 3
 _CHUNK, _NNZ = 256, 16384
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -57,13 +58,17 @@ class Block:
         self.items = [seq[row == i] for i in range(n)]
         sizes = np.bincount(row, minlength=n)
         self.stride = int(np.clip(np.ceil(np.percentile(sizes, 90)) if n else 0, 8, 256))
-        spread = np.zeros(len(self.terms), np.int64)
-        for s in self.items:
-            spread[np.unique(s)] += 1
-        self.weighs = spread <= max(2, COMMON * n)
+        self.weighs = np.ones(len(self.terms), bool)
         self.kind = np.uint16 if len(self.terms) < 65535 else np.uint32
         self.none = np.iinfo(self.kind).max
 
+    def weigh(self, df: np.ndarray, passages: float) -> None:
+        """Take the weight from common terms."""
+        self.weighs = df <= max(COMMON * passages, COMMON_COUNT)
+        for s in self.items:
+            t = np.unique(s)
+            self.weighs[t[np.argsort(df[t], kind="stable")[:RARE]]] = True
+
     def sequence(self, h: np.ndarray) -> np.ndarray:
         if not len(self.terms):
             return np.full(len(h), self.none, self.kind)
@@ -169,6 +174,7 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
     df = np.zeros(len(b.terms) + 1)
     df[got.column(0).to_numpy()] = got.column(1).to_numpy()
     passages = max(float(df[-1]), 1.0)
+    b.weigh(df[:-1], passages)
     idf = np.log((passages + len(items)) / (df[:-1] + 1)).clip(1e-6)
 
     def rows_of(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -206,7 +212,12 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
         return own
 
     rank = min(RANK, len(b.terms))
-    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(b.terms), rank)))[0].astype(np.float32)
+    # the range finder starts from the items' own directions and random ones
+    q = np.random.default_rng(seed).standard_normal((len(b.terms), rank)) / np.sqrt(len(b.terms))
+    q[:, : min(rank, len(b.items))] *= 0.01
+    inside = item_row < rank
+    np.add.at(q, (item_term[inside], item_row[inside]), item_val[inside])
+    q = np.linalg.qr(q)[0].astype(np.float32)
     for _ in range(PASSES):
         left, _, _ = np.linalg.svd(grams(q).astype(np.float64), full_matrices=False)
         q = left.astype(np.float32)
