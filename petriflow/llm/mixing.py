@@ -26,7 +26,7 @@ from petriflow.llm.ngrams import SHAPES, TRIGRAMS, WORDS, Linear, fit, indicator
 
 DOMAINS = ("good", "poor", "toxic")
 #: Labelled rows that the classifier is fitted on at most.
-MAX_TRAIN = 4000
+MAX_TRAIN = 3000
 #: Posteriors below it count as 0.
 LEAST_POSTERIOR = 0.05
 #: Shares of all tokens that the production query mixes to.

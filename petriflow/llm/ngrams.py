@@ -97,14 +97,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, dims: int, c: float = 4.0, epochs
     """
     n, ones = len(rows), int(y.sum())
     if not 0 < ones < n:
-        return Linear(np.zeros(dims), np.zeros(dims), 0.0, 0.0, float(np.log((ones + 1) / (n - ones + 1))))
+        return Linear(np.zeros(dims, np.float32), np.zeros(dims, np.float32), 0.0, 0.0, float(np.log((ones + 1) / (n - ones + 1))))
     counts = np.full((2, dims), alpha)
     for x, k in zip(rows, y, strict=True):
         counts[int(k), x] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[(counts == alpha).all(axis=0)] = 0
-    values = [ratio[x] for x in rows]
-    values = [v / norm if (norm := float(np.sqrt(v @ v))) else v for v in values]
+    short = ratio.astype(np.float32)
+    values = [v / norm if (norm := float(np.sqrt(v @ v))) else v for v in (short[x] for x in rows)]
     sign = np.where(y > 0, 1.0, -1.0)
     cost = np.where(y > 0, c * n / (2 * ones), c * n / (2 * (n - ones)))
     w, b, dual = np.zeros(dims), 0.0, np.zeros(n)
@@ -125,7 +125,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, dims: int, c: float = 4.0, epochs
                     most = max(most, abs(g))
         if most < 1e-3:
             break
-    out = Linear(w * ratio, ratio * ratio, b, 1.0, 0.0)
+    out = Linear((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), b, 1.0, 0.0)
     m = np.array([w[x] @ v for x, v in zip(rows, values, strict=True)]) + b
     target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (n - ones + 2))
     slope, shift = 1.0, 0.0
@@ -154,4 +154,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int, with_words: boo
     got = joined.mapInArrow(run, f"id {kind}, y int, found array<int>").orderBy(F.xxhash64("id"), "id", "y").limit(most).toArrow()
     found = got.column("found").combine_chunks()
     flat, off = found.values.to_numpy(), found.offsets.to_numpy()
-    return [flat[a:b].astype(np.int64) for a, b in zip(off, off[1:], strict=False)], got.column("y").to_numpy()
+    rows, y = [flat[a:b].copy() for a, b in zip(off, off[1:], strict=False)], got.column("y").to_numpy().copy()
+    del got, found, flat
+    pa.default_memory_pool().release_unused()
+    return rows, y
