@@ -127,9 +127,10 @@ def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", tex
 
 def remove_lines(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the matched lines taken out of the text."""
-    what = decisions(docs, t, id_col, text_col).select(F.col("id").alias("_id"), F.col("removed").alias("_removed"))
-    kept = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> not array_contains(_removed, i)), '\\n')")
-    return docs.join(what, docs[id_col].eqNullSafe(what["_id"]), "left").withColumn(text_col, kept).select(*docs.columns)
+    what = decisions(docs, t, id_col, text_col).select("id", F.col("removed").alias("gone"))
+    whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("key"))
+    kept = F.expr(f"array_join(filter(split(doc.`{text_col}`, '\n'), (x, i) -> not array_contains(gone, i)), '\n')")
+    return whole.join(what, F.col("key").eqNullSafe(F.col("id")), "left").select("doc.*", kept.alias("kept_text")).select(*[F.col("kept_text").alias(c) if c == text_col else c for c in docs.columns])
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -116,7 +116,8 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: toxic tokens go to zero, the other domains keep theirs; rates are 1 at most, so no document is repeated."""
     models = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rated = mix_to_targets(docs, models, factors={"good": 1.0, "poor": 1.0, "toxic": 0.0}, most=1.0)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", "text")
+    rated = mix_to_targets(rows, models, factors={"good": 1.0, "poor": 1.0, "toxic": 0.0}, most=1.0)
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / (1 << 20)
     copies = F.floor(F.round(F.col("rate") * GRAIN) / GRAIN + chance).cast("int")
-    return rated.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return rated.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).select("doc.*")

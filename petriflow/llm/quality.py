@@ -38,6 +38,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 def with_score(docs: DataFrame, model: Linear, text_col: str = "text", least: float | None = None) -> DataFrame:
     """docs with a column `score`; least: only rows that score so much, and no such column."""
+    docs = docs.drop("score") if least is None else docs
     names = docs.columns
     at = names.index(text_col)
 

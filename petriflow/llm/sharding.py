@@ -80,9 +80,9 @@ def uniform_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, rows
     """df with `shard` (int) and `slot` (long): a uniform random order cut into shards whose row counts differ by one at most."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    kept = [c for c in df.columns if c not in ("shard", "slot")]
-    fixed = save(df.select(*kept, F.monotonically_increasing_id().alias("_row")), "dealt")
-    found = fixed.groupBy(F.shiftright("_row", 33).alias("p")).count().orderBy("p").collect()  # a row for each partition
+    doc = F.struct(*[c for c in df.columns if c not in ("shard", "slot")])  # names inside cannot clash with those below
+    fixed = save(df.select(doc.alias("doc"), F.monotonically_increasing_id().alias("row")), "dealt")
+    found = fixed.groupBy(F.shiftright("row", 33).alias("p")).count().orderBy("p").collect()  # a row for each partition
     ids, counts = [r["p"] for r in found], [r["count"] for r in found]
     n = sum(counts)
     blocks = max(MIN_BLOCKS, -(-n // (n_shards * rows_per_cell)))
@@ -107,14 +107,12 @@ def uniform_shards(df: DataFrame, n_shards: int = SHARDS, seed: int = SEED, rows
         key = mix(mix(r.astype(np.uint64) + np.uint64(seed)) + np.uint64(0x632BE59BD9B4E019))
         return pd.DataFrame({"cell": cell, "key": key.view(np.int64)})
 
-    out = fixed.withColumn("_to", deal("_row"))
-    shard, block = F.floor(F.col("_to.cell") / blocks), F.col("_to.cell") % blocks
-    per_shard = F.lit(n // n_shards) + (F.col("_shard") < n % n_shards).cast("long")
-    rank = F.row_number().over(Window.partitionBy("_cell").orderBy("_key", "_row"))
-    out = out.select(*kept, "_row", F.col("_to.cell").alias("_cell"), F.col("_to.key").alias("_key"), shard.cast("int").alias("_shard"), block.cast("long").alias("_block"))
-    each = F.floor(per_shard / blocks)
-    offset = F.col("_block") * each + F.least(F.col("_block"), per_shard % blocks)
-    return out.select(*kept, F.col("_shard").alias("shard"), (offset + rank - 1).cast("long").alias("slot"))
+    out = fixed.withColumn("to", deal("row")).select("doc", "row", "to.cell", "to.key")
+    out = out.withColumn("shard", F.floor(F.col("cell") / blocks).cast("int")).withColumn("block", (F.col("cell") % blocks).cast("long"))
+    per_shard = F.lit(n // n_shards) + (F.col("shard") < n % n_shards).cast("long")
+    before = F.col("block") * F.floor(per_shard / blocks) + F.least(F.col("block"), per_shard % blocks)
+    rank = F.row_number().over(Window.partitionBy("cell").orderBy("key", "row"))
+    return out.withColumn("slot", (before + rank - 1).cast("long")).select("doc.*", "shard", "slot")
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:

@@ -185,6 +185,6 @@ def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the first row of each group of near copies."""
-    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    first = near_duplicates(rows, "_row").where("id = component").select(F.col("id").alias("_row"))
-    return rows.join(save(first, "first"), "_row", "left_semi").select(*docs.columns)
+    rows = save(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    first = near_duplicates(rows, "row", "doc.text").where("id = component").select(F.col("id").alias("row"))
+    return rows.join(save(first, "first"), "row", "left_semi").select("doc.*")
