@@ -101,9 +101,10 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors:
 
 
 def mix_to_targets(docs: DataFrame, models: list[Linear], **wanted) -> DataFrame:
-    """docs with n_tokens, posteriors and the fitted `rate`."""
-    rows = save(with_posteriors(docs, models), "posteriors")
-    return rows.withColumn("rate", fit_rates(rows, **wanted))
+    """docs with n_tokens, posteriors and the fitted `rate`; texts are not written, but scored once more with the fitted rates."""
+    slim = docs.select(F.col("text"))
+    rows = save(with_posteriors(slim, models).drop("text"), "posteriors")
+    return with_posteriors(docs, models).withColumn("rate", fit_rates(rows, **wanted))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from petriflow.llm.common import components, partitions, save
 
@@ -184,7 +185,11 @@ def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the first row of each group of near copies."""
-    rows = save(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
-    first = near_duplicates(rows, "row", "doc.text").where("id = component").select(F.col("id").alias("row"))
-    return rows.join(save(first, "first"), "row", "left_semi").select("doc.*")
+    """Pipeline stage: one row of each group of near copies, that of the smallest id (ties: of the smallest hash of the text).
+
+    Rows are known by id and hash of the text, so the texts need not be written to be numbered."""
+    keyed = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")).alias("key"))
+    first = near_duplicates(keyed, "key", "doc.text").where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("one")).distinct()
+    kept = keyed.join(save(first, "first"), F.expr("key.d <=> one.d and key.h <=> one.h"), "left_semi")
+    again = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # rows that repeat id and text are alike
+    return kept.withColumn("again", again).where("again = 1").select("doc.*")
