@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.operators.graph import components
 from petriflow.operators.spatial import eps_neighbours
 
 
@@ -154,17 +155,9 @@ def dbscan(points: DataFrame, eps: float, min_points: int, *key: str) -> DataFra
     flags = points.select(*key, "id").join(counts, [*key, "id"], "left").select(*key, "id", (F.coalesce("n", F.lit(0)) + 1 >= min_points).alias("core"))
     cores = flags.where("core").select(*key, "id")
     links = near.join(cores.withColumnRenamed("id", "i"), [*key, "i"]).join(cores.withColumnRenamed("id", "j"), [*key, "j"])
-    label = cores.withColumn("cluster", F.col("id"))
-    links = links.select(*key, "i", "j").persist()
-    moved = 1
-    while moved:  # labels spread along links; each round also halves chains by jumping to the label's own label
-        up = label.select(*key, F.col("id").alias("j"), F.col("cluster").alias("c"))
-        low = links.join(up, [*key, "j"]).groupBy(*key, F.col("i").alias("id")).agg(F.min("c").alias("c"))
-        new = label.join(low, [*key, "id"], "left").select(*key, "id", F.least("cluster", F.coalesce("c", "cluster")).alias("m"), "cluster")
-        jump = new.select(*key, F.col("id").alias("m"), F.col("m").alias("mm"))
-        new = new.join(jump, [*key, "m"]).select(*key, "id", F.least("m", "mm").alias("m"), "cluster").checkpoint()
-        moved = new.where("m <> cluster").count()
-        label = new.select(*key, "id", F.col("m").alias("cluster"))
+    node = lambda c: F.struct(*key, F.col(c).alias("id"))
+    roots = components(links.where("i < j").select(node("i").alias("a"), node("j").alias("b"))).select(*[F.col(f"node.{k}").alias(k) for k in key], F.col("node.id").alias("id"), F.col("root.id").alias("root"))
+    label = cores.join(roots, [*key, "id"], "left").select(*key, "id", F.coalesce("root", "id").alias("cluster"))
     edge = near.join(label.withColumnRenamed("id", "j"), [*key, "j"]).groupBy(*key, F.col("i").alias("id")).agg(F.min_by("cluster", F.struct("d", "j")).alias("edge"))
     out = flags.join(label, [*key, "id"], "left").join(edge, [*key, "id"], "left")
     return out.select(*key, "id", "core", F.coalesce("cluster", F.when(~F.col("core"), F.col("edge"))).alias("cluster"))
