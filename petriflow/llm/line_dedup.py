@@ -1,135 +1,281 @@
-"""Exact set-similarity join of lines; later matches are removed. DataFrame functions only, no Python on the executors.
+"""Exact set-similarity join of lines; later matches are removed.
 
 A line is the set of its words. Words are ordered by rarity: a sketch of SLOTS counts over all words of the corpus, of a fixed
-size, gives each word one of 127 ranks, ties by hash. Two lines with Jaccard similarity T or more share a word among the first
+size, gives each word a rank, ties by hash. Two lines with Jaccard similarity T or more share a word among the first
 n - ceil(T n) + 1 of each (prefix filter); lengths, the places of the shared word and the parity of the words' hashes bound
 the overlap further (length, positional and bitmap filters); what is left is verified on the whole sets.
 
-A line is removed where an earlier line (by document id, line number) is equal to it or matches it. First each line is
-compared with the earliest line under each of its prefix words, which settles large groups of near copies at a cost linear in
-their size; lines that this leaves open are joined with all earlier ones. So no group is expanded into its pairs, and
-every removed line is named with an earlier line that it matches.
+A line is removed where an earlier line (by document id, line number) matches it; equal lines match. Texts travel in packed blocks, the
+prefix words in one sorted run for each block and bucket of words. Under each word the lines, in order, look for their FIRST
+earliest candidates; those settle large groups of near copies at a cost linear in their size. A line whose candidates all fail
+and which may have more looks for all of them in a second round. So no group is expanded into its pairs and no
+candidate is given up.
 
-Defined results: null texts have no lines; lines without words are kept; of equal lines the first is kept; rows that repeat an id
-are taken together, their lines being in the same places; null ids come first in the order; an empty table gives no rows.
+Defined results: null texts have no lines; lines without words are kept; rows that repeat an id are taken in an order of their own, so
+the later one loses the lines of the first; null ids come first; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from petriflow.llm.common import save
+from petriflow.llm.common import mix, save, words
+from petriflow.llm.exchange import ask, buckets_for, expand, pack, pack_numbers, squeeze, text_blocks, unblock, unpack, unpack_numbers
 
 THRESHOLD = 0.8
-#: Counts in the rarity sketch, and marks in the filter of lines to verify: constants of the plan, whatever the input's size.
-SLOTS, MARKS = 1 << 20, 1 << 21
-
-
-def split_words(text: Column) -> Column:
-    """Pieces between white space, some of them empty."""
-    return F.split(F.translate(text, "\n\t\x0b\x0c\r", "     "), " ")
-
-
-def hashes(line: Column) -> Column:
-    """The distinct 64-bit hashes of a line's words."""
-    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
-
-
-def byte_at(table: bytes, slot: Column) -> Column:
-    """A byte (below 128) of a constant table."""
-    return F.ascii(F.substring(F.lit(table), slot.cast("int") + 1, F.lit(1)).cast("string"))
-
-
-def rarity(docs: DataFrame) -> bytes:
-    """Ranks 1 to 127 of the slots by how many words of the corpus fall into each."""
-    slot = F.xxhash64("w").bitwiseAND(F.lit(SLOTS - 1))
-    counts = docs.select(F.explode(split_words(F.col("text"))).alias("w")).where("w <> ''").groupBy(slot.alias("slot")).count().toArrow()
-    full = np.zeros(SLOTS, np.int64)
-    full[counts.column("slot").to_numpy()] = counts.column("count").to_numpy()
-    return np.minimum(127, 1 + 3 * np.log2(full + 1)).astype(np.uint8).tobytes()
-
-
-def lines(docs: DataFrame) -> DataFrame:
-    """(id, no, line, k, k2): k and k2 are two hashes of the line."""
-    out = docs.select("id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return out.withColumn("k", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit(1), "line"))
-
-
-def signatures(found: DataFrame, ranks: bytes, t: float) -> DataFrame:
-    """With n (words of the line), sig (parity of their hashes) and pre (its prefix words, rarest first)."""
-    keys = F.sort_array(F.transform("h", lambda h: F.shiftleft(byte_at(ranks, h.bitwiseAND(F.lit(SLOTS - 1))).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
-    sig = "aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 20) & 63 as int)))"
-    out = found.withColumn("h", hashes(F.col("line"))).withColumn("n", F.size("h"))
-    reach = F.col("n") - F.ceil(F.col("n") * t - 1e-9).cast("int") + 1
-    return out.select("id", "no", "k", "k2", "n", F.expr(sig).alias("sig"), F.when(F.col("n") > 0, F.slice(keys, F.lit(1), reach)).alias("pre"))
-
-
-def _close(t: float) -> Column:
-    """Length, positional and bitmap filters between row x and an earlier row y under one shared prefix word."""
-    c = F.col
-    need = F.ceil((c("x.n") + c("y.n")) * (t / (1 + t)) - 1e-9)
-    length = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * t - 1e-9
-    place = F.least(c("x.n") - c("x.at"), c("y.n") - c("y.at")) >= need
-    differ = F.bit_count(c("x.sig").bitwiseXOR(c("y.sig"))) <= c("x.n") + c("y.n") - 2 * need
-    return (c("y.first") < c("x.first")) & length & place & differ
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """The pairs (k, other, first) whose lines' whole word sets reach similarity t."""
-    wanted = save(pairs.select(F.explode(F.array("k", "other")).alias("k")).distinct(), "wanted")
-    slot = F.shiftrightunsigned("k", 7).bitwiseAND(F.lit(MARKS - 1))
-    marks = np.zeros(MARKS, np.uint8)
-    marks[wanted.select(slot.alias("s")).distinct().toArrow().column("s").to_numpy()] = 1  # MARKS numbers at most
-    some = lines(docs).where(byte_at(marks.tobytes(), slot) == 1).select("k", "k2", "line")
-    some = some.join(wanted, "k", "left_semi").groupBy("k", "k2").agg(F.first("line").alias("line")).select("k", hashes(F.col("line")).alias("h"))
-    some = save(some, "sets")
-    both = pairs.join(some, "k").join(some.select(F.col("k").alias("other"), F.col("h").alias("g")), "other")
-    shared = F.size(F.array_intersect("h", "g"))
-    return both.where(shared >= t * (F.size("h") + F.size("g") - shared) - 1e-9).select("k", "other", "first")
-
-
-def match_lines(docs: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """docs: (id, text). Returns (id, no, k, k2) of all lines, and (k, k2, first, match): of each distinct line its first place and
-    the place of the earliest known line that it matches, null if none is earlier."""
-    ranks = rarity(docs)
-    every = save(signatures(lines(docs), ranks, t), "lines")
-    place = F.struct("id", "no", "k")
-    distinct = every.groupBy("k", "k2").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("pre").alias("pre"))
-    distinct = save(distinct, "distinct")
-    words = distinct.where("n > 0").select("k", "first", "n", "sig", F.posexplode("pre").alias("at", "word"))
-    # against the earliest line under each word
-    lowest = words.groupBy("word").agg(F.min(F.struct("first", "k", "n", "sig", "at")).alias("low")).select("word", "low.*")
-    near = words.alias("x").join(lowest.alias("y"), F.expr("x.word = y.word") & _close(t))
-    near = save(near.select(F.col("x.k").alias("k"), F.col("y.k").alias("other"), F.col("y.first").alias("first")).distinct(), "near")
-    settled = save(_verified(docs, near, t).groupBy("k").agg(F.min("first").alias("match")), "settled")
-    # lines that are still open against all earlier ones
-    opened = distinct.where("n > 0").join(settled, "k", "left_anti").select("k", "first", "n", "sig", F.posexplode("pre").alias("at", "word"))
-    far = opened.alias("x").join(words.alias("y"), F.expr("x.word = y.word") & _close(t))
-    far = save(far.select(F.col("x.k").alias("k"), F.col("y.k").alias("other"), F.col("y.first").alias("first")).distinct(), "far")
-    later = _verified(docs, far, t).groupBy("k").agg(F.min("first").alias("match"))
-    return every.select("id", "no", "k", "k2"), distinct.select("k", "k2", "n", "first").join(settled.union(later), "k", "left")
-
-
-def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_removed, removed): one row per distinct id; removed lists the numbers (from 0) of the lines that go."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    every, found = match_lines(slim, t)
-    goes = F.col("match").isNotNull() | (F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.no") == F.col("no"))).eqNullSafe(F.lit(False))
-    per_line = every.join(found, ["k", "k2"]).select("id", "no", (goes & (F.col("n") > 0)).alias("goes"))
-    per_doc = per_line.groupBy("id").agg(F.countDistinct("no").alias("n_lines"), F.array_sort(F.collect_set(F.when(F.col("goes"), F.col("no")))).alias("removed"))
-    ids = slim.select("id").distinct().withColumnRenamed("id", "i")
-    out = ids.join(per_doc, ids["i"].eqNullSafe(per_doc["id"]), "left")
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(F.col("i").alias("id"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+SLOTS, FIRST = 1 << 20, 4
+#: Lines looked at together, and the bits of a word's key: a rank of 7 bits and a hash.
+_LINES, _KEY = 1 << 20, 44
+
+
+def line_offsets(data: np.ndarray, off: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all lines of a block, and how many lines each document has."""
+    breaks = np.flatnonzero(data == 10) + 1
+    count = np.where(missing, 0, np.diff(np.searchsorted(breaks, off, side="right")) + 1)
+    starts = np.sort(np.concatenate([off[:-1][~missing], breaks]), kind="stable")
+    return np.append(starts, len(data)), count
+
+
+class _Lines:
+    """The lines of a block: their words in rank order, sizes, parities and prefixes."""
+
+    def __init__(self, line: dict, ranks: np.ndarray | None, t: float) -> None:
+        data, off = unblock(line["sizes"], line["body"])
+        self.missing = line["missing"].values.to_numpy(zero_copy_only=False).astype(bool)
+        self.off, self.count = line_offsets(data, off, self.missing)
+        self.n_lines = len(self.off) - 1
+        self.row, _, _, self.h = words(data, self.off, lower=False)
+        if ranks is None:
+            return
+        self.n = np.zeros(self.n_lines, np.int64)
+        self.sig = np.zeros(self.n_lines, np.uint64)
+        keys, lines, places = [], [], []
+        for base in range(0, self.n_lines, _LINES):
+            a, b = np.searchsorted(self.row, [base, base + _LINES])
+            h, r = self.h[a:b], (self.row[a:b] - base).astype(np.uint64)
+            once = np.unique(mix(h ^ (r * np.uint64(0x9E3779B97F4A7C15))), return_index=True)[1]  # a word counts once in a line
+            h, r = h[once], r[once]
+            both = (r << np.uint64(_KEY)) | (ranks[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(_KEY - 7)) | (h >> np.uint64(64 - _KEY + 7))
+            both.sort()
+            r, key = (both >> np.uint64(_KEY)).astype(np.int64), both & np.uint64((1 << _KEY) - 1)
+            if not len(r):
+                continue
+            begin = np.flatnonzero(np.diff(r, prepend=-1))
+            size = np.diff(np.append(begin, len(r)))
+            self.n[r[begin] + base] = size
+            self.sig[r[begin] + base] = np.bitwise_xor.reduceat(np.uint64(1) << ((key >> np.uint64(5)) & np.uint64(63)), begin)
+            place = np.arange(len(r)) - np.repeat(begin, size)
+            reach = size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
+            head = place < np.repeat(reach, size)
+            keys.append(key[head])
+            lines.append(r[head] + base)
+            places.append(place[head])
+        empty = np.zeros(0, np.int64)
+        self.keys, self.lines, self.places = (np.concatenate(x) if x else empty.astype(d) for x, d in ((keys, np.uint64), (lines, np.int64), (places, np.int64)))
+
+    def sets(self, wanted: np.ndarray, near: np.ndarray) -> Iterator[tuple[int, bytes, bytes | None]]:
+        """(line, digest, words if near) of lines: the digest is 128 bits of the set."""
+        edges = np.searchsorted(self.row, np.arange(self.n_lines + 1))
+        for i, full in zip(wanted.tolist(), near.tolist(), strict=True):
+            x = np.unique(self.h[edges[i] : edges[i + 1]])
+            two = np.array([mix(x).sum(), mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64)
+            yield i, two.tobytes(), squeeze(x.tobytes()) if full else None
+
+
+def _order(docs: DataFrame, id_col: str) -> Column:
+    """A number that ids are ordered by: themselves if whole numbers, else a hash; null comes first."""
+    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(-(1 << 63)))
+
+
+def _first_pass(blocks: DataFrame, t: float) -> tuple[DataFrame, np.ndarray]:
+    """(block, ids, count) of all blocks, and ranks of the slots by the words of the corpus."""
+    kind = blocks.schema["ids"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["block", "ids", "count", "slots"]
+        total = np.zeros(SLOTS, np.int64)
+        ids = None
+        for b in batches:
+            for i in range(b.num_rows):
+                line = {n: b.column(j)[i] for j, n in enumerate(b.schema.names)}
+                x = _Lines(line, None, t)
+                total += np.bincount((x.h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                ids = b.column(b.schema.get_field_index("ids"))
+                yield pa.RecordBatch.from_arrays([pa.array([line["block"].as_py()], pa.int64()), ids.slice(i, 1), pa.array([x.count.tolist()], pa.list_(pa.int64())), pa.array([None], pa.binary())], names)
+        if ids is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], ids.type), pa.array([None], pa.list_(pa.int64())), pa.array([pack_numbers(total)], pa.binary())], names)
+
+    out = save(blocks.mapInArrow(run, f"block long, ids {kind}, count array<long>, slots binary"), "lines")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.uint64)
+        for b in batches:
+            for x in b.column(0):
+                total += unpack_numbers(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([pack_numbers(total)], pa.binary())], ["slots"])
+
+    # sums of SLOTS numbers: one from each task, then one from each of a few partitions
+    parts = out.where("block < 0").select("slots").repartition(8).mapInArrow(add, "slots binary").toArrow().column(0)
+    total = np.zeros(SLOTS, np.uint64)
+    for x in parts:
+        total += unpack_numbers(x.as_py())
+    return out.where("block >= 0").drop("slots"), np.minimum(127, 1 + 3 * np.log2(total + 1.0)).astype(np.uint64)
+
+
+_FIELDS = ("line", "rank", "n", "place", "sig", "probe")
+
+
+def _candidates(blocks: DataFrame, ranks: np.ndarray, buckets: int, t: float, most: int | None) -> DataFrame:
+    """(block, line, to_block, to_line, alike, more): candidates of the probing lines (column open of blocks: their numbers; null: all)."""
+
+    def entries(line: dict) -> Iterator[pa.RecordBatch]:
+        x = _Lines(line, ranks, t)
+        if not len(x.keys):
+            return
+        doc = np.repeat(np.arange(len(x.count)), x.count)
+        order = line["orders"].values.to_numpy()
+        probe = np.ones(x.n_lines, np.uint64)
+        if line["open"].values is not None:
+            probe[:] = 0
+            probe[line["open"].values.to_numpy()] = 1
+        by = np.argsort(x.keys, kind="stable")
+        keys, lines = x.keys[by], x.lines[by]
+        # ids as unsigned numbers in the same order
+        rank = order.view(np.uint64) ^ np.uint64(1 << 63)
+        fields = (lines, rank[doc[lines]], x.n[lines], x.places[by], x.sig[lines], probe[lines])
+        bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+        to = np.argsort(bucket, kind="stable")
+        at = np.searchsorted(bucket[to], np.arange(buckets + 1))
+        full = np.flatnonzero(np.diff(at))
+        cut = [to[at[i] : at[i + 1]] for i in full.tolist()]
+        cols = [pa.array(full, pa.int32()), pa.array([line["block"].as_py()] * len(full), pa.int64()), pa.array([pack(keys[c]) for c in cut], pa.binary())]
+        cols += [pa.array([pack_numbers(f[c]) for c in cut], pa.binary()) for f in fields]
+        yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "keys", *_FIELDS])
+
+    def search(table: pa.Table) -> pa.Table:
+        runs = [unpack(x.as_py()) for x in table.column("keys")]
+        key = np.concatenate(runs)
+        block = np.repeat(table.column("block").to_numpy(), [len(x) for x in runs])
+        line, rank, n, place, sig, probe = (np.concatenate([unpack_numbers(x.as_py()) for x in table.column(f)]) for f in _FIELDS)
+        by = np.lexsort([line, block, rank, key])
+        key, block, line, sig, probe = key[by], block[by], line[by].astype(np.int64), sig[by], probe[by]
+        n, place = n[by].astype(np.int64), place[by].astype(np.int64)
+        begin = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
+        first = np.repeat(begin, np.diff(np.append(begin, len(key))))
+        live = np.flatnonzero((np.arange(len(key)) > first) & (probe > 0))
+        found = np.zeros(len(key), np.int64)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        d = 0
+        while len(live):
+            other = first[live] + d
+            a, b = n[live], n[other]
+            ok = np.flatnonzero(np.minimum(a, b) >= np.maximum(a, b) * t - 1e-9)
+            x, y = live[ok], other[ok]
+            need = np.ceil((n[x] + n[y]) * (t / (1 + t)) - 1e-9).astype(np.int64)
+            good = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
+            good &= np.bitwise_count(sig[x] ^ sig[y]) <= n[x] + n[y] - 2 * need
+            x, y = x[good], y[good]
+            if len(x):
+                out.append((x, y))
+                found[x] += 1
+            d += 1
+            live = live[(live > first[live] + d) & (True if most is None else found[live] < most)]
+        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (zip(*out, strict=True) if out else ((), ())))
+        more = found[x] >= most if most else np.zeros(len(x), bool)
+        alike = (sig[x] == sig[y]) & (n[x] == n[y])
+        return pa.table({"block": pa.array(block[x], pa.int64()), "line": pa.array(line[x], pa.int64()), "to_block": pa.array(block[y], pa.int64()), "to_line": pa.array(line[y], pa.int64()), "alike": pa.array(alike), "more": pa.array(more)})
+
+    kinds = "".join(f", {f} binary" for f in _FIELDS)
+    asked = ask(blocks, entries, f"bucket int, block long, keys binary{kinds}")
+    found = asked.groupBy("bucket").applyInArrow(search, "block long, line long, to_block long, to_line long, alike boolean, more boolean")
+    return found.groupBy("block", "line", "to_block", "to_line").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
+
+
+def _verified(blocks: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(block, line, more, match) of pairs: whether the lines' whole sets reach similarity t.
+
+    Pairs that look alike are compared by digest; the words are fetched for the others, and for those whose digests differ after all."""
+    done = save(_compared(blocks, pairs, t), "compared")
+    open_ = done.where("match is null").select("block", "line", "to_block", "to_line", F.lit(False).alias("alike"), "more")
+    out = done.where("match is not null").select("block", "line", "more", "match")
+    return out if open_.isEmpty() else out.union(_compared(blocks, open_, t).select("block", "line", "more", "match"))
+
+
+def _compared(blocks: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    wanted = pairs.select("block", "line", "alike").union(pairs.select("to_block", "to_line", "alike")).groupBy("block", "line").agg(F.max(~F.col("alike")).alias("near"))
+    wanted = wanted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("line", "near"))).alias("wanted"))
+
+    def pick(line: dict) -> Iterator[pa.RecordBatch]:
+        x = _Lines(line, None, t)
+        w = line["wanted"].values
+        got = list(x.sets(w.field(0).to_numpy(), w.field(1).to_numpy(zero_copy_only=False)))
+        yield pa.RecordBatch.from_arrays([pa.array([line["block"].as_py()] * len(got), pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], ["block", "line", "digest", "words"])
+
+    sets = save(ask(blocks.join(wanted, "block"), pick, "block long, line long, digest binary, words binary"), "sets")
+    a = sets.select("block", "line", F.col("digest").alias("da"), F.col("words").alias("wa"))
+    b = sets.select(F.col("block").alias("to_block"), F.col("line").alias("to_line"), F.col("digest").alias("db"), F.col("words").alias("wb"))
+    both = pairs.join(a, ["block", "line"]).join(b, ["to_block", "to_line"])
+    both = both.withColumn("same", F.col("da") == F.col("db"))
+    both = both.select("block", "line", "to_block", "to_line", "alike", "more", "same", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in ("wa", "wb")])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for alike, same, wa, wb in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist(), batch.column(7), batch.column(8), strict=True):
+                if not same and alike:
+                    same = None
+                elif not same:
+                    x, y = (np.frombuffer(expand(w.as_py()), np.uint64) for w in (wa, wb))
+                    k = len(np.intersect1d(x, y, assume_unique=True))
+                    same = k >= t * (len(x) + len(y) - k) - 1e-9
+                ok.append(None if same is None else bool(same))
+            cols = [*batch.columns[:4], batch.column(5), pa.array(ok, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, ["block", "line", "to_block", "to_line", "more", "match"])
+
+    return both.mapInArrow(check, "block long, line long, to_block long, to_line long, more boolean, match boolean")
+
+
+def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", first: int = FIRST) -> DataFrame:
+    """(id, n_lines, n_removed, removed): one row per row of docs; removed lists the numbers (from 0) of the lines that go."""
+    named = docs.select(F.struct(F.col(id_col).alias("id"), _order(docs, id_col).alias("o"), F.col(text_col).isNull().alias("m")).alias("id"), F.col(text_col).alias("text"))
+    blocks = text_blocks(named, "id", "text").select("block", F.col("ids.id").alias("ids"), F.col("ids.o").alias("orders"), F.col("ids.m").alias("missing"), "sizes", "body")
+    blocks = save(blocks, "blocks")
+    buckets = buckets_for(blocks)
+    slim, ranks = _first_pass(blocks, t)
+    no_list = F.lit(None).cast("array<long>")
+    pairs = save(_candidates(blocks.withColumn("open", no_list), ranks, buckets, t, first), "pairs")
+    per_line = save(_verified(blocks, pairs, t).groupBy("block", "line").agg(F.max("match").alias("match"), F.max("more").alias("more")), "matched")
+    gone = per_line.where("match").select("block", "line")
+    again = per_line.where("not match and more").groupBy("block").agg(F.collect_list("line").alias("open"))
+    if not again.isEmpty():
+        again = save(again, "open")
+        rest = save(_candidates(blocks.join(again, "block", "left").withColumn("open", F.coalesce("open", F.array().cast("array<long>"))), ranks, buckets, t, None), "pairs")
+        gone = gone.union(_verified(blocks, rest, t).where("match").select("block", "line").distinct())
+    lost = gone.groupBy("block").agg(F.array_sort(F.collect_list("line")).alias("gone"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def tell(line: dict) -> Iterator[pa.RecordBatch]:
+        count = line["count"].values.to_numpy()
+        ends = np.cumsum(count)
+        lines = line["gone"].values.to_numpy() if line["gone"].values is not None else np.zeros(0, np.int64)
+        doc = np.searchsorted(ends, lines, side="right")
+        removed = [(lines[a:b] - (e - c)).tolist() for a, b, e, c in zip(np.searchsorted(doc, np.arange(len(count))), np.searchsorted(doc, np.arange(len(count)), side="right"), ends, count, strict=True)]
+        yield pa.RecordBatch.from_arrays([line["ids"].values, pa.array(count), pa.array([len(r) for r in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32()))], ["id", "n_lines", "n_removed", "removed"])
+
+    return ask(slim.join(lost, "block", "left").select("ids", "count", "gone"), tell, f"id {kind}, n_lines long, n_removed long, removed array<int>")
 
 
 def remove_lines(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the matched lines taken out of the text."""
+    """docs (one row per id) with the matched lines taken out of the text."""
     what = decisions(docs, t, id_col, text_col).select("id", F.col("removed").alias("gone"))
     whole = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("key"))
-    kept = F.expr(f"array_join(filter(split(doc.`{text_col}`, '\n'), (x, i) -> not array_contains(gone, i)), '\n')")
+    kept = F.expr(f"array_join(filter(split(doc.`{text_col}`, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n')")
     return whole.join(what, F.col("key").eqNullSafe(F.col("id")), "left").select("doc.*", kept.alias("kept_text")).select(*[F.col("kept_text").alias(c) if c == text_col else c for c in docs.columns])
 
 
