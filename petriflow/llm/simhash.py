@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from petriflow.llm.common import components, partitions, save
+from petriflow.llm.common import components, mix, partitions, save
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in one BK-tree at most.
@@ -184,12 +184,145 @@ def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+#: Near copies of the pipeline: five-word shingles, and the similarity from which documents are copies.
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a wide fingerprint, and the chance to miss a pair at the least similarity.
+WIDE, MISS = 4, 0.02
+_SMALL, _CHUNK = 8, 1 << 16
+
+
+def wide_fingerprint(text: bytes, width: int = WIDE_SHINGLE) -> np.ndarray:
+    """SimHash of WIDE * 64 bits: each shingle's XXH64 is spread over WIDE independent words."""
+    parts = text.lower().split()
+    out = np.zeros(WIDE, np.uint64)
+    if not parts:
+        return out
+    joined = b" ".join(parts)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    width = min(width, len(parts))
+    n = len(parts) - width + 1
+    set_bits = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, n, _STEP):
+        to = min(n, at + _STEP)
+        s, e = starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist()
+        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(s, e, strict=True)], np.uint64)
+        for j in range(WIDE):
+            x = mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF))
+            set_bits[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(set_bits * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def expected_distance(similarity: float) -> float:
+    """Share of bits in which fingerprints of sets with that Jaccard similarity differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def flood(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs within the radius: each row found is looked around from once, among rows not found yet."""
+    edges, rest = [], np.arange(len(fps))
+    while len(rest) > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            at = front.pop()
+            near = np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1) <= radius
+            new = rest[near].tolist()
+            edges += [(at, x) for x in new]
+            front += new
+            rest = rest[~near]
+    return edges
+
+
+def wide_links(nodes: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that connect nodes (node, f0..) whose wide fingerprints are as near as sets of that similarity are expected to be, and a
+    standard deviation more.
+
+    Bits are sampled into tables: k = log2(n) bits each, so a key holds about one unrelated node at any size, and as many tables as make the
+    chance of a similar pair to share no key MISS at most. Nodes of one key are compared in one task, _CHUNK at a time, later chunks with one
+    node of each group found before; edges form a forest, so a large group of copies costs what it has members."""
+    spark, bits = nodes.sparkSession, 64 * WIDE
+    far = expected_distance(similarity)
+    radius = int(np.ceil(bits * far + np.sqrt(bits * far * (1 - far))))
+    k = int(np.clip(np.ceil(np.log2(max(n, 2))), 12, 48))
+    tables = int(np.ceil(np.log(MISS) / np.log1p(-((1 - far) ** k))))
+    rng = np.random.default_rng(SEED)
+    pick = [rng.choice(bits, k, replace=False) for _ in range(tables)]
+    names = [f"f{j}" for j in range(WIDE)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = (np.uint64(1) << np.arange(k, dtype=np.uint64))[None, :]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                f = np.column_stack([b.column(1 + j).to_numpy().view(np.uint64) for j in range(WIDE)])
+                flat = np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
+                for t, p in enumerate(pick):
+                    key = mix((flat[:, p] * place).sum(axis=1, dtype=np.uint64) ^ mix(np.full(len(f), t + 1, np.uint64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", "node", *names])
+
+    columns = "".join(f", {x} long" for x in names)
+    dealt = nodes.select("node", *names).mapInArrow(deal, f"key long, node long{columns}").repartition(partitions(spark), "key").sortWithinPartitions("key")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for last, b in _with_last(batches):
+            x = np.column_stack([b.column(j).to_numpy().view(np.uint64) for j in range(2 + WIDE)])
+            if held:
+                x = np.concatenate([held.pop(), x])
+            begin = np.flatnonzero(np.diff(x[:, 0], prepend=x[0, 0] ^ np.uint64(1)))
+            edges: list[tuple[np.ndarray, np.ndarray]] = []
+            if not last:
+                tail = x[begin[-1] :]
+                x, begin = x[: begin[-1]], begin[:-1]
+                if len(tail) > _CHUNK:  # one key beyond a chunk: one node of each group goes on
+                    pairs = np.array(flood(tail[:, 2:], radius), np.int64).reshape(-1, 2)
+                    edges.append((tail[pairs[:, 0], 1], tail[pairs[:, 1], 1]))
+                    tail = np.delete(tail, pairs[:, 1], axis=0)
+                held.append(tail)
+            size = np.diff(np.append(begin, len(x)))
+            place = np.arange(len(x)) - np.repeat(begin, size)
+            small = np.repeat(size <= _SMALL, size)
+            for d in range(1, _SMALL):
+                i = np.flatnonzero(small & (place >= d))
+                i = i[np.bitwise_count(x[i, 2:] ^ x[i - d, 2:]).sum(axis=1) <= radius]
+                edges.append((x[i - d, 1], x[i, 1]))
+            for s, z in zip(begin[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
+                pairs = np.array(flood(x[s : s + z, 2:], radius), np.int64).reshape(-1, 2)
+                edges.append((x[s + pairs[:, 0], 1], x[s + pairs[:, 1], 1]))
+            a, c = (np.concatenate([e[j] for e in edges] or [np.zeros(0, np.uint64)]).view(np.int64) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
+
+    return dealt.mapInArrow(link, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component): documents whose five-word shingles reach the similarity, as wide fingerprints tell it, and those reachable through such."""
+    slim = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
+    names = [f"f{j}" for j in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = np.array([wide_fingerprint(x.as_py() or b"") for x in b.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, j].copy()) for j in range(WIDE))], ["id", *names])
+
+    columns = "".join(f", {x} long" for x in names)
+    prints = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}{columns}").withColumn("node", F.xxhash64(*names))
+    prints = save(prints, "prints")
+    nodes = save(prints.groupBy("node", *names).agg(F.min("id").alias("low")), "nodes")
+    roots = components(wide_links(nodes, nodes.count(), similarity))
+    rooted = save(nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    return prints.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
+
+
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each group of near copies, that of the smallest id (ties: of the smallest hash of the text).
+    """Pipeline stage: one row of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id (ties: of the
+    smallest hash of the text).
 
     Rows are known by id and hash of the text, so the texts need not be written to be numbered."""
     keyed = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")).alias("key"))
-    first = near_duplicates(keyed, "key", "doc.text").where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("one")).distinct()
+    first = similar_groups(keyed, "key", "doc.text").where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("one")).distinct()
     kept = keyed.join(save(first, "first"), F.expr("key.d <=> one.d and key.h <=> one.h"), "left_semi")
     again = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # rows that repeat id and text are alike
     return kept.withColumn("again", again).where("again = 1").select("doc.*")
