@@ -322,7 +322,10 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows are known by id and hash of the text, so the texts need not be written to be numbered."""
     keyed = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")).alias("key"))
-    first = similar_groups(keyed, "key", "doc.text").where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("one")).distinct()
-    kept = keyed.join(save(first, "first"), F.expr("key.d <=> one.d and key.h <=> one.h"), "left_semi")
+    groups = similar_groups(keyed, "key", "doc.text").where(F.col("id").eqNullSafe(F.col("component")))
+    first = save(groups.groupBy(F.col("id").alias("one")).agg(F.count("*").alias("n")), "first")
+    kept = keyed.join(first, F.expr("key.d <=> one.d and key.h <=> one.h"), "left_semi")
+    if first.where("n > 1").isEmpty():
+        return kept.select("doc.*")
     again = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # rows that repeat id and text are alike
     return kept.withColumn("again", again).where("again = 1").select("doc.*")
