@@ -136,3 +136,17 @@ def temporal_rates(series: DataFrame) -> DataFrame:
     move = F.sqrt((F.col("cx") - F.lag("cx").over(w)) ** 2 + (F.col("cy") - F.lag("cy").over(w)) ** 2) / dt
     steps = series.select("label", grow.alias("g"), step("mean_intensity").alias("i"), step("total_area").alias("a"), move.alias("s"))
     return steps.groupBy("label").agg(F.count("*").alias("n_times"), F.avg("g").alias("growth_rate"), F.avg("i").alias("intensity_rate"), F.avg("a").alias("area_rate"), F.avg("s").alias("speed")).where("n_times >= 2")
+
+
+def sample_counts(nuclei: DataFrame, *key: str) -> DataFrame:
+    """Clusters, nuclei, and the centroid of clusters weighted by their nuclei, of each sample (sample, cluster, cx, cy)."""
+    per = nuclei.groupBy(*key, "cluster").agg(F.count("*").alias("n"), F.avg("cx").alias("x"), F.avg("cy").alias("y"))
+    weighted = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    return per.groupBy(*key).agg(F.count("*").alias("n_clusters"), F.sum("n").alias("n_nuclei"), weighted("x"), weighted("y"))
+
+
+def probability_plot(df: DataFrame, col: str, ident: str, *key: str) -> DataFrame:
+    """Values by rank with the exponential quantile of their plotting position (rank - 1/2) / n."""
+    w = Window.partitionBy(*key)
+    p = (F.row_number().over(w.orderBy(col, ident)) - 0.5) / F.count(F.lit(1)).over(w)
+    return df.where(F.col(col).isNotNull()).select(*key, ident, F.col(col).alias("value"), (-F.ln(1 - p)).alias("quantile"))

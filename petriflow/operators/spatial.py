@@ -109,3 +109,22 @@ def force_sums(nuclei: DataFrame, reach: float, repel: float = 1.0, attract: flo
     size = F.when(F.col("d") < touch, repel * (touch - F.col("d"))).otherwise(-attract * (F.col("d") - touch))
     f = p.groupBy(*key, F.col("i").alias("id")).agg(F.sum(size * (F.col("xi") - F.col("xj")) / F.col("d")).alias("fx"), F.sum(size * (F.col("yi") - F.col("yj")) / F.col("d")).alias("fy"))
     return nuclei.select(*key, "id").join(f, [*key, "id"], "left").select(*key, "id", F.coalesce("fx", F.lit(0.0)).alias("fx"), F.coalesce("fy", F.lit(0.0)).alias("fy"))
+
+
+def neighbour_scale(points: DataFrame, k: int, *key: str) -> DataFrame:
+    """Median distance to the k nearest neighbours: the characteristic scale of each key."""
+    return nearest(points, k, *key).groupBy(*key).agg(F.percentile("d", F.lit(0.5)).alias("scale"), F.count("*").alias("n_links"))
+
+
+def local_density(points: DataFrame, k: int, *key: str) -> DataFrame:
+    """(id, density): k over the area of the circle that reaches the kth neighbour."""
+    far = nearest(points, k, *key).groupBy(*key, F.col("i").alias("id")).agg(F.max("d").alias("reach"))
+    return far.select(*key, "id", F.try_divide(F.lit(float(k)), math.pi * F.col("reach") ** 2).alias("density"))
+
+
+def affinity(points: DataFrame, least: float, *key: str) -> DataFrame:
+    """(i, j, w): Gaussian affinities with the key's 20th percentile of distances as width; those under `least` are dropped."""
+    p = pair_distances(points, *key).where("d > 0")
+    sigma = p.groupBy(*key).agg(F.percentile("d", F.lit(0.2)).alias("s"))
+    w = F.exp(-(F.col("d") ** 2) / (2 * F.col("s") ** 2))
+    return p.join(F.broadcast(sigma), [*key]).withColumn("w", w).where(F.col("w") >= least).select(*key, "i", "j", "w")

@@ -754,3 +754,39 @@ def _(s, d):
 def _(s, d):
     c = clusters.summary(cells(s, d)).select((F.col("label") % 1).alias("seq"), "time", "label", "cx", "cy")
     return tracker.track_batch(c, 900.0)
+
+
+@register("sample_counts", f"WITH {_NUC}, k AS (SELECT id % 3 AS sample, id % 7 AS cluster, count(*) n, avg(cx) x, avg(cy) y FROM nuc GROUP BY ALL) SELECT sample, count(*) AS n_clusters, CAST(sum(n) AS BIGINT) AS n_nuclei, {r(x='sum(x*n)/sum(n)', y='sum(y*n)/sum(n)')} FROM k GROUP BY sample")
+def _(s, d):
+    n = _nuclei(s, d).withColumn("sample", F.col("id") % 3).withColumn("cluster", F.col("id") % 7)
+    return tidy(clusters.sample_counts(n, "sample"))
+
+
+@register("probability_plot", f"{C} SELECT label, cell_id, {r(value='intden', quantile='-ln(1-(row_number() OVER (PARTITION BY label ORDER BY intden, cell_id)-0.5)/count(*) OVER (PARTITION BY label))')} FROM cells WHERE intden IS NOT NULL")
+def _(s, d):
+    return tidy(clusters.probability_plot(cells(s, d), "intden", "cell_id", "label"))
+
+
+_KNN5 = "k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM pr) WHERE k <= 5)"
+
+
+@register("neighbour_scale", f"{P}, {_PAIRS}, {_KNN5} SELECT label, count(*) AS n_links, {r(scale='quantile_cont(d, 0.5)')} FROM k5 GROUP BY label")
+def _(s, d):
+    return tidy(spatial.neighbour_scale(points(s, d), 5, "label"))
+
+
+@register("local_density", f"{P}, {_PAIRS}, {_KNN5} SELECT label, i AS id, {r(density='5.0/(pi()*max(d)*max(d))')} FROM k5 GROUP BY label, i")
+def _(s, d):
+    return tidy(spatial.local_density(points(s, d), 5, "label"))
+
+
+@register("affinity_edges", f"{P}, {_PAIRS}, sg AS (SELECT label, quantile_cont(d, 0.2) s FROM pr WHERE d > 0 GROUP BY label), w AS (SELECT pr.label, i, j, exp(-d*d/(2*s*s)) w FROM pr JOIN sg ON sg.label = pr.label WHERE d > 0) SELECT label, i, j, {r(w='w')} FROM w WHERE w >= 0.1")
+def _(s, d):
+    return tidy(spatial.affinity(points(s, d), 0.1, "label"))
+
+
+@register("tracker_scores")
+def _(s, d):
+    c = synthetic.drifting_centres(s, 6, 4, 12).select(F.col("seq").cast("int").alias("seq"), "time", "label", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    tracks = tracker.track_batch(c, 3.0).withColumnRenamed("track", "t")
+    return tidy(linking.stability(tracks.select("seq", "time", F.col("t").alias("label")), "seq"))
