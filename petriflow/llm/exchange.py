@@ -53,6 +53,18 @@ def unpack_numbers(x: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint64).ravel()
 
 
+def pack_table(columns: list[np.ndarray]) -> bytes:
+    """Columns of 64-bit numbers, the first one sorted, as one compressed run of byte planes."""
+    planes = [np.diff(columns[0], prepend=np.uint64(0)), *(c.astype(np.uint64) for c in columns[1:])]
+    return squeeze(np.ascontiguousarray(np.concatenate([x.view(np.uint8).reshape(-1, 8) for x in planes], axis=1).T).tobytes())
+
+
+def unpack_table(x: bytes, width: int) -> list[np.ndarray]:
+    planes = np.frombuffer(expand(x), np.uint8).reshape(8 * width, -1)
+    columns = [np.ascontiguousarray(planes[8 * j : 8 * j + 8].T).view(np.uint64).ravel() for j in range(width)]
+    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
+
+
 def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(block, ids, sizes, body): whole documents, packed; save it before use, as block numbers hold for one run only."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from petriflow.llm.common import mix, save, words
-from petriflow.llm.exchange import ask, buckets_for, expand, pack, pack_numbers, squeeze, text_blocks, unblock, unpack, unpack_numbers
+from petriflow.llm.common import mix, partitions, save, words
+from petriflow.llm.exchange import ask, buckets_for, expand, pack_numbers, pack_table, squeeze, text_blocks, unblock, unpack_numbers, unpack_table
 
 THRESHOLD = 0.8
 SLOTS, FIRST = 1 << 20, 4
@@ -53,13 +53,17 @@ class _Lines:
         if ranks is None:
             return
         self.n = np.zeros(self.n_lines, np.int64)
-        self.sig = np.zeros(self.n_lines, np.uint64)
+        self.sig, self.digest = np.zeros(self.n_lines, np.uint64), np.zeros(self.n_lines, np.uint64)
         keys, lines, places = [], [], []
         for base in range(0, self.n_lines, _LINES):
             a, b = np.searchsorted(self.row, [base, base + _LINES])
             h, r = self.h[a:b], (self.row[a:b] - base).astype(np.uint64)
             once = np.unique(mix(h ^ (r * np.uint64(0x9E3779B97F4A7C15))), return_index=True)[1]  # a word counts once in a line
+            once.sort()
             h, r = h[once], r[once]
+            whole = np.flatnonzero(np.diff(r.astype(np.int64), prepend=-1))
+            if len(r):
+                self.digest[r[whole].astype(np.int64) + base] = np.add.reduceat(mix(h), whole)
             both = (r << np.uint64(_KEY)) | (ranks[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(_KEY - 7)) | (h >> np.uint64(64 - _KEY + 7))
             both.sort()
             r, key = (both >> np.uint64(_KEY)).astype(np.int64), both & np.uint64((1 << _KEY) - 1)
@@ -78,13 +82,11 @@ class _Lines:
         empty = np.zeros(0, np.int64)
         self.keys, self.lines, self.places = (np.concatenate(x) if x else empty.astype(d) for x, d in ((keys, np.uint64), (lines, np.int64), (places, np.int64)))
 
-    def sets(self, wanted: np.ndarray, near: np.ndarray) -> Iterator[tuple[int, bytes, bytes | None]]:
-        """(line, digest, words if near) of lines: the digest is 128 bits of the set."""
-        edges = np.searchsorted(self.row, np.arange(self.n_lines + 1))
-        for i, full in zip(wanted.tolist(), near.tolist(), strict=True):
-            x = np.unique(self.h[edges[i] : edges[i + 1]])
-            two = np.array([mix(x).sum(), mix(x ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64)
-            yield i, two.tobytes(), squeeze(x.tobytes()) if full else None
+    def sets(self, wanted: np.ndarray) -> Iterator[bytes]:
+        """The packed sets of lines."""
+        edges = np.searchsorted(self.row, np.column_stack([wanted, wanted + 1]).ravel())
+        for a, b in edges.reshape(-1, 2).tolist():
+            yield squeeze(np.unique(self.h[a:b]).tobytes())
 
 
 def _order(docs: DataFrame, id_col: str) -> Column:
@@ -128,50 +130,60 @@ def _first_pass(blocks: DataFrame, t: float) -> tuple[DataFrame, np.ndarray]:
     return out.where("block >= 0").drop("slots"), np.minimum(127, 1 + 3 * np.log2(total + 1.0)).astype(np.uint64)
 
 
-_FIELDS = ("line", "rank", "n", "place", "sig", "probe")
+#: What travels with a prefix word: its line, the document's place in the order, words of the line, place of the word among them, parity and digest
+#: of the set, and whether the line looks for candidates.
+_FIELDS = ("key", "line", "rank", "n", "place", "sig", "digest", "probe")
 
 
 def _candidates(blocks: DataFrame, ranks: np.ndarray, buckets: int, t: float, most: int | None) -> DataFrame:
-    """(block, line, to_block, to_line, alike, more): candidates of the probing lines (column open of blocks: their numbers; null: all)."""
+    """(block, line, to_block, to_line, more): candidates of the probing lines (column open of blocks: their numbers; null: all).
+
+    to_block is null for a line whose set is that of an earlier line: equal size, parity and digest, 128 bits in all. Equal sets have
+    the same rarest word, so they are told under that one only."""
 
     def entries(line: dict) -> Iterator[pa.RecordBatch]:
         x = _Lines(line, ranks, t)
         if not len(x.keys):
             return
         doc = np.repeat(np.arange(len(x.count)), x.count)
-        order = line["orders"].values.to_numpy()
         probe = np.ones(x.n_lines, np.uint64)
         if line["open"].values is not None:
             probe[:] = 0
             probe[line["open"].values.to_numpy()] = 1
-        by = np.argsort(x.keys, kind="stable")
-        keys, lines = x.keys[by], x.lines[by]
         # ids as unsigned numbers in the same order
-        rank = order.view(np.uint64) ^ np.uint64(1 << 63)
-        fields = (lines, rank[doc[lines]], x.n[lines], x.places[by], x.sig[lines], probe[lines])
-        bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
-        to = np.argsort(bucket, kind="stable")
+        rank = line["orders"].values.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
+        bucket = (mix(x.keys) % np.uint64(buckets)).astype(np.int64)
+        to = np.lexsort([x.keys, bucket])
         at = np.searchsorted(bucket[to], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(at))
-        cut = [to[at[i] : at[i + 1]] for i in full.tolist()]
-        cols = [pa.array(full, pa.int32()), pa.array([line["block"].as_py()] * len(full), pa.int64()), pa.array([pack(keys[c]) for c in cut], pa.binary())]
-        cols += [pa.array([pack_numbers(f[c]) for c in cut], pa.binary()) for f in fields]
-        yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "keys", *_FIELDS])
+        lines = x.lines[to]
+        fields = [x.keys[to], lines, rank[doc[lines]], x.n[lines], x.places[to], x.sig[lines], x.digest[lines], probe[lines]]
+        runs = [pack_table([f[at[i] : at[i + 1]] for f in fields]) for i in full.tolist()]
+        cols = [pa.array(full, pa.int32()), pa.array([line["block"].as_py()] * len(full), pa.int64()), pa.array(runs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "run"])
 
     def search(table: pa.Table) -> pa.Table:
-        runs = [unpack(x.as_py()) for x in table.column("keys")]
-        key = np.concatenate(runs)
-        block = np.repeat(table.column("block").to_numpy(), [len(x) for x in runs])
-        line, rank, n, place, sig, probe = (np.concatenate([unpack_numbers(x.as_py()) for x in table.column(f)]) for f in _FIELDS)
+        runs = [unpack_table(x.as_py(), len(_FIELDS)) for x in table.column("run")]
+        block = np.repeat(table.column("block").to_numpy(), [len(x[0]) for x in runs])
+        key, line, rank, n, place, sig, digest, probe = (np.concatenate(x) for x in zip(*runs, strict=True))
         by = np.lexsort([line, block, rank, key])
-        key, block, line, sig, probe = key[by], block[by], line[by].astype(np.int64), sig[by], probe[by]
+        key, block, line, sig, digest, probe = key[by], block[by], line[by].astype(np.int64), sig[by], digest[by], probe[by]
         n, place = n[by].astype(np.int64), place[by].astype(np.int64)
         begin = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
         first = np.repeat(begin, np.diff(np.append(begin, len(key))))
+        # equal sets under one word: all but the first are settled
+        same = np.lexsort([np.arange(len(key)), digest, sig, n, first])
+        again = np.zeros(len(key), bool)
+        again[same[1:]] = (first[same[1:]] == first[same[:-1]]) & (n[same[1:]] == n[same[:-1]]) & (sig[same[1:]] == sig[same[:-1]]) & (digest[same[1:]] == digest[same[:-1]])
+        told = np.flatnonzero(again & (place == 0) & (probe > 0))
+        # only the first of equal sets looks on, and is looked at
+        keep = np.flatnonzero(~again)
+        key, block_, line_, sig, n, place, probe = key[keep], block[keep], line[keep], sig[keep], n[keep], place[keep], probe[keep]
+        begin = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
+        first = np.repeat(begin, np.diff(np.append(begin, len(key))))
         live = np.flatnonzero((np.arange(len(key)) > first) & (probe > 0))
         found = np.zeros(len(key), np.int64)
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        d = 0
+        xs, ys, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         while len(live):
             other = first[live] + d
             a, b = n[live], n[other]
@@ -181,64 +193,53 @@ def _candidates(blocks: DataFrame, ranks: np.ndarray, buckets: int, t: float, mo
             good = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
             good &= np.bitwise_count(sig[x] ^ sig[y]) <= n[x] + n[y] - 2 * need
             x, y = x[good], y[good]
-            if len(x):
-                out.append((x, y))
-                found[x] += 1
+            xs.append(x)
+            ys.append(y)
+            found[x] += 1
             d += 1
             live = live[(live > first[live] + d) & (True if most is None else found[live] < most)]
-        x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (zip(*out, strict=True) if out else ((), ())))
+        x, y = np.concatenate(xs), np.concatenate(ys)
         more = found[x] >= most if most else np.zeros(len(x), bool)
-        alike = (sig[x] == sig[y]) & (n[x] == n[y])
-        return pa.table({"block": pa.array(block[x], pa.int64()), "line": pa.array(line[x], pa.int64()), "to_block": pa.array(block[y], pa.int64()), "to_line": pa.array(line[y], pa.int64()), "alike": pa.array(alike), "more": pa.array(more)})
+        none = pa.nulls(len(told), pa.int64())
+        return pa.table(
+            {
+                "block": pa.array(np.concatenate([block_[x], block[told]]), pa.int64()), "line": pa.array(np.concatenate([line_[x], line[told]]), pa.int64()),
+                "to_block": pa.chunked_array([pa.array(block_[y], pa.int64()), none]).combine_chunks(), "to_line": pa.chunked_array([pa.array(line_[y], pa.int64()), none]).combine_chunks(),
+                "more": pa.array(np.concatenate([more, np.zeros(len(told), bool)])),
+            }
+        )
 
-    kinds = "".join(f", {f} binary" for f in _FIELDS)
-    asked = ask(blocks, entries, f"bucket int, block long, keys binary{kinds}")
-    found = asked.groupBy("bucket").applyInArrow(search, "block long, line long, to_block long, to_line long, alike boolean, more boolean")
-    return found.groupBy("block", "line", "to_block", "to_line").agg(F.max("alike").alias("alike"), F.max("more").alias("more"))
+    found = ask(blocks, entries, "bucket int, block long, run binary").groupBy("bucket").applyInArrow(search, "block long, line long, to_block long, to_line long, more boolean")
+    return found.groupBy("block", "line", "to_block", "to_line").agg(F.max("more").alias("more"))
 
 
 def _verified(blocks: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(block, line, more, match) of pairs: whether the lines' whole sets reach similarity t.
-
-    Pairs that look alike are compared by digest; the words are fetched for the others, and for those whose digests differ after all."""
-    done = save(_compared(blocks, pairs, t), "compared")
-    open_ = done.where("match is null").select("block", "line", "to_block", "to_line", F.lit(False).alias("alike"), "more")
-    out = done.where("match is not null").select("block", "line", "more", "match")
-    return out if open_.isEmpty() else out.union(_compared(blocks, open_, t).select("block", "line", "more", "match"))
-
-
-def _compared(blocks: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    wanted = pairs.select("block", "line", "alike").union(pairs.select("to_block", "to_line", "alike")).groupBy("block", "line").agg(F.max(~F.col("alike")).alias("near"))
-    wanted = wanted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("line", "near"))).alias("wanted"))
+    """(block, line, more, match) of pairs: whether the lines' whole sets reach similarity t."""
+    known = pairs.where("to_block is null").select("block", "line", "more", F.lit(True).alias("match"))
+    # a line that equals an earlier one needs no other proof
+    pairs = pairs.where("to_block is not null").join(known.select("block", "line"), ["block", "line"], "left_anti")
+    wanted = pairs.select("block", "line").union(pairs.select("to_block", "to_line")).distinct().groupBy("block").agg(F.array_sort(F.collect_list("line")).alias("wanted"))
 
     def pick(line: dict) -> Iterator[pa.RecordBatch]:
-        x = _Lines(line, None, t)
-        w = line["wanted"].values
-        got = list(x.sets(w.field(0).to_numpy(), w.field(1).to_numpy(zero_copy_only=False)))
-        yield pa.RecordBatch.from_arrays([pa.array([line["block"].as_py()] * len(got), pa.int64()), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.binary())], ["block", "line", "digest", "words"])
-
-    sets = save(ask(blocks.join(wanted, "block"), pick, "block long, line long, digest binary, words binary"), "sets")
-    a = sets.select("block", "line", F.col("digest").alias("da"), F.col("words").alias("wa"))
-    b = sets.select(F.col("block").alias("to_block"), F.col("line").alias("to_line"), F.col("digest").alias("db"), F.col("words").alias("wb"))
-    both = pairs.join(a, ["block", "line"]).join(b, ["to_block", "to_line"])
-    both = both.withColumn("same", F.col("da") == F.col("db"))
-    both = both.select("block", "line", "to_block", "to_line", "alike", "more", "same", *[F.when(~F.col("same"), F.col(c)).alias(c) for c in ("wa", "wb")])
+        w = line["wanted"].values.to_numpy()
+        got = list(_Lines(line, None, t).sets(w))
+        yield pa.RecordBatch.from_arrays([pa.array([line["block"].as_py()] * len(got), pa.int64()), pa.array(w, pa.int64()), pa.array(got, pa.binary())], ["block", "line", "words"])
+
+    sets = save(ask(blocks.join(wanted, "block"), pick, "block long, line long, words binary"), "sets")
+    a = sets.select("block", "line", F.col("words").alias("a"))
+    b = sets.select(F.col("block").alias("to_block"), F.col("line").alias("to_line"), F.col("words").alias("b"))
+    both = pairs.join(a, ["block", "line"]).join(b, ["to_block", "to_line"]).select("block", "line", "more", "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for alike, same, wa, wb in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist(), batch.column(7), batch.column(8), strict=True):
-                if not same and alike:
-                    same = None
-                elif not same:
-                    x, y = (np.frombuffer(expand(w.as_py()), np.uint64) for w in (wa, wb))
-                    k = len(np.intersect1d(x, y, assume_unique=True))
-                    same = k >= t * (len(x) + len(y) - k) - 1e-9
-                ok.append(None if same is None else bool(same))
-            cols = [*batch.columns[:4], batch.column(5), pa.array(ok, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, ["block", "line", "to_block", "to_line", "more", "match"])
+            for a, b in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = (np.frombuffer(expand(w.as_py()), np.uint64) for w in (a, b))
+                k = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(k >= t * (len(x) + len(y) - k) - 1e-9)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], ["block", "line", "more", "match"])
 
-    return both.mapInArrow(check, "block long, line long, to_block long, to_line long, more boolean, match boolean")
+    return known.union(both.mapInArrow(check, "block long, line long, more boolean, match boolean"))
 
 
 def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", first: int = FIRST) -> DataFrame:
@@ -246,7 +247,7 @@ def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", tex
     named = docs.select(F.struct(F.col(id_col).alias("id"), _order(docs, id_col).alias("o"), F.col(text_col).isNull().alias("m")).alias("id"), F.col(text_col).alias("text"))
     blocks = text_blocks(named, "id", "text").select("block", F.col("ids.id").alias("ids"), F.col("ids.o").alias("orders"), F.col("ids.m").alias("missing"), "sizes", "body")
     blocks = save(blocks, "blocks")
-    buckets = buckets_for(blocks)
+    buckets = max(2 * partitions(docs.sparkSession), buckets_for(blocks) // 3)
     slim, ranks = _first_pass(blocks, t)
     no_list = F.lit(None).cast("array<long>")
     pairs = save(_candidates(blocks.withColumn("open", no_list), ranks, buckets, t, first), "pairs")
