@@ -149,15 +149,21 @@ def gradient_clusters(points: DataFrame, eps: float, min_points: int, angle: flo
 
 
 def dbscan(points: DataFrame, eps: float, min_points: int, *key: str) -> DataFrame:
-    """(key, id, core, cluster): core points within eps are one cluster (named by its smallest id), others join their nearest core point's."""
-    near = eps_neighbours(points, eps, *key)
+    """(key, id, core, cluster): core points within eps are one cluster (named by its smallest id), others join their nearest core point's.
+
+    Core points of one square of side eps / sqrt(2) are one cluster anyway, so components are found among squares."""
+    near = eps_neighbours(points, eps, *key).persist()
     counts = near.groupBy(*key, F.col("i").alias("id")).agg(F.count("*").alias("n"))
-    flags = points.select(*key, "id").join(counts, [*key, "id"], "left").select(*key, "id", (F.coalesce("n", F.lit(0)) + 1 >= min_points).alias("core"))
-    cores = flags.where("core").select(*key, "id")
-    links = near.join(cores.withColumnRenamed("id", "i"), [*key, "i"]).join(cores.withColumnRenamed("id", "j"), [*key, "j"])
-    node = lambda c: F.struct(*key, F.col(c).alias("id"))
-    roots = components(links.where("i < j").select(node("i").alias("a"), node("j").alias("b"))).select(*[F.col(f"node.{k}").alias(k) for k in key], F.col("node.id").alias("id"), F.col("root.id").alias("root"))
-    label = cores.join(roots, [*key, "id"], "left").select(*key, "id", F.coalesce("root", "id").alias("cluster"))
+    side = eps / math.sqrt(2) * (1 - 1e-12)
+    square = F.struct(*key, F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"))
+    flags = points.select(*key, "id", square.alias("square")).join(counts, [*key, "id"], "left")
+    flags = flags.select(*key, "id", "square", (F.coalesce("n", F.lit(0)) + 1 >= min_points).alias("core")).persist()
+    cores = flags.where("core").select(*key, "id", "square")
+    a, b = (cores.select(*key, F.col("id").alias(x), F.col("square").alias(y)) for x, y in (("i", "a"), ("j", "b")))
+    edges = near.where("i < j").join(a, [*key, "i"]).join(b, [*key, "j"]).where("a <> b").select("a", "b").distinct()
+    label = cores.join(components(edges).withColumnRenamed("node", "square"), "square", "left").withColumn("root", F.coalesce("root", "square"))
+    names = label.groupBy(*key, "root").agg(F.min("id").alias("cluster"))
+    label = label.join(names, [*key, "root"]).select(*key, "id", "cluster")
     edge = near.join(label.withColumnRenamed("id", "j"), [*key, "j"]).groupBy(*key, F.col("i").alias("id")).agg(F.min_by("cluster", F.struct("d", "j")).alias("edge"))
     out = flags.join(label, [*key, "id"], "left").join(edge, [*key, "id"], "left")
     return out.select(*key, "id", "core", F.coalesce("cluster", F.when(~F.col("core"), F.col("edge"))).alias("cluster"))
