@@ -283,6 +283,7 @@ def op5_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that hold no item of the benchmark."""
-    found = save(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("id").distinct(), "leaks")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["id"]), "left_anti")
+    """Pipeline stage: the documents that hold no item of the benchmark; rows are known by id and hash of the text."""
+    keyed = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")).alias("key"))
+    found = save(find_leaks(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "key", "doc.text").select(F.col("id").alias("leak")).distinct(), "leaks")
+    return keyed.join(found, F.expr("key.d <=> leak.d and key.h <=> leak.h"), "left_anti").select("doc.*")
