@@ -31,7 +31,8 @@ MAX_TRAIN = 3000
 LEAST_POSTERIOR = 0.05
 #: Shares of all tokens that the production query mixes to.
 TARGETS = {"good": 0.95, "poor": 0.05, "toxic": 0.0}
-ITERATIONS, TOLERANCE = 30, 1e-7
+#: Steps at most; fitting also ends when PATIENCE steps have not brought the totals nearer to the targets by one part in a hundred.
+ITERATIONS, TOLERANCE, PATIENCE = 30, 1e-7, 3
 #: Rates are rounded to this fraction before copies are dealt.
 GRAIN = 64
 
@@ -82,6 +83,7 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors:
     p = [F.col(f"p_{d}") for d in DOMAINS]
     t = F.col("n_tokens").cast("double")
     best: tuple[float, int] = (float("inf"), 0)
+    stale = 0
     for _ in range(ITERATIONS + 1):
         r = rate(steps, most)
         aggs = [F.sum(r * t * x) for x in p] + [F.sum(F.when(F.col("_r") > 0, t * p[i] * p[j])) for i in range(k) for j in range(k)]
@@ -92,9 +94,10 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] | None = None, factors:
             want = np.array([total * targets[d] if targets else now[i] * factors[d] for i, d in enumerate(DOMAINS)])
         off = now - want
         size = float(np.abs(off).sum())
+        stale = 0 if size < 0.99 * best[0] else stale + 1
         if size < best[0]:
             best = (size, len(steps))
-        if size <= TOLERANCE * max(total, 1.0):
+        if size <= TOLERANCE * max(total, 1.0) or stale > PATIENCE:
             break
         steps.append(np.linalg.lstsq(gram + 1e-9 * np.eye(k) * max(np.trace(gram), 1e-9), off, rcond=None)[0])
     return rate(steps[: best[1]], most)
