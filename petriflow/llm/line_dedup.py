@@ -28,7 +28,7 @@ from petriflow.llm.common import mix, partitions, save, words
 from petriflow.llm.exchange import ask, buckets_for, expand, pack_numbers, pack_table, squeeze, text_blocks, unblock, unpack_numbers, unpack_table
 
 THRESHOLD = 0.8
-SLOTS, FIRST = 1 << 20, 4
+SLOTS, FIRST = 1 << 20, 8
 #: Lines looked at together, and the bits of a word's key: a rank of 7 bits and a hash.
 _LINES, _KEY = 1 << 20, 44
 
@@ -82,6 +82,11 @@ class _Lines:
         empty = np.zeros(0, np.int64)
         self.keys, self.lines, self.places = (np.concatenate(x) if x else empty.astype(d) for x, d in ((keys, np.uint64), (lines, np.int64), (places, np.int64)))
 
+    def keep(self, marks: np.ndarray) -> None:
+        """Leave out the prefix words whose bit is not set."""
+        there = marks[(mix(self.keys) & np.uint64(SLOTS - 1)).astype(np.int64)]
+        self.keys, self.lines, self.places = self.keys[there], self.lines[there], self.places[there]
+
     def sets(self, wanted: np.ndarray) -> Iterator[bytes]:
         """The packed sets of lines."""
         edges = np.searchsorted(self.row, np.column_stack([wanted, wanted + 1]).ravel())
@@ -135,14 +140,34 @@ def _first_pass(blocks: DataFrame, t: float) -> tuple[DataFrame, np.ndarray]:
 _FIELDS = ("key", "line", "rank", "n", "place", "sig", "digest", "probe")
 
 
-def _candidates(blocks: DataFrame, ranks: np.ndarray, buckets: int, t: float, most: int | None) -> DataFrame:
+def _marks(blocks: DataFrame, ranks: np.ndarray, t: float) -> np.ndarray:
+    """SLOTS bits (as booleans) of the prefix words of the open lines: a word whose bit is not set is under none of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(SLOTS, bool)
+        for b in batches:
+            for i in range(b.num_rows):
+                line = {n: b.column(j)[i] for j, n in enumerate(b.schema.names)}
+                x = _Lines(line, ranks, t)
+                bits[(mix(x.keys[np.isin(x.lines, line["open"].values.to_numpy())]) & np.uint64(SLOTS - 1)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([squeeze(np.packbits(bits).tobytes())], pa.binary())], ["bits"])
+
+    out = np.zeros(SLOTS, bool)
+    for x in blocks.repartition(8).mapInArrow(run, "bits binary").toArrow().column(0):
+        out |= np.unpackbits(np.frombuffer(expand(x.as_py()), np.uint8)).astype(bool)
+    return out
+
+
+def _candidates(blocks: DataFrame, ranks: np.ndarray, buckets: int, t: float, most: int | None, marks: np.ndarray | None = None) -> DataFrame:
     """(block, line, to_block, to_line, more): candidates of the probing lines (column open of blocks: their numbers; null: all).
 
-    to_block is null for a line whose set is that of an earlier line: equal size, parity and digest, 128 bits in all. Equal sets have
+    marks: only words with a set bit are looked at. to_block is null for a line whose set is that of an earlier line: equal size, parity and digest, 128 bits in all. Equal sets have
     the same rarest word, so they are told under that one only."""
 
     def entries(line: dict) -> Iterator[pa.RecordBatch]:
         x = _Lines(line, ranks, t)
+        if marks is not None:
+            x.keep(marks)
         if not len(x.keys):
             return
         doc = np.repeat(np.arange(len(x.count)), x.count)
@@ -256,7 +281,8 @@ def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", tex
     again = per_line.where("not match and more").groupBy("block").agg(F.collect_list("line").alias("open"))
     if not again.isEmpty():
         again = save(again, "open")
-        rest = save(_candidates(blocks.join(again, "block", "left").withColumn("open", F.coalesce("open", F.array().cast("array<long>"))), ranks, buckets, t, None), "pairs")
+        marks = _marks(blocks.join(again, "block"), ranks, t)
+        rest = save(_candidates(blocks.join(again, "block", "left").withColumn("open", F.coalesce("open", F.array().cast("array<long>"))), ranks, buckets, t, None, marks), "pairs")
         gone = gone.union(_verified(blocks, rest, t).where("match").select("block", "line").distinct())
     lost = gone.groupBy("block").agg(F.array_sort(F.collect_list("line")).alias("gone"))
     kind = docs.schema[id_col].dataType.simpleString()
