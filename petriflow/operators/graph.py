@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; one is set from spark.checkpoint.dir, or a temporary one only where Spark runs locally."""
+    context = spark.sparkContext
+    at = context.getCheckpointDir()
+    if not at:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            at = "file://" + tempfile.mkdtemp(prefix="petriflow-")
+        context.setCheckpointDir(at)
+    return at
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the undirected edges (a, b) reaches.
 
     Every round replaces a node's edges by edges to its smallest neighbour, first for larger and then for smaller neighbours, so long
     chains halve and the edges end as stars; rounds are checkpointed."""
+    checkpoint_dir(edges.sparkSession)
     now = edges.where("a <> b").select("a", "b").distinct().checkpoint()
     state = None
     while True:
