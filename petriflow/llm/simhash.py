@@ -15,6 +15,7 @@ table gives no rows; other columns are ignored by the query.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -186,32 +187,44 @@ def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 #: Near copies of the pipeline: five-word shingles, and the similarity from which documents are copies.
 WIDE_SHINGLE, SIMILARITY = 5, 0.8
-#: 64-bit words of a wide fingerprint, and the chance to miss a pair at the least similarity.
-WIDE, MISS = 4, 0.02
-_SMALL, _CHUNK = 8, 1 << 16
+#: 64-bit words of a wide fingerprint, standard deviations that candidates may be farther than expected, and the chance to miss a pair at the
+#: least similarity.
+WIDE, SPREAD, MISS = 4, 3, 0.02
+_SMALL, _CHUNK = 32, 1 << 16
+#: Documents of a candidate group that one task compares with as many others, and shingles of them.
+SET_TILE, TILE_SHINGLES = 256, 1 << 20
 
 
-def wide_fingerprint(text: bytes, width: int = WIDE_SHINGLE) -> np.ndarray:
-    """SimHash of WIDE * 64 bits: each shingle's XXH64 is spread over WIDE independent words."""
+def shingle_set(text: bytes, width: int = WIDE_SHINGLE) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's shingles."""
     parts = text.lower().split()
-    out = np.zeros(WIDE, np.uint64)
     if not parts:
-        return out
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     width = min(width, len(parts))
     n = len(parts) - width + 1
-    set_bits = np.zeros((WIDE, 64), np.int64)
+    digest, out = xxhash.xxh64_intdigest, np.empty(n, np.uint64)
     for at in range(0, n, _STEP):
         to = min(n, at + _STEP)
         s, e = starts[at:to].tolist(), ends[at + width - 1 : to + width - 1].tolist()
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(s, e, strict=True)], np.uint64)
+        out[at:to] = [digest(joined[a:b], SEED) for a, b in zip(s, e, strict=True)]
+    return np.unique(out)
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of WIDE * 64 bits of a set of shingles: each one's hash is spread over WIDE independent words."""
+    if not len(shingles):
+        return np.zeros(WIDE, np.uint64)
+    set_bits = np.zeros((WIDE, 64), np.int64)
+    for at in range(0, len(shingles), _STEP):
+        h = shingles[at : at + _STEP]
         for j in range(WIDE):
             x = mix(h ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) & 0xFFFFFFFFFFFFFFFF))
             set_bits[j] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(set_bits * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(set_bits * 2 > len(shingles), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def expected_distance(similarity: float) -> float:
@@ -234,18 +247,29 @@ def flood(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
+def tables_for(bits: int, far: float, radius: int, k: int) -> int:
+    """Tables of k sampled bits that find pairs whose bits each differ with chance `far`, up to a chance of MISS (or what the radius leaves)."""
+    d = range(radius + 1)
+    share = np.array([comb(bits, x) * far**x * (1 - far) ** (bits - x) for x in d])
+    same = np.array([comb(bits - x, k) / comb(bits, k) for x in d])
+    most, tables = share.sum() - MISS, 1
+    while tables < 1 << 12 and (share * (1 - (1 - same) ** tables)).sum() < most:
+        tables += 1
+    return tables
+
+
 def wide_links(nodes: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) that connect nodes (node, f0..) whose wide fingerprints are as near as sets of that similarity are expected to be, and a
-    standard deviation more.
+    """Edges (a, b) that connect nodes (node, f0..) whose wide fingerprints are at most SPREAD standard deviations farther than sets of that
+    similarity are expected to be: candidates, among them sets that are less similar.
 
-    Bits are sampled into tables: k = log2(n) bits each, so a key holds about one unrelated node at any size, and as many tables as make the
-    chance of a similar pair to share no key MISS at most. Nodes of one key are compared in one task, _CHUNK at a time, later chunks with one
-    node of each group found before; edges form a forest, so a large group of copies costs what it has members."""
+    Bits are sampled into tables: k = log2(n / 8) bits each, so a key holds about eight unrelated nodes at any size, and as many tables as make
+    the chance of a similar pair to share no key MISS. Nodes of one key are compared in one task, _CHUNK at a time, later chunks with one
+    node of each group found before; edges of large groups form a forest, so a large group of copies costs what it has members."""
     spark, bits = nodes.sparkSession, 64 * WIDE
     far = expected_distance(similarity)
-    radius = int(np.ceil(bits * far + np.sqrt(bits * far * (1 - far))))
-    k = int(np.clip(np.ceil(np.log2(max(n, 2))), 12, 48))
-    tables = int(np.ceil(np.log(MISS) / np.log1p(-((1 - far) ** k))))
+    radius = int(np.ceil(bits * far + SPREAD * np.sqrt(bits * far * (1 - far))))
+    k = int(np.clip(np.ceil(np.log2(max(n, 2))) - 3, 10, 48))
+    tables = tables_for(bits, far, radius, k)
     rng = np.random.default_rng(SEED)
     pick = [rng.choice(bits, k, replace=False) for _ in range(tables)]
     names = [f"f{j}" for j in range(WIDE)]
@@ -296,28 +320,114 @@ def wide_links(nodes: DataFrame, n: int, similarity: float = SIMILARITY) -> Data
     return dealt.mapInArrow(link, "a long, b long").distinct()
 
 
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets (of distinct numbers) whose Jaccard similarity is reached, by counting what they share."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, every = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    held, edges, rest = np.zeros(len(every), bool), [], np.arange(len(sets))
+    while len(rest) > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            at = front.pop()
+            own = every[begin[at] : begin[at] + size[at]]
+            fit = np.flatnonzero(np.minimum(size[rest], size[at]) >= similarity * np.maximum(size[rest], size[at]) - 1e-9)
+            if not len(fit):
+                continue
+            held[own] = True
+            near = rest[fit]
+            edge = np.concatenate([[0], np.cumsum(size[near])])
+            place = np.arange(edge[-1]) + np.repeat(begin[near] - edge[:-1], size[near])
+            both = np.add.reduceat(held[every[place]].astype(np.int64), edge[:-1])
+            held[own] = False
+            hit = both >= similarity * (size[near] + size[at] - both) - 1e-9
+            new = near[hit].tolist()
+            edges += [(at, x) for x in new]
+            front += new
+            rest = np.delete(rest, fit[hit])
+    return edges
+
+
+def exact_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Edges (a, b) that connect the rows (group, node, size, shingles) of each group whose sets reach the similarity.
+
+    Groups are cut into tiles of about SET_TILE rows and TILE_SHINGLES shingles; every pair of tiles is compared in some task."""
+    spark = sets.sparkSession
+    per = sets.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / SET_TILE), F.ceil(F.sum("size") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    dealt = sets.join(per, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "shingles")
+    dealt = dealt.repartition(partitions(spark), "group", "i", "j").sortWithinPartitions("group", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, found = None, [], []
+
+        def link() -> pa.RecordBatch:
+            pairs = np.array(jaccard_forest(found, similarity) if len(found) > 1 else [], np.int64).reshape(-1, 2)
+            at = np.array(nodes, np.int64)
+            a, b = at[pairs[:, 0]], at[pairs[:, 1]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)
+            for r, (new, node) in enumerate(zip(keys, batch.column(3).to_pylist(), strict=True)):
+                if new != key:
+                    if nodes:
+                        yield link()
+                    key, nodes, found = new, [], []
+                nodes.append(node)
+                found.append(np.frombuffer(batch.column(4)[r].as_py(), np.uint64))
+        if nodes:
+            yield link()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(id, component): documents whose five-word shingles reach the similarity, as wide fingerprints tell it, and those reachable through such."""
+    """(id, component): documents whose sets of five-word shingles reach the Jaccard similarity, and those reachable through such.
+
+    Wide fingerprints only name candidates; groups of candidates are then linked by their sets. Equal sets share a node."""
     slim = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     names = [f"f{j}" for j in range(WIDE)]
+    kind = slim.schema["id"].dataType.simpleString()
+
+    def name_of(shingles: np.ndarray) -> int:
+        return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array([wide_fingerprint(x.as_py() or b"") for x in b.column(1)], np.uint64).reshape(-1, WIDE).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, j].copy()) for j in range(WIDE))], ["id", *names])
+            f, nodes = np.zeros((b.num_rows, WIDE), np.uint64), []
+            for r, x in enumerate(b.column(1)):
+                shingles = shingle_set(x.as_py() or b"")
+                f[r] = wide_fingerprint(shingles)
+                nodes.append(name_of(shingles))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(f[:, j].copy().view(np.int64)) for j in range(WIDE)), pa.array(nodes, pa.int64())], ["id", *names, "node"])
 
     columns = "".join(f", {x} long" for x in names)
-    prints = slim.mapInArrow(run, f"id {slim.schema['id'].dataType.simpleString()}{columns}").withColumn("node", F.xxhash64(*names))
-    prints = save(prints, "prints")
+    prints = save(slim.mapInArrow(run, f"id {kind}{columns}, node long"), "prints")
     nodes = save(prints.groupBy("node", *names).agg(F.min("id").alias("low")), "nodes")
-    roots = components(wide_links(nodes, nodes.count(), similarity))
+    coarse = components(wide_links(nodes, nodes.count(), similarity))
+    coarse = coarse.union(coarse.select("root", "root")).distinct().select("node", F.col("root").alias("group"))
+    suspects = save(nodes.join(coarse, "node").select("node", "group", "low"), "suspects")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shingle_set(x.as_py() or b"") for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "size", "shingles"])
+
+    # one document of each candidate node; rows that repeat its id may bring others
+    lows = suspects.select("low").distinct()
+    texts = slim.join(lows, F.expr("id <=> low"), "left_semi").select("text")
+    sets = texts.mapInArrow(sets_of, "node long, size long, shingles binary").dropDuplicates(["node"])
+    sets = save(suspects.select("node", "group").join(sets, "node"), "sets")
+    roots = components(exact_links(sets, similarity))
     rooted = save(nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("low").alias("component"))
     return prints.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each group of near copies (five-word shingles, similarity 0.8), that of the smallest id (ties: of the
+    """Pipeline stage: one row of each group of near copies (Jaccard similarity 0.8 of five-word shingles, checked on the sets), that of the smallest id (ties: of the
     smallest hash of the text).
 
     Rows are known by id and hash of the text, so the texts need not be written to be numbered."""
