@@ -2,8 +2,9 @@
 
 Documents become sequences of the benchmark's terms. Overlapping passages get TF-IDF vectors over those terms; a distributed
 randomised SVD (subspace iteration: each task adds up its part of A'(A Q)) finds their leading directions, with the benchmark's
-items as weighted rows so that each item's direction is among them. Passages whose vectors have a cosine of COSINE or more with an
-item's image in that subspace are candidates. A candidate counts if the longest common subsequence with the item has LCS
+items' parts (whole items) as weighted rows so that each part's direction is among them.
+Passages whose vectors have a cosine of COSINE or more with a part's image in that subspace are candidates, and so are those that hold
+terms of LOOSE_LCS or more of a part's words, however common these are. A candidate counts if the longest common subsequence with the whole item has LCS
 of its words, or LOOSE_LCS of them and ANSWER of its closing part, its answer.
 
 The benchmark is a stated query set; it is taken in blocks of ITEMS items, each with its own terms and subspace, so what a task
@@ -28,10 +29,9 @@ from petriflow.llm.ngrams import pieces
 
 ITEMS, RANK, PASSES = 224, 240, 1
 COSINE, LCS, LOOSE_LCS, ANSWER = 0.3, 0.8, 0.6, 0.8
-#: Terms in more than this share of the passages, and in more than COMMON_COUNT, carry no weight, but for the RARE rarest terms of an
-#: item; the check of order uses all terms.
-COMMON, COMMON_COUNT, RARE = 0.02, 1000, 3
 _CHUNK, _NNZ = 256, 16384
+#: Passages multiplied at a time, and the most frequent terms that are multiplied as columns of a dense matrix.
+_ROWS, DENSE = 2048, 1024
 
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[65:91] += 32
@@ -49,7 +49,7 @@ def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Block:
-    """A block of items: their terms, term sequences, and the passage stride."""
+    """A block of items: their terms, term sequences, the passage stride, and their parts."""
 
     def __init__(self, items: list[tuple[object, str]]) -> None:
         row, h, n = term_hashes(pa.array([t or "" for _, t in items], pa.string()))
@@ -58,17 +58,12 @@ class Block:
         self.items = [seq[row == i] for i in range(n)]
         sizes = np.bincount(row, minlength=n)
         self.stride = int(np.clip(np.ceil(np.percentile(sizes, 90)) if n else 0, 8, 256))
-        self.weighs = np.ones(len(self.terms), bool)
+        cut = [[x] for x in self.items]
+        self.parts = [x for c in cut for x in c]
+        self.owner = np.repeat(np.arange(n), [len(c) for c in cut])
         self.kind = np.uint16 if len(self.terms) < 65535 else np.uint32
         self.none = np.iinfo(self.kind).max
 
-    def weigh(self, df: np.ndarray, passages: float) -> None:
-        """Take the weight from common terms."""
-        self.weighs = df <= max(COMMON * passages, COMMON_COUNT)
-        for s in self.items:
-            t = np.unique(s)
-            self.weighs[t[np.argsort(df[t], kind="stable")[:RARE]]] = True
-
     def sequence(self, h: np.ndarray) -> np.ndarray:
         if not len(self.terms):
             return np.full(len(h), self.none, self.kind)
@@ -83,8 +78,7 @@ class Block:
         for s, first in zip(seqs, firsts.tolist(), strict=False):
             at = np.flatnonzero(s != self.none)
             t = s[at].astype(np.int64)
-            heavy = self.weighs[t]
-            p, t = at[heavy] // self.stride, t[heavy]
+            p = at // self.stride
             keys.append((p + first) * size + t)
             keys.append((p[p > 0] - 1 + first) * size + t[p > 0])
         keys, tf = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
@@ -100,21 +94,59 @@ def unit_rows(row: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return val / np.maximum(np.repeat(norm, np.diff(np.append(begin, len(row)))), 1e-30), begin
 
 
-def gram_times(term: np.ndarray, val: np.ndarray, begin: np.ndarray, q: np.ndarray, out: np.ndarray) -> None:
-    """out += A'(A q) for the sparse rows of A."""
-    edges = np.append(begin, len(term))
-    lo = 0
+def _sums(begin: np.ndarray, values: np.ndarray, index: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each run of entries (they begin at `begin`) the sum of values * q[index], some _NNZ entries at a time."""
+    edges, parts, lo = np.append(begin, len(index)), [np.zeros((0, q.shape[1]), np.float32)], 0
     while lo < len(begin):
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _NNZ, side="right")) - 1)
         s, e = int(edges[lo]), int(edges[hi])
-        v, t = val[s:e, None].astype(np.float32), term[s:e]
-        y = np.add.reduceat(v * q[t], begin[lo:hi] - s, axis=0)
-        back = v * np.repeat(y, np.diff(edges[lo : hi + 1]), axis=0)
-        order = np.argsort(t, kind="stable")
-        ts = t[order]
-        first = np.flatnonzero(np.diff(ts, prepend=-1))
-        out[ts[first]] += np.add.reduceat(back[order], first, axis=0)
+        parts.append(np.add.reduceat(values[s:e, None] * q[index[s:e]], begin[lo:hi] - s, axis=0))
         lo = hi
+    return np.concatenate(parts)
+
+
+class Passages:
+    """Some sparse rows (sorted by row, numbered from 0) over the block's terms; the terms `dense` are kept as columns of a dense matrix."""
+
+    def __init__(self, row: np.ndarray, term: np.ndarray, val: np.ndarray, n: int, dense: np.ndarray, size: int) -> None:
+        column = np.full(size, -1)
+        column[dense] = np.arange(len(dense))
+        at = column[term]
+        inside = at >= 0
+        self.dense, self.n, val = dense, n, val.astype(np.float32)
+        self.matrix = np.zeros((n, len(dense)), np.float32)
+        self.matrix[row[inside], at[inside]] = val[inside]
+        self.row, self.term, self.val = row[~inside], term[~inside], val[~inside]
+
+    def times(self, q: np.ndarray, held: bool = False) -> np.ndarray:
+        """A q; held: with 1 for every value of A."""
+        y = (self.matrix > 0).astype(np.float32) @ q[self.dense] if held else self.matrix @ q[self.dense]
+        begin = np.flatnonzero(np.diff(self.row, prepend=-1))
+        y[self.row[begin]] += _sums(begin, np.ones_like(self.val) if held else self.val, self.term, q)
+        return y
+
+    def add_back(self, y: np.ndarray, out: np.ndarray) -> None:
+        """out += A' y."""
+        out[self.dense] += self.matrix.T @ y
+        order = np.argsort(self.term, kind="stable")
+        terms = self.term[order]
+        begin = np.flatnonzero(np.diff(terms, prepend=-1))
+        out[terms[begin]] += _sums(begin, self.val[order], self.row[order], y)
+
+
+def passages_of(term: np.ndarray, val: np.ndarray, begin: np.ndarray, dense: np.ndarray, size: int) -> Iterator[tuple[int, Passages]]:
+    """The sparse rows that begin at `begin`, _ROWS at a time, with the place of the first."""
+    edges = np.append(begin, len(term))
+    for lo in range(0, len(begin), _ROWS):
+        hi = min(lo + _ROWS, len(begin))
+        s, e = int(edges[lo]), int(edges[hi])
+        yield lo, Passages(np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1])), term[s:e], val[s:e], hi - lo, dense, size)
+
+
+def gram_times(term: np.ndarray, val: np.ndarray, begin: np.ndarray, q: np.ndarray, out: np.ndarray, dense: np.ndarray) -> None:
+    """out += A'(A q) for the sparse rows of A."""
+    for _, a in passages_of(term, val, begin, dense, len(q)):
+        a.add_back(a.times(q), out)
 
 
 def lcs(item: np.ndarray, text: np.ndarray) -> int:
@@ -174,19 +206,20 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
     df = np.zeros(len(b.terms) + 1)
     df[got.column(0).to_numpy()] = got.column(1).to_numpy()
     passages = max(float(df[-1]), 1.0)
-    b.weigh(df[:-1], passages)
-    idf = np.log((passages + len(items)) / (df[:-1] + 1)).clip(1e-6)
+    dense = np.argsort(-df[:-1], kind="stable")[:DENSE]
+    idf = np.log((passages + len(b.parts)) / (df[:-1] + 1)).clip(1e-6)
 
     def rows_of(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         row, term, tf, firsts = b.counts(seqs)
         val, begin = unit_rows(row, tf * idf[term])
         return row, term, val, begin, firsts
 
-    # items as rows: one passage each, weighted to as much as all passages together
-    heavy = [s[b.weighs[s]] for s in b.items]
-    item_keys, tf = np.unique(np.concatenate([i * len(b.terms) + s for i, s in enumerate(heavy)]), return_counts=True)
+    # parts as rows: one passage each, weighted to as much as all passages together
+    item_keys, tf = np.unique(np.concatenate([i * len(b.terms) + s for i, s in enumerate(b.parts)]), return_counts=True)
     item_row, item_term = item_keys // len(b.terms), item_keys % len(b.terms)
     item_val, item_begin = unit_rows(item_row, tf * idf[item_term])
+    held = np.zeros((len(b.terms), len(b.parts)), np.float32)  # the share of a part's words that a term is
+    held[item_term, item_row] = tf / np.bincount(item_row, tf, len(b.parts))[item_row]
     weight = passages / max(len(item_begin), 1)
 
     def grams(q: np.ndarray) -> np.ndarray:
@@ -194,7 +227,7 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
             out = np.zeros(q.shape, np.float32)
             for _, seqs in _sequences(batches):
                 _, term, val, begin, _ = rows_of([np.frombuffer(s, b.kind) for s in seqs])
-                gram_times(term, val, begin, q, out)
+                gram_times(term, val, begin, q, out, dense)
             for at in range(0, len(out), _CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([out[at : at + _CHUNK].tobytes()], pa.binary())], ["at", "part"])
 
@@ -203,7 +236,7 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
             return pa.table({"at": table.column("at")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         own = np.zeros(q.shape, np.float32)
-        gram_times(item_term, item_val, item_begin, q, own)
+        gram_times(item_term, item_val, item_begin, q, own, dense)
         own *= np.float32(weight)
         parts = known.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").toArrow()
         for at, part in zip(parts.column("at").to_pylist(), parts.column("part").to_pylist(), strict=True):
@@ -211,35 +244,36 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
             own[at : at + len(x)] += x
         return own
 
-    rank = min(RANK, len(b.terms))
+    rank = min(max(RANK, len(b.parts) + RANK - ITEMS), len(b.terms))
     # the range finder starts from the items' own directions and random ones
     q = np.random.default_rng(seed).standard_normal((len(b.terms), rank)) / np.sqrt(len(b.terms))
-    q[:, : min(rank, len(b.items))] *= 0.01
+    q[:, : min(rank, len(b.parts))] *= 0.01
     inside = item_row < rank
     np.add.at(q, (item_term[inside], item_row[inside]), item_val[inside])
     q = np.linalg.qr(q)[0].astype(np.float32)
     for _ in range(PASSES):
         left, _, _ = np.linalg.svd(grams(q).astype(np.float64), full_matrices=False)
         q = left.astype(np.float32)
-    image = np.zeros((len(b.items), rank))
+    image = np.zeros((len(b.parts), rank))
     np.add.at(image, item_row, item_val[:, None] * q[item_term])
     image /= np.maximum(np.sqrt((image**2).sum(axis=1, keepdims=True)), 1e-12)
-    back = (q @ image.T).astype(np.float32)  # from terms to cosines with the items, through the subspace
+    back = (q @ image.T).astype(np.float32)  # from terms to cosines with the parts, through the subspace
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, packed in _sequences(batches):
             seqs = [np.frombuffer(s, b.kind) for s in packed]
             row, term, val, begin, firsts = rows_of(seqs)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            edges = np.append(begin, len(term))
-            lo = 0
-            while lo < len(begin):
-                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _NNZ, side="right")) - 1)
-                s, e = int(edges[lo]), int(edges[hi])
-                cos = np.add.reduceat(val[s:e, None].astype(np.float32) * back[term[s:e]], begin[lo:hi] - s, axis=0)
-                for i, k in np.argwhere(cos >= COSINE).tolist():
+            for lo, some in passages_of(term, val, begin, dense, len(b.terms)):
+                cos, share = some.times(back), some.times(held, held=True)
+                for i, part_no in np.argwhere((cos >= COSINE) | (share >= LOOSE_LCS - 1e-4)).tolist():
+                    k = int(b.owner[part_no])
                     passage = int(row[begin[lo + i]])
                     doc = int(np.searchsorted(firsts, passage, side="right")) - 1
+                    known_so_far = best.get((doc, k))
+                    if known_so_far and known_so_far[0] == 1:
+                        best[doc, k] = max(known_so_far, (1.0, float(cos[i, part_no]), known_so_far[2]))
+                        continue
                     item, start = b.items[k], (passage - int(firsts[doc])) * b.stride
                     text = seqs[doc][max(0, start - len(item)) : start + 2 * b.stride + len(item)]
                     text = text[np.isin(text, item)]
@@ -251,9 +285,8 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
                     close = item[-max(3, len(item) // 4) :]
                     answer = lcs(close, text) / len(close)
                     if whole >= LCS or answer >= ANSWER:
-                        found = (whole, float(cos[i, k]), answer)
+                        found = (whole, float(cos[i, part_no]), answer)
                         best[doc, k] = max(best.get((doc, k), found), found)
-                lo = hi
             if best:
                 at = sorted(best)
                 cols = [part.column(0).take(pa.array([d for d, _ in at])), pa.array([b.ids[k] for _, k in at]), *(pa.array([best[x][j] for x in at], pa.float64()) for j in (1, 0, 2))]
