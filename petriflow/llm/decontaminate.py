@@ -2,7 +2,7 @@
 
 Documents become sequences of the benchmark's terms. Overlapping passages get TF-IDF vectors over those terms; a distributed
 randomised SVD (subspace iteration: each task adds up its part of A'(A Q)) finds their leading directions, with the benchmark's
-items' parts (whole items) as weighted rows so that each part's direction is among them.
+items' parts as weighted rows so that each part's direction is among them. Items are cut into parts no longer than half a passage.
 Passages whose vectors have a cosine of COSINE or more with a part's image in that subspace are candidates, and so are those that hold
 terms of LOOSE_LCS or more of a part's words, however common these are. A candidate counts if the longest common subsequence with the whole item has LCS
 of its words, or LOOSE_LCS of them and ANSWER of its closing part, its answer.
@@ -49,7 +49,7 @@ def term_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Block:
-    """A block of items: their terms, term sequences, the passage stride, and their parts."""
+    """A block of items: their terms, term sequences, the passage stride, and their parts of one stride at most."""
 
     def __init__(self, items: list[tuple[object, str]]) -> None:
         row, h, n = term_hashes(pa.array([t or "" for _, t in items], pa.string()))
@@ -58,7 +58,7 @@ class Block:
         self.items = [seq[row == i] for i in range(n)]
         sizes = np.bincount(row, minlength=n)
         self.stride = int(np.clip(np.ceil(np.percentile(sizes, 90)) if n else 0, 8, 256))
-        cut = [[x] for x in self.items]
+        cut = [np.array_split(x, max(1, -(-len(x) // self.stride))) for x in self.items]
         self.parts = [x for c in cut for x in c]
         self.owner = np.repeat(np.arange(n), [len(c) for c in cut])
         self.kind = np.uint16 if len(self.terms) < 65535 else np.uint32
@@ -177,6 +177,11 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
     b = Block(items)
     if not len(b.terms):
         return None
+    if len(b.parts) > ITEMS and len(items) > 1:
+        by_size = [items[i] for i in np.argsort([len(x) for x in b.items], kind="stable")]
+        halves = [find_block(docs, half, id_col, text_col, seed) for half in (by_size[: len(items) // 2], by_size[len(items) // 2 :])]
+        found = [x for x in halves if x is not None]
+        return found[0].union(found[1]) if len(found) > 1 else found[0]
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
