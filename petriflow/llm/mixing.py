@@ -8,7 +8,8 @@ the domains' Gram matrix of documents with a positive rate. Starting at 1, rates
 
 Defined results: null and empty texts have 0 tokens and the posterior of a text without n-grams; repeated rows are rated
 alike; a domain without labelled rows has a small constant posterior; an empty table gives no rows; a target that no rates
-can meet is met as nearly as possible; columns of docs are carried along, those named like a result are replaced.
+can meet is met as nearly as possible; posteriors under LEAST_POSTERIOR count as 0, so targets are met for what is left of
+them (the README tells how far the whole ones are off); columns of docs are carried along, those named like a result are replaced.
 """
 
 from __future__ import annotations
