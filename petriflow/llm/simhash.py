@@ -264,7 +264,9 @@ def wide_links(nodes: DataFrame, n: int, similarity: float = SIMILARITY) -> Data
 
     Bits are sampled into tables: k = log2(n / 8) bits each, so a key holds about eight unrelated nodes at any size, and as many tables as make
     the chance of a similar pair to share no key MISS. Nodes of one key are compared in one task, _CHUNK at a time, later chunks with one
-    node of each group found before; edges of large groups form a forest, so a large group of copies costs what it has members."""
+    node of each group found before, so for keys of more than _CHUNK nodes the result is approximate: a node near another one of a group but not
+    near the one kept loses that candidate in this table. Edges of large groups form a forest, so a large group of copies costs what it has
+    members."""
     spark, bits = nodes.sparkSession, 64 * WIDE
     far = expected_distance(similarity)
     radius = int(np.ceil(bits * far + SPREAD * np.sqrt(bits * far * (1 - far))))
