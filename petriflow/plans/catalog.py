@@ -395,6 +395,12 @@ def _(s, d):
     return tidy(spatial.force_sums(_cell_points(s, d).join(cells(s, d).where("label = 1").select(F.col("cell_id").alias("id")), "id", "left_semi"), 400.0, 1.0, 0.1, "time"))
 
 
+@register("force_sums_whole")
+def _(s, d):
+    p = _cell_points(s, d).join(cells(s, d).select(F.col("cell_id").alias("id"), "label"), "id")
+    return tidy(spatial.force_sums(p, 400.0, 1.0, 0.1, "label", "time"))
+
+
 # --- gaps, imputation, forecasts ---------------------------------------------
 _HOLES = "h AS (SELECT label, time, count(*) n_cells, avg(intden) v FROM cells WHERE (label*7+time) % 5 <> 0 GROUP BY ALL)"
 
@@ -682,8 +688,9 @@ def _(s, d):
 _NUC = "nuc AS (SELECT p_partkey AS id, CAST((p_partkey*37) % 200 AS DOUBLE) AS cx, CAST((p_partkey*53) % 200 AS DOUBLE) AS cy, 3.0 + p_size % 7 AS a, 2.0 + p_size % 5 AS b, CAST((p_partkey*7) % 180 AS DOUBLE) AS angle, CAST(p_size AS DOUBLE) AS level FROM part WHERE p_partkey <= 200)"
 
 
-def _nuclei(s, d):
-    p = s.read.parquet(f"{d}/part.parquet").where("p_partkey <= 200")
+def _nuclei(s, d, whole=False):
+    p = s.read.parquet(f"{d}/part.parquet")
+    p = p if whole else p.where("p_partkey <= 200")
     k = F.col("p_partkey")
     return p.select(k.alias("id"), ((k * 37) % 200).cast("double").alias("cx"), ((k * 53) % 200).cast("double").alias("cy"), (F.lit(3.0) + F.col("p_size") % 7).alias("a"), (F.lit(2.0) + F.col("p_size") % 5).alias("b"), ((k * 7) % 180).cast("double").alias("angle"), F.col("p_size").cast("double").alias("level"))
 
@@ -698,9 +705,26 @@ def _(s, d):
     return tidy(synthetic.render(_nuclei(s, d), 200, 200))
 
 
+# over all rows; the counterparts in SQL, and the queries held against them, look at 200 nuclei
+@register("ellipse_geometry_whole")
+def _(s, d):
+    return tidy(synthetic.ellipse_geometry(_nuclei(s, d, whole=True)))
+
+
+@register("render_mask_whole")
+def _(s, d):
+    return tidy(synthetic.render(_nuclei(s, d, whole=True), 200, 200))
+
+
+@register("sample_counts_whole")
+def _(s, d):
+    n = _nuclei(s, d, whole=True).withColumn("sample", F.col("id") % 3).withColumn("cluster", F.col("id") % 7)
+    return tidy(clusters.sample_counts(n, "sample"))
+
+
 @register("render_gaussian")
 def _(s, d):
-    return tidy(synthetic.render(_nuclei(s, d), 200, 200, "gaussian"))
+    return tidy(synthetic.render(_nuclei(s, d, whole=True), 200, 200, "gaussian"))
 
 
 @register("cluster_merge_pairs", f"{C}, k AS (SELECT label AS sample, time AS cluster, CAST(trunc(avg(x)) AS INTEGER) x, CAST(trunc(avg(y)) AS INTEGER) y FROM cells GROUP BY ALL) SELECT a.sample, a.cluster AS first, b.cluster AS second FROM k a JOIN k b ON a.sample = b.sample AND a.cluster < b.cluster AND sqrt((a.x-b.x)^2+(a.y-b.y)^2) < 150")
