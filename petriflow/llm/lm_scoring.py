@@ -27,6 +27,8 @@ from petriflow.llm.exchange import ask, buckets_for, cuts, gather, pack, pack_nu
 
 ORDER, SHARE, DISCOUNT = 2, 0.35, 0.7
 FOLDS, FOLD = 7, 2
+#: Order of the registered query: states of one and of two words, with failure arcs between them.
+QUERY_ORDER = 3
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -197,4 +199,4 @@ def score_texts(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_co
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % FOLDS == FOLD
-    return score_texts(docs, held).withColumnRenamed("id", "doc_id")
+    return score_texts(docs, held, order=QUERY_ORDER).withColumnRenamed("id", "doc_id")
