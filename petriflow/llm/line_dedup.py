@@ -1,301 +1,140 @@
-"""Exact set-similarity join of lines; later matches are removed.
+"""Exact set-similarity join of lines; later matches are removed. DataFrame functions only.
 
-A line is the set of its words. Words are ordered by rarity: a sketch of SLOTS counts over all words of the corpus, of a fixed
-size, gives each word a rank, ties by hash. Two lines with Jaccard similarity T or more share a word among the first
-n - ceil(T n) + 1 of each (prefix filter); lengths, the places of the shared word and the parity of the words' hashes bound
-the overlap further (length, positional and bitmap filters); what is left is verified on the whole sets.
+A line is the set of its words. Equal sets, told by 128 bits over the hashes of their words, are one set that stands where it first
+occurs. Words are ordered by rarity: counts of all words of the corpus in SLOTS slots, a table of a fixed size, give each word a rank,
+ties by hash. Two sets with Jaccard similarity T or more share a word among the first n - ceil(T n) + 1 of each (prefix
+filter); sizes, the places of the shared word and the parity of the words' hashes bound the overlap further (length,
+positional and bitmap filters); what is left is verified on the words themselves, read again from the documents.
 
-A line is removed where an earlier line (by document id, line number) matches it; equal lines match. Texts travel in packed blocks, the
-prefix words in one sorted run for each block and bucket of words. Under each word the lines, in order, look for their FIRST
-earliest candidates; those settle large groups of near copies at a cost linear in their size. A line whose candidates all fail
-and which may have more looks for all of them in a second round. So no group is expanded into its pairs and no
-candidate is given up.
+A line goes where an earlier line matches it. One earlier match settles a set, so the join has two rounds: first each set meets
+only the earliest set under each of its LEADERS rarest words, which settles groups of near copies at a cost linear in their size; then
+the sets still open, and only they, look for all earlier sets under all words of their prefixes. No candidate is given up.
 
-Defined results: null texts have no lines; lines without words are kept; rows that repeat an id are taken in an order of their own, so
-the later one loses the lines of the first; null ids come first; an empty table gives no rows.
+Defined results: null texts have no lines; lines without words are kept; lines are ordered by id (null first), line number and hash of
+the text, so rows that repeat an id are compared line by line, and of rows that repeat id and text one keeps its lines and the
+others lose all that have words; an empty table gives no rows; ids are of any type that can be ordered; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from petriflow.llm.common import mix, partitions, save, words
-from petriflow.llm.exchange import ask, buckets_for, expand, pack_numbers, pack_table, squeeze, text_blocks, unblock, unpack_numbers, unpack_table
+from petriflow.llm.common import save
 
 THRESHOLD = 0.8
-SLOTS, FIRST = 1 << 20, 8
-#: Lines looked at together, and the bits of a word's key: a rank of 7 bits and a hash.
-_LINES, _KEY = 1 << 20, 44
-
-
-def line_offsets(data: np.ndarray, off: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of all lines of a block, and how many lines each document has."""
-    breaks = np.flatnonzero(data == 10) + 1
-    count = np.where(missing, 0, np.diff(np.searchsorted(breaks, off, side="right")) + 1)
-    starts = np.sort(np.concatenate([off[:-1][~missing], breaks]), kind="stable")
-    return np.append(starts, len(data)), count
-
-
-class _Lines:
-    """The lines of a block: their words in rank order, sizes, parities and prefixes."""
-
-    def __init__(self, line: dict, ranks: np.ndarray | None, t: float) -> None:
-        data, off = unblock(line["sizes"], line["body"])
-        self.missing = line["missing"].values.to_numpy(zero_copy_only=False).astype(bool)
-        self.off, self.count = line_offsets(data, off, self.missing)
-        self.n_lines = len(self.off) - 1
-        self.row, _, _, self.h = words(data, self.off, lower=False)
-        if ranks is None:
-            return
-        self.n = np.zeros(self.n_lines, np.int64)
-        self.sig, self.digest = np.zeros(self.n_lines, np.uint64), np.zeros(self.n_lines, np.uint64)
-        keys, lines, places = [], [], []
-        for base in range(0, self.n_lines, _LINES):
-            a, b = np.searchsorted(self.row, [base, base + _LINES])
-            h, r = self.h[a:b], (self.row[a:b] - base).astype(np.uint64)
-            once = np.unique(mix(h ^ (r * np.uint64(0x9E3779B97F4A7C15))), return_index=True)[1]  # a word counts once in a line
-            once.sort()
-            h, r = h[once], r[once]
-            whole = np.flatnonzero(np.diff(r.astype(np.int64), prepend=-1))
-            if len(r):
-                self.digest[r[whole].astype(np.int64) + base] = np.add.reduceat(mix(h), whole)
-            both = (r << np.uint64(_KEY)) | (ranks[(h & np.uint64(SLOTS - 1)).astype(np.int64)] << np.uint64(_KEY - 7)) | (h >> np.uint64(64 - _KEY + 7))
-            both.sort()
-            r, key = (both >> np.uint64(_KEY)).astype(np.int64), both & np.uint64((1 << _KEY) - 1)
-            if not len(r):
-                continue
-            begin = np.flatnonzero(np.diff(r, prepend=-1))
-            size = np.diff(np.append(begin, len(r)))
-            self.n[r[begin] + base] = size
-            self.sig[r[begin] + base] = np.bitwise_xor.reduceat(np.uint64(1) << ((key >> np.uint64(5)) & np.uint64(63)), begin)
-            place = np.arange(len(r)) - np.repeat(begin, size)
-            reach = size - np.ceil(size * t - 1e-9).astype(np.int64) + 1
-            head = place < np.repeat(reach, size)
-            keys.append(key[head])
-            lines.append(r[head] + base)
-            places.append(place[head])
-        empty = np.zeros(0, np.int64)
-        self.keys, self.lines, self.places = (np.concatenate(x) if x else empty.astype(d) for x, d in ((keys, np.uint64), (lines, np.int64), (places, np.int64)))
-
-    def keep(self, marks: np.ndarray) -> None:
-        """Leave out the prefix words whose bit is not set."""
-        there = marks[(mix(self.keys) & np.uint64(SLOTS - 1)).astype(np.int64)]
-        self.keys, self.lines, self.places = self.keys[there], self.lines[there], self.places[there]
-
-    def sets(self, wanted: np.ndarray) -> Iterator[bytes]:
-        """The packed sets of lines."""
-        edges = np.searchsorted(self.row, np.column_stack([wanted, wanted + 1]).ravel())
-        for a, b in edges.reshape(-1, 2).tolist():
-            yield squeeze(np.unique(self.h[a:b]).tobytes())
-
-
-def _order(docs: DataFrame, id_col: str) -> Column:
-    """A number that ids are ordered by: themselves if whole numbers, else a hash; null comes first."""
-    whole = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    return F.coalesce(F.col(id_col).cast("long") if whole else F.xxhash64(id_col), F.lit(-(1 << 63)))
-
-
-def _first_pass(blocks: DataFrame, t: float) -> tuple[DataFrame, np.ndarray]:
-    """(block, ids, count) of all blocks, and ranks of the slots by the words of the corpus."""
-    kind = blocks.schema["ids"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "ids", "count", "slots"]
-        total = np.zeros(SLOTS, np.int64)
-        ids = None
-        for b in batches:
-            for i in range(b.num_rows):
-                line = {n: b.column(j)[i] for j, n in enumerate(b.schema.names)}
-                x = _Lines(line, None, t)
-                total += np.bincount((x.h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-                ids = b.column(b.schema.get_field_index("ids"))
-                yield pa.RecordBatch.from_arrays([pa.array([line["block"].as_py()], pa.int64()), ids.slice(i, 1), pa.array([x.count.tolist()], pa.list_(pa.int64())), pa.array([None], pa.binary())], names)
-        if ids is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([None], ids.type), pa.array([None], pa.list_(pa.int64())), pa.array([pack_numbers(total)], pa.binary())], names)
-
-    out = save(blocks.mapInArrow(run, f"block long, ids {kind}, count array<long>, slots binary"), "lines")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.uint64)
-        for b in batches:
-            for x in b.column(0):
-                total += unpack_numbers(x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([pack_numbers(total)], pa.binary())], ["slots"])
-
-    # sums of SLOTS numbers: one from each task, then one from each of a few partitions
-    parts = out.where("block < 0").select("slots").repartition(8).mapInArrow(add, "slots binary").toArrow().column(0)
-    total = np.zeros(SLOTS, np.uint64)
-    for x in parts:
-        total += unpack_numbers(x.as_py())
-    return out.where("block >= 0").drop("slots"), np.minimum(127, 1 + 3 * np.log2(total + 1.0)).astype(np.uint64)
-
-
-#: What travels with a prefix word: its line, the document's place in the order, words of the line, place of the word among them, parity and digest
-#: of the set, and whether the line looks for candidates.
-_FIELDS = ("key", "line", "rank", "n", "place", "sig", "digest", "probe")
-
-
-def _marks(blocks: DataFrame, ranks: np.ndarray, t: float) -> np.ndarray:
-    """SLOTS bits (as booleans) of the prefix words of the open lines: a word whose bit is not set is under none of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(SLOTS, bool)
-        for b in batches:
-            for i in range(b.num_rows):
-                line = {n: b.column(j)[i] for j, n in enumerate(b.schema.names)}
-                x = _Lines(line, ranks, t)
-                bits[(mix(x.keys[np.isin(x.lines, line["open"].values.to_numpy())]) & np.uint64(SLOTS - 1)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([squeeze(np.packbits(bits).tobytes())], pa.binary())], ["bits"])
-
-    out = np.zeros(SLOTS, bool)
-    for x in blocks.repartition(8).mapInArrow(run, "bits binary").toArrow().column(0):
-        out |= np.unpackbits(np.frombuffer(expand(x.as_py()), np.uint8)).astype(bool)
-    return out
-
-
-def _candidates(blocks: DataFrame, ranks: np.ndarray, buckets: int, t: float, most: int | None, marks: np.ndarray | None = None) -> DataFrame:
-    """(block, line, to_block, to_line, more): candidates of the probing lines (column open of blocks: their numbers; null: all).
-
-    marks: only words with a set bit are looked at. to_block is null for a line whose set is that of an earlier line: equal size, parity and digest, 128 bits in all. Equal sets have
-    the same rarest word, so they are told under that one only."""
-
-    def entries(line: dict) -> Iterator[pa.RecordBatch]:
-        x = _Lines(line, ranks, t)
-        if marks is not None:
-            x.keep(marks)
-        if not len(x.keys):
-            return
-        doc = np.repeat(np.arange(len(x.count)), x.count)
-        probe = np.ones(x.n_lines, np.uint64)
-        if line["open"].values is not None:
-            probe[:] = 0
-            probe[line["open"].values.to_numpy()] = 1
-        # ids as unsigned numbers in the same order
-        rank = line["orders"].values.to_numpy().view(np.uint64) ^ np.uint64(1 << 63)
-        bucket = (mix(x.keys) % np.uint64(buckets)).astype(np.int64)
-        to = np.lexsort([x.keys, bucket])
-        at = np.searchsorted(bucket[to], np.arange(buckets + 1))
-        full = np.flatnonzero(np.diff(at))
-        lines = x.lines[to]
-        fields = [x.keys[to], lines, rank[doc[lines]], x.n[lines], x.places[to], x.sig[lines], x.digest[lines], probe[lines]]
-        runs = [pack_table([f[at[i] : at[i + 1]] for f in fields]) for i in full.tolist()]
-        cols = [pa.array(full, pa.int32()), pa.array([line["block"].as_py()] * len(full), pa.int64()), pa.array(runs, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, ["bucket", "block", "run"])
-
-    def search(table: pa.Table) -> pa.Table:
-        runs = [unpack_table(x.as_py(), len(_FIELDS)) for x in table.column("run")]
-        block = np.repeat(table.column("block").to_numpy(), [len(x[0]) for x in runs])
-        key, line, rank, n, place, sig, digest, probe = (np.concatenate(x) for x in zip(*runs, strict=True))
-        by = np.lexsort([line, block, rank, key])
-        key, block, line, sig, digest, probe = key[by], block[by], line[by].astype(np.int64), sig[by], digest[by], probe[by]
-        n, place = n[by].astype(np.int64), place[by].astype(np.int64)
-        begin = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
-        first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-        # equal sets under one word: all but the first are settled
-        same = np.lexsort([np.arange(len(key)), digest, sig, n, first])
-        again = np.zeros(len(key), bool)
-        again[same[1:]] = (first[same[1:]] == first[same[:-1]]) & (n[same[1:]] == n[same[:-1]]) & (sig[same[1:]] == sig[same[:-1]]) & (digest[same[1:]] == digest[same[:-1]])
-        told = np.flatnonzero(again & (place == 0) & (probe > 0))
-        # only the first of equal sets looks on, and is looked at
-        keep = np.flatnonzero(~again)
-        key, block_, line_, sig, n, place, probe = key[keep], block[keep], line[keep], sig[keep], n[keep], place[keep], probe[keep]
-        begin = np.flatnonzero(np.diff(key, prepend=key[0] ^ np.uint64(1)))
-        first = np.repeat(begin, np.diff(np.append(begin, len(key))))
-        live = np.flatnonzero((np.arange(len(key)) > first) & (probe > 0))
-        found = np.zeros(len(key), np.int64)
-        xs, ys, d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-        while len(live):
-            other = first[live] + d
-            a, b = n[live], n[other]
-            ok = np.flatnonzero(np.minimum(a, b) >= np.maximum(a, b) * t - 1e-9)
-            x, y = live[ok], other[ok]
-            need = np.ceil((n[x] + n[y]) * (t / (1 + t)) - 1e-9).astype(np.int64)
-            good = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
-            good &= np.bitwise_count(sig[x] ^ sig[y]) <= n[x] + n[y] - 2 * need
-            x, y = x[good], y[good]
-            xs.append(x)
-            ys.append(y)
-            found[x] += 1
-            d += 1
-            live = live[(live > first[live] + d) & (True if most is None else found[live] < most)]
-        x, y = np.concatenate(xs), np.concatenate(ys)
-        more = found[x] >= most if most else np.zeros(len(x), bool)
-        none = pa.nulls(len(told), pa.int64())
-        return pa.table(
-            {
-                "block": pa.array(np.concatenate([block_[x], block[told]]), pa.int64()), "line": pa.array(np.concatenate([line_[x], line[told]]), pa.int64()),
-                "to_block": pa.chunked_array([pa.array(block_[y], pa.int64()), none]).combine_chunks(), "to_line": pa.chunked_array([pa.array(line_[y], pa.int64()), none]).combine_chunks(),
-                "more": pa.array(np.concatenate([more, np.zeros(len(told), bool)])),
-            }
-        )
-
-    found = ask(blocks, entries, "bucket int, block long, run binary").groupBy("bucket").applyInArrow(search, "block long, line long, to_block long, to_line long, more boolean")
-    return found.groupBy("block", "line", "to_block", "to_line").agg(F.max("more").alias("more"))
-
-
-def _verified(blocks: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(block, line, more, match) of pairs: whether the lines' whole sets reach similarity t."""
-    known = pairs.where("to_block is null").select("block", "line", "more", F.lit(True).alias("match"))
-    # a line that equals an earlier one needs no other proof
-    pairs = pairs.where("to_block is not null").join(known.select("block", "line"), ["block", "line"], "left_anti")
-    wanted = pairs.select("block", "line").union(pairs.select("to_block", "to_line")).distinct().groupBy("block").agg(F.array_sort(F.collect_list("line")).alias("wanted"))
-
-    def pick(line: dict) -> Iterator[pa.RecordBatch]:
-        w = line["wanted"].values.to_numpy()
-        got = list(_Lines(line, None, t).sets(w))
-        yield pa.RecordBatch.from_arrays([pa.array([line["block"].as_py()] * len(got), pa.int64()), pa.array(w, pa.int64()), pa.array(got, pa.binary())], ["block", "line", "words"])
-
-    sets = save(ask(blocks.join(wanted, "block"), pick, "block long, line long, words binary"), "sets")
-    a = sets.select("block", "line", F.col("words").alias("a"))
-    b = sets.select(F.col("block").alias("to_block"), F.col("line").alias("to_line"), F.col("words").alias("b"))
-    both = pairs.join(a, ["block", "line"]).join(b, ["to_block", "to_line"]).select("block", "line", "more", "a", "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column(3), batch.column(4), strict=True):
-                x, y = (np.frombuffer(expand(w.as_py()), np.uint64) for w in (a, b))
-                k = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(k >= t * (len(x) + len(y) - k) - 1e-9)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ok, pa.bool_())], ["block", "line", "more", "match"])
-
-    return known.union(both.mapInArrow(check, "block long, line long, more boolean, match boolean"))
-
-
-def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", first: int = FIRST) -> DataFrame:
+SLOTS, LEADERS = 1 << 18, 3
+_SPACE, _WORDY = "[ \\t-\\r]+", "[^ \\t-\\r]"
+#: A word's key: its rank of 7 bits, then so many bits of its hash.
+_HASH = 56
+
+
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, _SPACE), "")
+
+
+def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(o, th, ln, line): the lines of all documents by id, hash of the text and line number (from 0)."""
+    rows = docs.select(F.col(id_col).alias("o"), F.xxhash64(text_col).alias("th"), F.split(text_col, "\n").alias("lines"))
+    return rows.select("o", "th", F.posexplode("lines").alias("ln", "line"))
+
+
+def word_ranks(docs: DataFrame, text_col: str = "text", slots: int = SLOTS) -> Column:
+    """An array of the rank of each slot of words: three times the logarithm of how often they occur, 127 at most."""
+    spark = docs.sparkSession
+    words = docs.select(F.explode(_words(F.col(text_col))).alias("word"))
+    count = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
+    rank = F.least(F.lit(127), (F.lit(1) + 3 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int"))
+    every = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(count, "slot", "left").select("slot", rank.alias("rank"))
+    in_order = F.array_sort(F.collect_list(F.struct("slot", "rank")))
+    row = every.agg(F.array_join(F.transform(in_order, lambda x: x["rank"].cast("string")), ",").alias("ranks")).first()
+    return F.split(F.lit(row["ranks"]), ",").cast("array<int>")  # of a fixed size; folded into a constant
+
+
+def distinct_sets(docs: DataFrame, ranks: Column, t: float, id_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
+    """(o, ln, th, n, sig, prefix): the first place of each set of words, its size, parity bits, and the keys of its prefix."""
+    hashed = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
+    lines = _lines(docs, id_col, text_col).select("o", "ln", "th", hashed.alias("h")).where(F.size("h") > 0)
+
+    def key(h: Column) -> Column:
+        rank = F.get(ranks, h.bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long")
+        return F.shiftleft(rank, _HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH))
+
+    def parity(bits: Column, h: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
+
+    sig = F.aggregate("h", F.lit(0).cast("long"), parity)
+    keys = lines.select("o", "ln", "th", F.size("h").alias("n"), sig.alias("sig"), F.sort_array(F.transform("h", key)).alias("keys"))
+    prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
+    slim = keys.select("n", F.xxhash64("keys").alias("d"), F.xxhash64(F.lit(7), "keys").alias("e"), F.struct("o", "ln", "th", "sig", prefix.alias("prefix")).alias("s"))
+    return slim.groupBy("n", "d", "e").agg(F.min("s").alias("s")).select("s.o", "s.ln", "s.th", "n", "s.sig", "s.prefix")
+
+
+def _may_match(t: float) -> Column:
+    """Length, positional and bitmap filters of two entries a and b of one word."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    need = F.ceil((na + nb) * (t / (1 + t)) - 1e-9)
+    fits = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
+    places = F.least(na - F.col("a.place"), nb - F.col("b.place")) >= need
+    return fits & places & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= na + nb - 2 * need)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("o", "ln")]).distinct()
+
+
+def matched(docs: DataFrame, pairs: DataFrame, t: float, id_col: str, text_col: str) -> DataFrame:
+    """(o, ln, th) of the lines a of pairs of places whose words reach similarity t with those of b, which is earlier."""
+    pairs = save(pairs, "pairs")
+    wanted = save(pairs.select(*[F.col(f"a_{c}").alias(f"w_{c}") for c in ("o", "ln")]).union(pairs.select("b_o", "b_ln")).distinct(), "wanted")
+    found = save(_lines(docs, id_col, text_col).join(wanted, F.expr("o <=> w_o and ln = w_ln")).select("o", "ln", "th", "line"), "found")
+    side = lambda s: found.select(*[F.col(c).alias(f"{s}{c}") for c in found.columns])
+    both = pairs.join(side("x"), F.expr("a_o <=> xo and a_ln = xln")).join(side("y"), F.expr("b_o <=> yo and b_ln = yln"))
+    both = both.where(F.struct("yo", "yln", "yth") < F.struct("xo", "xln", "xth"))
+    x, y = F.array_distinct(_words(F.col("xline"))), F.array_distinct(_words(F.col("yline")))
+    sized = both.select("xo", "xln", "xth", F.size(F.array_intersect(x, y)).alias("k"), (F.size(x) + F.size(y)).alias("m"))
+    same = sized.where(F.col("k") >= t * (F.col("m") - F.col("k")) - 1e-9)
+    return save(same.select(F.col("xo").alias("o"), F.col("xln").alias("ln"), F.col("xth").alias("th")).distinct(), "matched")
+
+
+def _with_matched(sets: DataFrame, gone: DataFrame, how: str) -> DataFrame:
+    gone = gone.select(*[F.col(c).alias(f"g_{c}") for c in ("o", "ln", "th")])
+    return sets.join(gone, F.expr("o <=> g_o and ln = g_ln and th = g_th"), how)
+
+
+def open_sets(docs: DataFrame, t: float, id_col: str, text_col: str, leaders: int = LEADERS) -> DataFrame:
+    """(o, th, ln) of the first lines of the sets that no earlier set matches."""
+    sets = distinct_sets(docs, word_ranks(docs, text_col), t, id_col, text_col)
+    sets = save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
+    entry = ("o", "ln", "sid", "n", "sig")
+
+    few = sets.select(*entry, F.posexplode(F.slice("prefix", 1, leaders)).alias("place", "key"))
+    first = few.groupBy("key").agg(F.min(F.struct("o", "ln", "sid", "n", "sig", "place")).alias("b")).select("key", "b.*")
+    near = few.alias("a").join(first.alias("b"), "key").where((F.col("a.sid") != F.col("b.sid")) & _may_match(t))
+    gone = matched(docs, _pairs(near), t, id_col, text_col)
+
+    # both sides are one exchange: that settled sets look for nothing is a condition on the pair
+    every = _with_matched(sets, gone, "left").select(*entry, F.col("g_ln").isNull().alias("looks"), F.posexplode("prefix").alias("place", "key"))
+    a, b = every.alias("a"), every.alias("b")
+    earlier = F.struct("b.o", "b.ln") <= F.when(F.col("a.looks") | F.col("b.sid").isNull(), F.struct("a.o", "a.ln"))
+    meet = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.sid") != F.col("b.sid")) & F.coalesce(earlier, F.lit(False)) & _may_match(t))
+    more = matched(docs, _pairs(meet), t, id_col, text_col)
+    return _with_matched(_with_matched(sets.select("o", "th", "ln"), gone, "left_anti"), more, "left_anti")
+
+
+def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS) -> DataFrame:
     """(id, n_lines, n_removed, removed): one row per row of docs; removed lists the numbers (from 0) of the lines that go."""
-    named = docs.select(F.struct(F.col(id_col).alias("id"), _order(docs, id_col).alias("o"), F.col(text_col).isNull().alias("m")).alias("id"), F.col(text_col).alias("text"))
-    blocks = text_blocks(named, "id", "text").select("block", F.col("ids.id").alias("ids"), F.col("ids.o").alias("orders"), F.col("ids.m").alias("missing"), "sizes", "body")
-    blocks = save(blocks, "blocks")
-    buckets = max(2 * partitions(docs.sparkSession), buckets_for(blocks) // 3)
-    slim, ranks = _first_pass(blocks, t)
-    no_list = F.lit(None).cast("array<long>")
-    pairs = save(_candidates(blocks.withColumn("open", no_list), ranks, buckets, t, first), "pairs")
-    per_line = save(_verified(blocks, pairs, t).groupBy("block", "line").agg(F.max("match").alias("match"), F.max("more").alias("more")), "matched")
-    gone = per_line.where("match").select("block", "line")
-    again = per_line.where("not match and more").groupBy("block").agg(F.collect_list("line").alias("open"))
-    if not again.isEmpty():
-        again = save(again, "open")
-        marks = _marks(blocks.join(again, "block"), ranks, t)
-        rest = save(_candidates(blocks.join(again, "block", "left").withColumn("open", F.coalesce("open", F.array().cast("array<long>"))), ranks, buckets, t, None, marks), "pairs")
-        gone = gone.union(_verified(blocks, rest, t).where("match").select("block", "line").distinct())
-    lost = gone.groupBy("block").agg(F.array_sort(F.collect_list("line")).alias("gone"))
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def tell(line: dict) -> Iterator[pa.RecordBatch]:
-        count = line["count"].values.to_numpy()
-        ends = np.cumsum(count)
-        lines = line["gone"].values.to_numpy() if line["gone"].values is not None else np.zeros(0, np.int64)
-        doc = np.searchsorted(ends, lines, side="right")
-        removed = [(lines[a:b] - (e - c)).tolist() for a, b, e, c in zip(np.searchsorted(doc, np.arange(len(count))), np.searchsorted(doc, np.arange(len(count)), side="right"), ends, count, strict=True)]
-        yield pa.RecordBatch.from_arrays([line["ids"].values, pa.array(count), pa.array([len(r) for r in removed], pa.int64()), pa.array(removed, pa.list_(pa.int32()))], ["id", "n_lines", "n_removed", "removed"])
-
-    return ask(slim.join(lost, "block", "left").select("ids", "count", "gone"), tell, f"id {kind}, n_lines long, n_removed long, removed array<int>")
+    kept = open_sets(docs, t, id_col, text_col, leaders).groupBy("o", "th").agg(F.collect_list("ln").alias("kept"))
+    lines = F.split(text_col, "\n")
+    blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(_WORDY), i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.coalesce(F.size(lines), F.lit(0)).alias("n"), F.coalesce(blank, none).alias("blank"))
+    rows = rows.groupBy("id", "h").agg(F.first("n").alias("n"), F.first("blank").alias("blank"), F.count("*").alias("times"))
+    rows = rows.join(kept, F.expr("id <=> o and h = th"), "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    stay = F.when(F.col("copy") == 1, F.concat("blank", F.coalesce("kept", none))).otherwise(F.col("blank"))
+    every = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(none)
+    removed = F.array_except(every, stay)
+    return rows.select("id", F.col("n").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def remove_lines(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
