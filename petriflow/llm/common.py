@@ -34,23 +34,47 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+#: Spark's own switch that removes an execution's shuffle files when it has ended.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The shuffles behind the written rows are removed, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/petriflow/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._petriflow_path = path
+    return out
+
+
+def drop(*saved: DataFrame) -> None:
+    """Remove saved tables that nothing reads any more."""
+    for df in saved:
+        spark, path = df.sparkSession, df._petriflow_path
+        _remove(spark, path)
+        _made.remove((spark, path))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; the files are only scratch
             return
 

@@ -7,8 +7,8 @@ filter); sizes, the places of the shared word and the parity of the words' hashe
 positional and bitmap filters); what is left is verified on the words themselves, read again from the documents.
 
 A line goes where an earlier line matches it. One earlier match settles a set, so the join has two rounds: first each set meets
-only the earliest set under each of its LEADERS rarest words, which settles groups of near copies at a cost linear in their size; then
-the sets still open, and only they, look for all earlier sets under all words of their prefixes. No candidate is given up.
+only the earliest set under each of its LEADERS rarest words and
+the BEFORE sets just before it, which settles most near copies at a cost linear in their number; then the sets still open, and only they, look for all earlier sets under all words of their prefixes. No candidate is given up.
 
 Defined results: null texts have no lines; lines without words are kept; lines are ordered by id (null first), line number and hash of
 the text, so rows that repeat an id are compared line by line, and of rows that repeat id and text one keeps its lines and the
@@ -17,20 +17,23 @@ others lose all that have words; an empty table gives no rows; ids are of any ty
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from petriflow.llm.common import save
+from petriflow.llm.common import drop, save
 
 THRESHOLD = 0.8
-SLOTS, LEADERS = 1 << 18, 3
+SLOTS, LEADERS, BEFORE = 1 << 18, 6, 3
+#: Sets under one word that one task meets in the first round; groups of more frequent words are cut into as many.
+GROUP = 1 << 20
 _SPACE, _WORDY = "[ \\t-\\r]+", "[^ \\t-\\r]"
 #: A word's key: its rank of 7 bits, then so many bits of its hash.
 _HASH = 56
 
 
 def _words(text: Column) -> Column:
-    return F.array_remove(F.split(text, _SPACE), "")
+    """The words of a text that has some; the first may be empty."""
+    return F.split(text, _SPACE)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,31 +43,33 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_ranks(docs: DataFrame, text_col: str = "text", slots: int = SLOTS) -> Column:
-    """An array of the rank of each slot of words: three times the logarithm of how often they occur, 127 at most."""
+    """An array of the rank of each slot of words, in the bits of a key: three times the logarithm of how often they occur, 127 at most."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("word"))
+    text = F.col(text_col)
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    words = docs.select(F.explode(F.split(text, " ")).alias("word")).where("word <> ''")
     count = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    rank = F.least(F.lit(127), (F.lit(1) + 3 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int"))
+    rank = F.least(F.lit(127), (F.lit(1) + 3 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int")).cast("long")
     every = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(count, "slot", "left").select("slot", rank.alias("rank"))
     in_order = F.array_sort(F.collect_list(F.struct("slot", "rank")))
-    row = every.agg(F.array_join(F.transform(in_order, lambda x: x["rank"].cast("string")), ",").alias("ranks")).first()
-    return F.split(F.lit(row["ranks"]), ",").cast("array<int>")  # of a fixed size; folded into a constant
+    row = every.agg(F.array_join(F.transform(in_order, lambda x: F.shiftleft(x["rank"], _HASH).cast("string")), ",").alias("ranks")).first()
+    return F.split(F.lit(row["ranks"]), ",").cast("array<long>")  # of a fixed size; folded into a constant
 
 
 def distinct_sets(docs: DataFrame, ranks: Column, t: float, id_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
     """(o, ln, th, n, sig, prefix): the first place of each set of words, its size, parity bits, and the keys of its prefix."""
-    hashed = F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)))
-    lines = _lines(docs, id_col, text_col).select("o", "ln", "th", hashed.alias("h")).where(F.size("h") > 0)
+    lines = _lines(docs, id_col, text_col).where(F.col("line").rlike(_WORDY))
+    hashed = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
     def key(h: Column) -> Column:
-        rank = F.get(ranks, h.bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, _HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH))
+        return F.get(ranks, h.bitwiseAND(F.lit(slots - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH))
 
     def parity(bits: Column, h: Column) -> Column:
         return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
 
     sig = F.aggregate("h", F.lit(0).cast("long"), parity)
-    keys = lines.select("o", "ln", "th", F.size("h").alias("n"), sig.alias("sig"), F.sort_array(F.transform("h", key)).alias("keys"))
+    keys = lines.select("o", "ln", "th", hashed.alias("h")).select("o", "ln", "th", F.size("h").alias("n"), sig.alias("sig"), F.sort_array(F.transform("h", key)).alias("keys"))
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
     slim = keys.select("n", F.xxhash64("keys").alias("d"), F.xxhash64(F.lit(7), "keys").alias("e"), F.struct("o", "ln", "th", "sig", prefix.alias("prefix")).alias("s"))
     return slim.groupBy("n", "d", "e").agg(F.min("s").alias("s")).select("s.o", "s.ln", "s.th", "n", "s.sig", "s.prefix")
@@ -87,14 +92,15 @@ def matched(docs: DataFrame, pairs: DataFrame, t: float, id_col: str, text_col:
     """(o, ln, th) of the lines a of pairs of places whose words reach similarity t with those of b, which is earlier."""
     pairs = save(pairs, "pairs")
     wanted = save(pairs.select(*[F.col(f"a_{c}").alias(f"w_{c}") for c in ("o", "ln")]).union(pairs.select("b_o", "b_ln")).distinct(), "wanted")
-    found = save(_lines(docs, id_col, text_col).join(wanted, F.expr("o <=> w_o and ln = w_ln")).select("o", "ln", "th", "line"), "found")
+    lines = _lines(docs, id_col, text_col).join(wanted, F.expr("o <=> w_o and ln = w_ln"))
+    found = save(lines.select("o", "ln", "th", F.array_remove(F.array_distinct(_words(F.col("line"))), "").alias("w")), "found")
     side = lambda s: found.select(*[F.col(c).alias(f"{s}{c}") for c in found.columns])
     both = pairs.join(side("x"), F.expr("a_o <=> xo and a_ln = xln")).join(side("y"), F.expr("b_o <=> yo and b_ln = yln"))
     both = both.where(F.struct("yo", "yln", "yth") < F.struct("xo", "xln", "xth"))
-    x, y = F.array_distinct(_words(F.col("xline"))), F.array_distinct(_words(F.col("yline")))
-    sized = both.select("xo", "xln", "xth", F.size(F.array_intersect(x, y)).alias("k"), (F.size(x) + F.size(y)).alias("m"))
-    same = sized.where(F.col("k") >= t * (F.col("m") - F.col("k")) - 1e-9)
-    return save(same.select(F.col("xo").alias("o"), F.col("xln").alias("ln"), F.col("xth").alias("th")).distinct(), "matched")
+    same = both.where(F.size(F.array_intersect("xw", "yw")) * (1 + t) >= t * (F.size("xw") + F.size("yw")) - 1e-9)
+    out = save(same.select(F.col("xo").alias("o"), F.col("xln").alias("ln"), F.col("xth").alias("th")).distinct(), "matched")
+    drop(pairs, wanted, found)
+    return out
 
 
 def _with_matched(sets: DataFrame, gone: DataFrame, how: str) -> DataFrame:
@@ -102,29 +108,41 @@ def _with_matched(sets: DataFrame, gone: DataFrame, how: str) -> DataFrame:
     return sets.join(gone, F.expr("o <=> g_o and ln = g_ln and th = g_th"), how)
 
 
-def open_sets(docs: DataFrame, t: float, id_col: str, text_col: str, leaders: int = LEADERS) -> DataFrame:
+def leaders_of(sets: DataFrame, t: float, leaders: int, before: int) -> DataFrame:
+    """Pairs of places: each set and, under each of its rarest words, the earliest set of a group and those just before it, if they may match.
+
+    Words that the ranks tell to be frequent have their sets dealt to groups of about GROUP."""
+    entry = ("o", "ln", "sid", "n", "sig")
+    few = sets.select(*entry, F.posexplode(F.slice("prefix", 1, leaders)).alias("place", "key"))
+    groups = F.ceil(F.pow(F.lit(2.0), (F.shiftrightunsigned("key", _HASH) - 1) / 3) / GROUP)
+    few = few.withColumn("part", F.pmod(F.hash("sid"), groups).cast("int"))
+    here = F.struct(*entry, "place")
+    w = Window.partitionBy("key", "part").orderBy("o", "ln", "sid")
+    seen = few.withColumn("near", F.array(F.first(here).over(w), *[F.lag(here, k).over(w) for k in range(1, before + 1)]))
+    near = seen.select(here.alias("a"), F.explode(F.array_distinct("near")).alias("b")).where("b is not null and a.sid <> b.sid")
+    return _pairs(near.where(_may_match(t)))
+
+
+def open_sets(docs: DataFrame, t: float, id_col: str, text_col: str, leaders: int = LEADERS, before: int = BEFORE) -> DataFrame:
     """(o, th, ln) of the first lines of the sets that no earlier set matches."""
     sets = distinct_sets(docs, word_ranks(docs, text_col), t, id_col, text_col)
     sets = save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
-    entry = ("o", "ln", "sid", "n", "sig")
-
-    few = sets.select(*entry, F.posexplode(F.slice("prefix", 1, leaders)).alias("place", "key"))
-    first = few.groupBy("key").agg(F.min(F.struct("o", "ln", "sid", "n", "sig", "place")).alias("b")).select("key", "b.*")
-    near = few.alias("a").join(first.alias("b"), "key").where((F.col("a.sid") != F.col("b.sid")) & _may_match(t))
-    gone = matched(docs, _pairs(near), t, id_col, text_col)
+    gone = matched(docs, leaders_of(sets, t, leaders, before), t, id_col, text_col)
 
     # both sides are one exchange: that settled sets look for nothing is a condition on the pair
-    every = _with_matched(sets, gone, "left").select(*entry, F.col("g_ln").isNull().alias("looks"), F.posexplode("prefix").alias("place", "key"))
+    every = _with_matched(sets, gone, "left").select("o", "ln", "sid", "n", "sig", F.col("g_ln").isNull().alias("looks"), F.posexplode("prefix").alias("place", "key"))
     a, b = every.alias("a"), every.alias("b")
     earlier = F.struct("b.o", "b.ln") <= F.when(F.col("a.looks") | F.col("b.sid").isNull(), F.struct("a.o", "a.ln"))
     meet = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.sid") != F.col("b.sid")) & F.coalesce(earlier, F.lit(False)) & _may_match(t))
     more = matched(docs, _pairs(meet), t, id_col, text_col)
-    return _with_matched(_with_matched(sets.select("o", "th", "ln"), gone, "left_anti"), more, "left_anti")
+    out = save(_with_matched(_with_matched(sets.select("o", "th", "ln"), gone, "left_anti"), more, "left_anti"), "open")
+    drop(sets, gone, more)
+    return out
 
 
-def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS) -> DataFrame:
+def decisions(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", leaders: int = LEADERS, before: int = BEFORE) -> DataFrame:
     """(id, n_lines, n_removed, removed): one row per row of docs; removed lists the numbers (from 0) of the lines that go."""
-    kept = open_sets(docs, t, id_col, text_col, leaders).groupBy("o", "th").agg(F.collect_list("ln").alias("kept"))
+    kept = open_sets(docs, t, id_col, text_col, leaders, before).groupBy("o", "th").agg(F.collect_list("ln").alias("kept"))
     lines = F.split(text_col, "\n")
     blank = F.filter(F.transform(lines, lambda x, i: F.when(~x.rlike(_WORDY), i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")
