@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from petriflow.llm.common import drop, save
 
 THRESHOLD = 0.8
-SLOTS, LEADERS, BEFORE = 1 << 18, 6, 3
+SLOTS, LEADERS, BEFORE = 1 << 18, 6, 1
 #: Sets under one word that one task meets in the first round; groups of more frequent words are cut into as many.
 GROUP = 1 << 20
 _SPACE, _WORDY = "[ \\t-\\r]+", "[^ \\t-\\r]"
@@ -43,18 +43,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_ranks(docs: DataFrame, text_col: str = "text", slots: int = SLOTS) -> Column:
-    """An array of the rank of each slot of words, in the bits of a key: three times the logarithm of how often they occur, 127 at most."""
+    """An array of the rank of each slot of words: three times the logarithm of how often they occur, 127 at most."""
     spark = docs.sparkSession
     text = F.col(text_col)
     for c in "\t\n\x0b\x0c\r":
         text = F.replace(text, F.lit(c), F.lit(" "))
     words = docs.select(F.explode(F.split(text, " ")).alias("word")).where("word <> ''")
     count = words.groupBy(F.xxhash64("word").bitwiseAND(F.lit(slots - 1)).cast("int").alias("slot")).agg(F.count("*").alias("n"))
-    rank = F.least(F.lit(127), (F.lit(1) + 3 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int")).cast("long")
+    rank = F.least(F.lit(127), (F.lit(1) + 3 * F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("int"))
     every = spark.range(slots).select(F.col("id").cast("int").alias("slot")).join(count, "slot", "left").select("slot", rank.alias("rank"))
     in_order = F.array_sort(F.collect_list(F.struct("slot", "rank")))
-    row = every.agg(F.array_join(F.transform(in_order, lambda x: F.shiftleft(x["rank"], _HASH).cast("string")), ",").alias("ranks")).first()
-    return F.split(F.lit(row["ranks"]), ",").cast("array<long>")  # of a fixed size; folded into a constant
+    row = every.agg(F.array_join(F.transform(in_order, lambda x: x["rank"].cast("string")), ",").alias("ranks")).first()
+    return F.split(F.lit(row["ranks"]), ",").cast("array<int>")  # of a fixed size; folded into a constant
 
 
 def distinct_sets(docs: DataFrame, ranks: Column, t: float, id_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
@@ -63,7 +63,8 @@ def distinct_sets(docs: DataFrame, ranks: Column, t: float, id_col: str, text_co
     hashed = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
     def key(h: Column) -> Column:
-        return F.get(ranks, h.bitwiseAND(F.lit(slots - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH))
+        rank = F.get(ranks, h.bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long")
+        return F.shiftleft(rank, _HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH))
 
     def parity(bits: Column, h: Column) -> Column:
         return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
@@ -93,11 +94,14 @@ def matched(docs: DataFrame, pairs: DataFrame, t: float, id_col: str, text_col:
     pairs = save(pairs, "pairs")
     wanted = save(pairs.select(*[F.col(f"a_{c}").alias(f"w_{c}") for c in ("o", "ln")]).union(pairs.select("b_o", "b_ln")).distinct(), "wanted")
     lines = _lines(docs, id_col, text_col).join(wanted, F.expr("o <=> w_o and ln = w_ln"))
-    found = save(lines.select("o", "ln", "th", F.array_remove(F.array_distinct(_words(F.col("line"))), "").alias("w")), "found")
+    found = save(lines.select("o", "ln", "th", "line"), "found")
     side = lambda s: found.select(*[F.col(c).alias(f"{s}{c}") for c in found.columns])
     both = pairs.join(side("x"), F.expr("a_o <=> xo and a_ln = xln")).join(side("y"), F.expr("b_o <=> yo and b_ln = yln"))
     both = both.where(F.struct("yo", "yln", "yth") < F.struct("xo", "xln", "xth"))
-    same = both.where(F.size(F.array_intersect("xw", "yw")) * (1 + t) >= t * (F.size("xw") + F.size("yw")) - 1e-9)
+    words = lambda line: F.array_remove(F.array_distinct(_words(F.col(line))), "")
+    sets = F.array(F.struct(words("xline").alias("x"), words("yline").alias("y")))  # a list of one pair, so that the words are split once
+    reach = lambda p: F.size(F.array_intersect(p["x"], p["y"])) * (1 + t) >= t * (F.size(p["x"]) + F.size(p["y"])) - 1e-9
+    same = both.where(F.exists(sets, reach))
     out = save(same.select(F.col("xo").alias("o"), F.col("xln").alias("ln"), F.col("xth").alias("th")).distinct(), "matched")
     drop(pairs, wanted, found)
     return out
@@ -119,7 +123,7 @@ def leaders_of(sets: DataFrame, t: float, leaders: int, before: int) -> DataFram
     here = F.struct(*entry, "place")
     w = Window.partitionBy("key", "part").orderBy("o", "ln", "sid")
     seen = few.withColumn("near", F.array(F.first(here).over(w), *[F.lag(here, k).over(w) for k in range(1, before + 1)]))
-    near = seen.select(here.alias("a"), F.explode(F.array_distinct("near")).alias("b")).where("b is not null and a.sid <> b.sid")
+    near = seen.select(here.alias("a"), F.explode("near").alias("b")).where("b is not null and a.sid <> b.sid")
     return _pairs(near.where(_may_match(t)))
 
 
@@ -129,11 +133,13 @@ def open_sets(docs: DataFrame, t: float, id_col: str, text_col: str, leaders: in
     sets = save(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
     gone = matched(docs, leaders_of(sets, t, leaders, before), t, id_col, text_col)
 
-    # both sides are one exchange: that settled sets look for nothing is a condition on the pair
-    every = _with_matched(sets, gone, "left").select("o", "ln", "sid", "n", "sig", F.col("g_ln").isNull().alias("looks"), F.posexplode("prefix").alias("place", "key"))
+    # looks is null for settled sets; the condition on it needs it from both sides, so that they have the same columns and are one exchange
+    looks = F.when(F.col("g_ln").isNull(), F.lit(True)).alias("looks")
+    every = _with_matched(sets, gone, "left").select("o", "ln", "sid", "n", "sig", looks, F.posexplode("prefix").alias("place", "key"))
     a, b = every.alias("a"), every.alias("b")
-    earlier = F.struct("b.o", "b.ln") <= F.when(F.col("a.looks") | F.col("b.sid").isNull(), F.struct("a.o", "a.ln"))
-    meet = a.join(b, F.col("a.key") == F.col("b.key")).where((F.col("a.sid") != F.col("b.sid")) & F.coalesce(earlier, F.lit(False)) & _may_match(t))
+    asks = F.coalesce(F.col("a.looks"), F.col("b.looks") & (F.col("b.sid") < 0))
+    earlier = (F.struct("b.o", "b.ln") <= F.struct("a.o", "a.ln")) & (F.col("a.sid") != F.col("b.sid"))
+    meet = a.join(b, F.col("a.key") == F.col("b.key")).where(earlier & asks & _may_match(t))
     more = matched(docs, _pairs(meet), t, id_col, text_col)
     out = save(_with_matched(_with_matched(sets.select("o", "th", "ln"), gone, "left_anti"), more, "left_anti"), "open")
     drop(sets, gone, more)
