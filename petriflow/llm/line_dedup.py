@@ -58,7 +58,7 @@ def word_ranks(docs: DataFrame, text_col: str = "text", slots: int = SLOTS) -> C
 
 
 def distinct_sets(docs: DataFrame, ranks: Column, t: float, id_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
-    """(o, ln, th, n, sig, prefix): the first place of each set of words, its size, parity bits, and the keys of its prefix."""
+    """(o, ln, th, n, low, high, prefix): the first place of each set of words, its size, 128 parity bits, and the keys of its prefix."""
     lines = _lines(docs, id_col, text_col).where(F.col("line").rlike(_WORDY))
     hashed = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
@@ -66,14 +66,15 @@ def distinct_sets(docs: DataFrame, ranks: Column, t: float, id_col: str, text_co
         rank = F.get(ranks, h.bitwiseAND(F.lit(slots - 1)).cast("int")).cast("long")
         return F.shiftleft(rank, _HASH).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH))
 
-    def parity(bits: Column, h: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 58).cast("int")))
+    def parity(part: Column) -> Column:
+        flip = lambda h: F.call_function("shiftleft", ((h < 0) == part).cast("long"), F.shiftrightunsigned(h, 57).bitwiseAND(F.lit(63)).cast("int"))
+        return F.aggregate("h", F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(flip(h)))
 
-    sig = F.aggregate("h", F.lit(0).cast("long"), parity)
-    keys = lines.select("o", "ln", "th", hashed.alias("h")).select("o", "ln", "th", F.size("h").alias("n"), sig.alias("sig"), F.sort_array(F.transform("h", key)).alias("keys"))
+    bits = F.array(parity(F.lit(False)), parity(F.lit(True)))
+    keys = lines.select("o", "ln", "th", hashed.alias("h")).select("o", "ln", "th", F.size("h").alias("n"), bits.alias("bits"), F.sort_array(F.transform("h", key)).alias("keys"))
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int"))
-    slim = keys.select("n", F.xxhash64("keys").alias("d"), F.xxhash64(F.lit(7), "keys").alias("e"), F.struct("o", "ln", "th", "sig", prefix.alias("prefix")).alias("s"))
-    return slim.groupBy("n", "d", "e").agg(F.min("s").alias("s")).select("s.o", "s.ln", "s.th", "n", "s.sig", "s.prefix")
+    slim = keys.select("n", F.xxhash64("keys").alias("d"), F.xxhash64(F.lit(7), "keys").alias("e"), F.struct("o", "ln", "th", F.col("bits")[0].alias("low"), F.col("bits")[1].alias("high"), prefix.alias("prefix")).alias("s"))
+    return slim.groupBy("n", "d", "e").agg(F.min("s").alias("s")).select("s.o", "s.ln", "s.th", "n", "s.low", "s.high", "s.prefix")
 
 
 def _may_match(t: float) -> Column:
@@ -82,7 +83,8 @@ def _may_match(t: float) -> Column:
     need = F.ceil((na + nb) * (t / (1 + t)) - 1e-9)
     fits = F.least(na, nb) >= F.greatest(na, nb) * t - 1e-9
     places = F.least(na - F.col("a.place"), nb - F.col("b.place")) >= need
-    return fits & places & (F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= na + nb - 2 * need)
+    differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("low", "high")), F.lit(0))
+    return fits & places & (differ <= na + nb - 2 * need)
 
 
 def _pairs(joined: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def leaders_of(sets: DataFrame, t: float, leaders: int, before: int) -> DataFram
     """Pairs of places: each set and, under each of its rarest words, the earliest set of a group and those just before it, if they may match.
 
     Words that the ranks tell to be frequent have their sets dealt to groups of about GROUP."""
-    entry = ("o", "ln", "sid", "n", "sig")
+    entry = ("o", "ln", "sid", "n", "low", "high")
     few = sets.select(*entry, F.posexplode(F.slice("prefix", 1, leaders)).alias("place", "key"))
     groups = F.ceil(F.pow(F.lit(2.0), (F.shiftrightunsigned("key", _HASH) - 1) / 3) / GROUP)
     few = few.withColumn("part", F.pmod(F.hash("sid"), groups).cast("int"))
@@ -135,7 +137,7 @@ def open_sets(docs: DataFrame, t: float, id_col: str, text_col: str, leaders: in
 
     # looks is null for settled sets; the condition on it needs it from both sides, so that they have the same columns and are one exchange
     looks = F.when(F.col("g_ln").isNull(), F.lit(True)).alias("looks")
-    every = _with_matched(sets, gone, "left").select("o", "ln", "sid", "n", "sig", looks, F.posexplode("prefix").alias("place", "key"))
+    every = _with_matched(sets, gone, "left").select("o", "ln", "sid", "n", "low", "high", looks, F.posexplode("prefix").alias("place", "key"))
     a, b = every.alias("a"), every.alias("b")
     asks = F.coalesce(F.col("a.looks"), F.col("b.looks") & (F.col("b.sid") < 0))
     earlier = (F.struct("b.o", "b.ln") <= F.struct("a.o", "a.ln")) & (F.col("a.sid") != F.col("b.sid"))
