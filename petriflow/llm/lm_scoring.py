@@ -2,7 +2,7 @@
 
 States are n-grams seen in training (up to order - 1 words), arcs the n-grams that extend them, weighted with interpolated
 probabilities; a failure arc leads from a state to its longest proper suffix at the cost of the weight left for words not
-seen after it. A text is scored in one left-to-right traversal that carries the state. Counts are gathered from the whole
+seen after it. Texts are scored in one left-to-right traversal that carries the state. Counts are gathered from the whole
 corpus; each packed block of texts gets the counts of its own n-grams, so it holds exactly the part of the automaton
 that its texts can enter, and no process holds the model.
 
@@ -25,10 +25,9 @@ from pyspark.sql import functions as F
 from petriflow.llm.common import mix, save, words
 from petriflow.llm.exchange import ask, buckets_for, cuts, gather, pack, pack_numbers, text_blocks, unblock, unpack, unpack_numbers
 
-ORDER, SHARE, DISCOUNT = 2, 0.35, 0.7
+#: Order 3: states of one and of two words, with failure arcs between them.
+ORDER, SHARE, DISCOUNT = 3, 0.35, 0.7
 FOLDS, FOLD = 7, 2
-#: Order of the registered query: states of one and of two words, with failure arcs between them.
-QUERY_ORDER = 3
 _BEGIN, _END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 _CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,60 +105,48 @@ def _totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
 
 
 class Automaton:
-    """The part of the automaton that a block's texts can enter; a state is an n-gram (0: the empty one)."""
+    """The part of the automaton that a block's texts can enter.
+
+    States are the seen n-grams of up to order - 1 words; as every suffix of a seen n-gram is seen, the state that a traversal carries
+    after a place is the longest seen n-gram that ends there. So all texts of a block are traversed at once: each place knows
+    the state before it, and follows failure arcs from there until an arc for its word is found."""
 
     def __init__(self, b: _Block, totals: list[np.ndarray], n_tokens: int, n_kinds: int, share: float, discount: float) -> None:
-        order = len(b.keys)
-        known = totals[0] > 0
+        self.block, self.cost = b, float(np.log10(1 - share))
+        self.seen = [t > 0 for t in totals]
         if n_tokens:
-            p = np.where(known, (totals[0].astype(np.float64) - discount) / n_tokens, discount * n_kinds / n_tokens)
+            p = np.where(self.seen[0], (totals[0].astype(np.float64) - discount) / n_tokens, discount * n_kinds / n_tokens)
         else:
-            p = np.ones(len(known))
-        self.n_words = len(known)
-        self.root = np.log10(p).tolist()
-        base, ids = 1, []
-        for k in range(1, order):
-            ids.append(np.where(totals[k - 1] > 0, base + np.arange(len(totals[k - 1])), 0))
-            base += len(totals[k - 1])
-        self.suffix, self.cost = np.zeros(base, np.int64), float(np.log10(1 - share))
-        self.after_root = (ids[0] if ids else np.zeros(len(known), np.int64)).tolist()
-        keys, nexts, weights = [], [], []
-        for k in range(2, order + 1):
-            t, at = totals[k - 1], b.at[k - 1]
-            context, tail, token = b.inverse[k - 2][at - 1], b.inverse[k - 2][at], b.inverse[0][at]
+            p = np.ones(len(totals[0]))
+        self.weight = [np.log10(p)]
+        for k in range(2, len(totals) + 1):
+            at = b.at[k - 1]
+            context, tail = b.inverse[k - 2][at - 1], b.inverse[k - 2][at]
             under = totals[k - 2][context].astype(np.float64)
-            p = np.where(under > 0, share * t / np.maximum(under, 1) + (1 - share) * p[tail], p[tail])
-            seen = np.flatnonzero(t > 0)
-            keys.append(ids[k - 2][context[seen]] * self.n_words + token[seen])
-            weights.append(np.log10(p[seen]))
-            if k < order:
-                nexts.append(ids[k - 1][seen])
-                self.suffix[ids[k - 1][seen]] = ids[k - 2][tail[seen]]
-            else:
-                nexts.append(ids[k - 2][tail[seen]])
-        self.suffix = self.suffix.tolist()
-        keys = np.concatenate(keys).tolist() if keys else []
-        self.arcs = dict(zip(keys, range(len(keys)), strict=True))
-        self.next = np.concatenate(nexts).tolist() if keys else []
-        self.weight = np.concatenate(weights).tolist() if keys else []
-
-    def score(self, tokens: list[int], state: int) -> float:
-        """Log10 probability of the tokens, read from `state`."""
-        total, arcs, n, cost = 0.0, self.arcs, self.n_words, self.cost
-        for t in tokens:
-            while True:
-                a = arcs.get(state * n + t) if state else None
-                if a is not None:
-                    total += self.weight[a]
-                    state = self.next[a]
-                    break
-                if not state:
-                    total += self.root[t]
-                    state = self.after_root[t]
-                    break
-                total += cost
-                state = self.suffix[state]
-        return total
+            p = np.where(under > 0, share * totals[k - 1] / np.maximum(under, 1) + (1 - share) * p[tail], p[tail])
+            self.weight.append(np.log10(p))
+
+    def states(self) -> np.ndarray:
+        """How many words the state after each place has (0: the empty state)."""
+        depth = np.zeros(len(self.block.h), np.int64)
+        for k in range(1, len(self.seen)):
+            ids = self.block.inverse[k - 1]
+            depth[(ids >= 0) & self.seen[k - 1][ids]] = k
+        return depth
+
+    def scores(self) -> np.ndarray:
+        """Log10 probability of each text: its words and its end, read from the state of its beginning."""
+        b, total = self.block, np.zeros(len(self.block.h))
+        before = np.concatenate([[0], self.states()[:-1]])
+        before[b.starts] = -1  # nothing is read at a beginning
+        for k in range(len(self.seen), 0, -1):
+            at = np.flatnonzero(before == k - 1)
+            ids = b.inverse[k - 1][at]
+            found = self.seen[k - 1][ids] if k > 1 else np.ones(len(at), bool)
+            total[at[found]] += self.weight[k - 1][ids[found]]
+            total[at[~found]] += self.cost
+            before[at[~found]] = k - 2
+        return np.add.reduceat(total, b.starts) if len(b.starts) else total
 
 
 def score_texts(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, share: float = SHARE, discount: float = DISCOUNT) -> DataFrame:
@@ -181,15 +168,11 @@ def score_texts(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_co
             found[x["n"].as_py() - 1].append(unpack_numbers(x["totals"].as_py()))
         got = [np.concatenate(x) for x in found]
         machine = Automaton(b, got, n_tokens, n_kinds, share, discount)
-        ids = b.inverse[0]
-        c = got[0][ids].astype(np.float64)
+        c = got[0][b.inverse[0]].astype(np.float64)
         plain = np.concatenate([[0.0], np.cumsum(np.log10((c + 1) / (n_tokens + n_kinds + 1)))])
         hits = np.concatenate([[0], np.cumsum(c > 0)])
         a, z = b.starts + 1, b.ends
-        scores = []
-        for s, e in zip(a.tolist(), z.tolist(), strict=True):
-            begin = machine.after_root[int(ids[s - 1])]
-            scores.append(machine.score(ids[s:e].tolist(), begin))
+        scores = machine.scores()
         cols = [line["ids"].values, line["held"].values, pa.array(z - a, pa.int64()), pa.array(hits[z] - hits[a], pa.int64()), pa.array(np.full(len(a), n_tokens), pa.int64()), pa.array(plain[z] - plain[a]), pa.array(scores, pa.float64())]
         yield pa.RecordBatch.from_arrays(cols, ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -199,4 +182,4 @@ def score_texts(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_co
 def op2_lm_scoring(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % FOLDS == FOLD
-    return score_texts(docs, held, order=QUERY_ORDER).withColumnRenamed("id", "doc_id")
+    return score_texts(docs, held).withColumnRenamed("id", "doc_id")
