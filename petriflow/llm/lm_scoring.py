@@ -16,6 +16,7 @@ probability is 1 / (V + 1) = 1; rows with a null id are never held out; an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ _CHAIN = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Block:
-    """Token stream (begin, words, end of each text) and the n-grams of one packed block."""
+    """Token stream (begin, words, end of each text) and the n-grams of one packed block, of the orders `which`."""
 
-    def __init__(self, line: dict, order: int) -> None:
+    def __init__(self, line: dict, which: range) -> None:
         data, off = unblock(line["sizes"], line["body"])
         row, _, _, h = words(data, off, lower=True)
         n_docs = len(off) - 1
@@ -52,10 +53,12 @@ class _Block:
         place = np.arange(len(self.h)) - self.starts[doc]
         self.keys, self.inverse, self.counts, self.at = [], [], [], []
         g = self.h
-        for k in range(1, order + 1):
+        for k in range(1, which.stop):
             if k > 1:
                 last, g = g, np.empty_like(self.h)
                 g[1:] = mix(last[:-1] * _CHAIN + self.h[1:] + np.uint64(k))
+            if k not in which:
+                continue
             there = np.flatnonzero(place >= k - 1)
             keys, inverse = np.unique(g[there], return_inverse=True)
             full = np.full(len(self.h), -1, np.int64)
@@ -68,12 +71,12 @@ class _Block:
             self.counts.append(np.bincount(inverse[learns[there]], minlength=len(keys)))
 
 
-def _totals(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+def _totals(blocks: DataFrame, which: range, buckets: int) -> DataFrame:
     """(block, n, bucket, totals) for each run of a block's keys, and rows with block -1 and a bucket's V and N."""
 
     def keys_of(line: dict) -> Iterator[pa.RecordBatch]:
-        b = _Block(line, order)
-        for n, (keys, counts) in enumerate(zip(b.keys, b.counts, strict=True), 1):
+        b = _Block(line, which)
+        for n, keys, counts in zip(which, b.keys, b.counts, strict=True):
             at = cuts(keys, buckets)
             full = np.flatnonzero(np.diff(at))
             cols = [pa.array([n] * len(full), pa.int32()), pa.array(full, pa.int32()), pa.array([line["block"].as_py()] * len(full), pa.int64())]
@@ -156,13 +159,14 @@ def score_texts(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_co
     blocks = text_blocks(named, "id", "text").select("block", F.col("ids.id").alias("ids"), F.col("ids.held").alias("held"), "sizes", "body")
     blocks = save(blocks, "blocks")
     buckets = buckets_for(blocks)
-    totals = save(_totals(blocks, order, buckets), "totals")
-    stats = totals.where("block = -1 and n = 1").agg(F.sum("kinds"), F.sum("tokens")).first()
+    # one order after another, so that the disk holds the keys of one at a time
+    totals = [save(_totals(blocks, range(k, k + 1), buckets), "totals") for k in range(1, order + 1)]
+    stats = totals[0].where("block = -1").agg(F.sum("kinds"), F.sum("tokens")).first()
     n_kinds, n_tokens = stats[0] or 0, stats[1] or 0
-    known = blocks.join(gather(totals.where("block >= 0"), "totals", "n", "bucket", "totals"), "block").select("ids", "held", "sizes", "body", "totals")
+    known = blocks.join(gather(reduce(DataFrame.union, totals).where("block >= 0"), "totals", "n", "bucket", "totals"), "block").select("ids", "held", "sizes", "body", "totals")
 
     def run(line: dict) -> Iterator[pa.RecordBatch]:
-        b = _Block(line, order)
+        b = _Block(line, range(1, order + 1))
         found = [[] for _ in range(order)]
         for x in line["totals"].values:
             found[x["n"].as_py() - 1].append(unpack_numbers(x["totals"].as_py()))
