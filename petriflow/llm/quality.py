@@ -26,7 +26,8 @@ THRESHOLD = 0.3
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> F.Column:
-    return F.crc32(F.col(id_col).cast("string")) % folds == fold
+    """Whether a row is held out; rows with a null id are not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", most: int = MAX_TRAIN) -> Linear:
@@ -63,6 +64,7 @@ def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that score THRESHOLD or more."""
+    """Pipeline stage: the documents that score THRESHOLD or more, null and empty texts by the score of a text without n-grams; repeated
+    rows stay or go together."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return with_score(docs, model, least=THRESHOLD)
