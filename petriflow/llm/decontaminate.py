@@ -1,34 +1,41 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents become sequences of the benchmark's terms. Overlapping passages get TF-IDF vectors over those terms; a distributed
-randomised SVD (subspace iteration: each task adds up its part of A'(A Q)) finds their leading directions, with the benchmark's
-items' parts as weighted rows so that each part's direction is among them. Items are cut into parts no longer than half a passage.
-Passages whose vectors have a cosine of COSINE or more with a part's image in that subspace are candidates, and so are those that hold
-terms of LOOSE_LCS or more of a part's words, however common these are. A candidate counts if the longest common subsequence with the whole item has LCS
-of its words, or LOOSE_LCS of them and ANSWER of its closing part, its answer.
-
-The benchmark is a stated query set; it is taken in blocks of ITEMS items, each with its own terms and subspace, so what a task
-holds is bounded by the block and not by the corpus or the benchmark.
-
-Defined results: null and empty texts match nothing; items that are null or empty match nothing; repeated items each match;
-repeated rows match alike; without items there are no matches; other columns are ignored.
+Documents become sequences of the benchmark's terms. Overlapping passages get TF-IDF vectors over the terms of a block of items; a
+distributed randomised SVD (subspace iteration: each task adds up its part of A'(A Q)) finds the RANK leading directions of the corpus'
+passages; items take no part in it. Items are cut into parts no longer than half a passage. A passage that holds LOOSE_LCS or more of a
+part's words is a candidate; so is one that holds but LEAST_LCS of them and whose image in the subspace has a cosine of COSINE or more
+with the part's: there words that keep the same company are near each other, so a reworded passage is near its source. A candidate
+counts if the longest common subsequence with the whole item has LCS of its words, or LOOSE_LCS of them and ANSWER of its closing part,
+its answer; or, if the cosine is reached, LEAST_LCS of them and ANSWER of a closing part that has TELLING words which are in RARE of all
+passages at most (answers of common words alone prove nothing).
+
+The benchmark is a stated query set. Texts are read once for SPAN items, and become sequences of their terms; those are looked at for
+blocks of ITEMS items, each with its own terms and subspace, so what a task holds is bounded by the block and not by the corpus.
+
+Defined results: null and empty texts match nothing; items that are null or empty match nothing; repeated items each match; items
+keep their ids, of any type; repeated rows match alike; without items there are no matches; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 from petriflow.llm.common import save, utf8, words
 from petriflow.llm.exchange import expand, squeeze
 from petriflow.llm.ngrams import pieces
 
-ITEMS, RANK, PASSES = 224, 240, 1
-COSINE, LCS, LOOSE_LCS, ANSWER = 0.3, 0.8, 0.6, 0.8
+SPAN, ITEMS = 64 * 224, 224
+#: Directions of the subspace, more that the range finder carries, and passes of subspace iteration.
+RANK, MORE, PASSES = 96, 16, 2
+COSINE, LCS, LOOSE_LCS, LEAST_LCS, ANSWER = 0.6, 0.8, 0.6, 0.4, 0.8
+TELLING, RARE = 3, 0.05
 _CHUNK, _NNZ = 256, 16384
 #: Passages multiplied at a time, and the most frequent terms that are multiplied as columns of a dense matrix.
 _ROWS, DENSE = 2048, 1024
@@ -64,11 +71,11 @@ class Block:
         self.kind = np.uint16 if len(self.terms) < 65535 else np.uint32
         self.none = np.iinfo(self.kind).max
 
-    def sequence(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.terms):
-            return np.full(len(h), self.none, self.kind)
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        return np.where(self.terms[at] == h, at, self.none).astype(self.kind)
+    def numbers(self, terms: np.ndarray) -> np.ndarray:
+        """The block's number of each of the sorted terms, and `none` at the end, for words that are not among them."""
+        out = np.full(len(terms) + 1, self.none, self.kind)
+        out[np.searchsorted(terms, self.terms)] = np.arange(len(self.terms))
+        return out
 
     def counts(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Passage (numbered over all sequences), term and count of each entry, and the first passage of each sequence."""
@@ -172,16 +179,8 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
             yield part, [expand(x.as_py()) for x in part.column(1)]
 
 
-def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, text_col: str, seed: int = 3) -> DataFrame | None:
-    """Matches (id, item, cosine, lcs, answer) of one block of items."""
-    b = Block(items)
-    if not len(b.terms):
-        return None
-    if len(b.parts) > ITEMS and len(items) > 1:
-        by_size = [items[i] for i in np.argsort([len(x) for x in b.items], kind="stable")]
-        halves = [find_block(docs, half, id_col, text_col, seed) for half in (by_size[: len(items) // 2], by_size[len(items) // 2 :])]
-        found = [x for x in halves if x is not None]
-        return found[0].union(found[1]) if len(found) > 1 else found[0]
+def sequences(docs: DataFrame, terms: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(id, seq): each text as packed numbers of the sorted terms; len(terms) stands for any other word."""
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
@@ -189,17 +188,32 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
         for batch in batches:
             for part in pieces(batch, "text"):
                 row, h, n = term_hashes(part.column(1))
-                seq = b.sequence(h)
+                at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+                seq = np.where(terms[at] == h, at, len(terms)).astype(np.uint32)
                 edges = np.searchsorted(row, np.arange(n + 1)).tolist()
                 packed = [squeeze(seq[s:e].tobytes()) for s, e in zip(edges, edges[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "seq"])
 
-    known = save(slim.mapInArrow(shorten, f"id {kind}, seq binary"), "sequences")
+    return save(slim.mapInArrow(shorten, f"id {kind}, seq binary"), "sequences")
+
+
+def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, str]], item_kind: pa.DataType, rank: int = RANK, seed: int = 3) -> list[DataFrame]:
+    """Matches (id, item, cosine, lcs, answer) of one block of items in the sequences of the sorted terms, among which are the items'."""
+    b = Block(items)
+    if not len(b.terms):
+        return []
+    if len(b.parts) > ITEMS and len(items) > 1:
+        by_size = [items[i] for i in np.argsort([len(x) for x in b.items], kind="stable")]
+        return [x for half in (by_size[: len(items) // 2], by_size[len(items) // 2 :]) for x in find_block(known, terms, half, item_kind, rank, seed)]
+    kind, to_block = known.schema["id"].dataType.simpleString(), b.numbers(terms)
+
+    def sequence(packed: bytes) -> np.ndarray:
+        return to_block[np.frombuffer(packed, np.uint32)]
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(len(b.terms) + 1, np.int64), 0
         for _, seqs in _sequences(batches):
-            _, term, _, firsts = b.counts([np.frombuffer(s, b.kind) for s in seqs])
+            _, term, _, firsts = b.counts([sequence(s) for s in seqs])
             total[:-1] += np.bincount(term, minlength=len(b.terms))
             n += int(firsts[-1])
         total[-1] = n
@@ -207,31 +221,33 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
 
     got = known.mapInArrow(spread, "term long, n long").groupBy("term").sum("n").toArrow()  # a row for each of the block's terms
     if not got.num_rows:
-        return None
+        return []
     df = np.zeros(len(b.terms) + 1)
     df[got.column(0).to_numpy()] = got.column(1).to_numpy()
     passages = max(float(df[-1]), 1.0)
     dense = np.argsort(-df[:-1], kind="stable")[:DENSE]
     idf = np.log((passages + len(b.parts)) / (df[:-1] + 1)).clip(1e-6)
 
+    rare = df[:-1] <= RARE * passages
+    closing = [int(min(len(x) - max(3, len(x) // 4), [0, *np.flatnonzero(rare[x]).tolist()][-TELLING if rare[x].sum() >= TELLING else 0])) for x in b.items]
+
     def rows_of(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         row, term, tf, firsts = b.counts(seqs)
         val, begin = unit_rows(row, tf * idf[term])
         return row, term, val, begin, firsts
 
-    # parts as rows: one passage each, weighted to as much as all passages together
+    # parts as rows, one passage each
     item_keys, tf = np.unique(np.concatenate([i * len(b.terms) + s for i, s in enumerate(b.parts)]), return_counts=True)
     item_row, item_term = item_keys // len(b.terms), item_keys % len(b.terms)
     item_val, item_begin = unit_rows(item_row, tf * idf[item_term])
     held = np.zeros((len(b.terms), len(b.parts)), np.float32)  # the share of a part's words that a term is
     held[item_term, item_row] = tf / np.bincount(item_row, tf, len(b.parts))[item_row]
-    weight = passages / max(len(item_begin), 1)
 
     def grams(q: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(q.shape, np.float32)
             for _, seqs in _sequences(batches):
-                _, term, val, begin, _ = rows_of([np.frombuffer(s, b.kind) for s in seqs])
+                _, term, val, begin, _ = rows_of([sequence(s) for s in seqs])
                 gram_times(term, val, begin, q, out, dense)
             for at in range(0, len(out), _CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([out[at : at + _CHUNK].tobytes()], pa.binary())], ["at", "part"])
@@ -240,38 +256,33 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
             total = np.sum([np.frombuffer(x.as_py(), np.float32) for x in table.column("part")], axis=0, dtype=np.float64)
             return pa.table({"at": table.column("at")[:1], "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
-        own = np.zeros(q.shape, np.float32)
-        gram_times(item_term, item_val, item_begin, q, own, dense)
-        own *= np.float32(weight)
+        total = np.zeros(q.shape)
         parts = known.mapInArrow(run, "at int, part binary").groupBy("at").applyInArrow(add, "at int, part binary").toArrow()
         for at, part in zip(parts.column("at").to_pylist(), parts.column("part").to_pylist(), strict=True):
             x = np.frombuffer(part, np.float32).reshape(-1, q.shape[1])
-            own[at : at + len(x)] += x
-        return own
-
-    rank = min(max(RANK, len(b.parts) + RANK - ITEMS), len(b.terms))
-    # the range finder starts from the items' own directions and random ones
-    q = np.random.default_rng(seed).standard_normal((len(b.terms), rank)) / np.sqrt(len(b.terms))
-    q[:, : min(rank, len(b.parts))] *= 0.01
-    inside = item_row < rank
-    np.add.at(q, (item_term[inside], item_row[inside]), item_val[inside])
-    q = np.linalg.qr(q)[0].astype(np.float32)
+            total[at : at + len(x)] += x
+        return total
+
+    q = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(b.terms), min(rank + MORE, len(b.terms)))))[0].astype(np.float32)
     for _ in range(PASSES):
-        left, _, _ = np.linalg.svd(grams(q).astype(np.float64), full_matrices=False)
-        q = left.astype(np.float32)
-    image = np.zeros((len(b.parts), rank))
+        q = np.linalg.svd(grams(q), full_matrices=False)[0].astype(np.float32)
+    q = q[:, :rank]
+    image = np.zeros((len(b.parts), q.shape[1]))
     np.add.at(image, item_row, item_val[:, None] * q[item_term])
     image /= np.maximum(np.sqrt((image**2).sum(axis=1, keepdims=True)), 1e-12)
-    back = (q @ image.T).astype(np.float32)  # from terms to cosines with the parts, through the subspace
+    image = image.astype(np.float32).T
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, packed in _sequences(batches):
-            seqs = [np.frombuffer(s, b.kind) for s in packed]
+            seqs = [sequence(s) for s in packed]
             row, term, val, begin, firsts = rows_of(seqs)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, some in passages_of(term, val, begin, dense, len(b.terms)):
-                cos, share = some.times(back), some.times(held, held=True)
-                for i, part_no in np.argwhere((cos >= COSINE) | (share >= LOOSE_LCS - 1e-4)).tolist():
+                share, low = some.times(held, held=True), some.times(q)
+                cos = (low / np.maximum(np.sqrt((low**2).sum(axis=1, keepdims=True)), 1e-12)) @ image
+                near = (cos >= COSINE) & (share >= LEAST_LCS - 1e-4)
+                for i, part_no in np.argwhere(near | (share >= LOOSE_LCS - 1e-4)).tolist():
+                    least = LEAST_LCS if near[i, part_no] else LOOSE_LCS
                     k = int(b.owner[part_no])
                     passage = int(row[begin[lo + i]])
                     doc = int(np.searchsorted(firsts, passage, side="right")) - 1
@@ -282,37 +293,50 @@ def find_block(docs: DataFrame, items: list[tuple[object, str]], id_col: str, te
                     item, start = b.items[k], (passage - int(firsts[doc])) * b.stride
                     text = seqs[doc][max(0, start - len(item)) : start + 2 * b.stride + len(item)]
                     text = text[np.isin(text, item)]
-                    if len(text) < LOOSE_LCS * len(item):
+                    if len(text) < least * len(item):
                         continue
                     whole = lcs(item, text) / len(item)
-                    if whole < LOOSE_LCS:
+                    if whole < least:
                         continue
                     close = item[-max(3, len(item) // 4) :]
                     answer = lcs(close, text) / len(close)
+                    if whole < LOOSE_LCS or near[i, part_no] and answer < ANSWER:
+                        told = item[max(0, closing[k]) :]
+                        answer = lcs(told, text) / len(told)
                     if whole >= LCS or answer >= ANSWER:
                         found = (whole, float(cos[i, part_no]), answer)
                         best[doc, k] = max(best.get((doc, k), found), found)
             if best:
                 at = sorted(best)
-                cols = [part.column(0).take(pa.array([d for d, _ in at])), pa.array([b.ids[k] for _, k in at]), *(pa.array([best[x][j] for x in at], pa.float64()) for j in (1, 0, 2))]
+                cols = [part.column(0).take(pa.array([d for d, _ in at])), pa.array([b.ids[k] for _, k in at], item_kind), *(pa.array([best[x][j] for x in at], pa.float64()) for j in (1, 0, 2))]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "item", "cosine", "lcs", "answer"])
 
-    return known.mapInArrow(search, f"id {kind}, item long, cosine double, lcs double, answer double")
+    return [known.mapInArrow(search, f"id {kind}, item {_sql(item_kind)}, cosine double, lcs double, answer double")]
+
 
+def _sql(kind: pa.DataType) -> str:
+    return from_arrow_type(kind).simpleString()
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rank: int = RANK) -> DataFrame:
     """(id, item, cosine, lcs, answer): a row for each document and item that it holds."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, item long, cosine double, lcs double, answer double"
-    out, held = docs.sparkSession.createDataFrame([], schema), []
-    rows = benchmark.select(F.col(item_col).cast("long"), item_text).where(F.col(item_text).isNotNull()).orderBy(item_col, item_text)
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
+    out, held = docs.sparkSession.createDataFrame([], f"id {kind}, item {item_type.simpleString()}, cosine double, lcs double, answer double"), []
+
+    def look() -> DataFrame:
+        terms = np.unique(term_hashes(pa.array([t for _, t in held], pa.string()))[1])
+        if not len(terms):
+            return out
+        known = sequences(docs, terms, id_col, text_col)
+        blocks = (held[at : at + ITEMS] for at in range(0, len(held), ITEMS))
+        return reduce(DataFrame.union, (x for block in blocks for x in find_block(known, terms, block, to_arrow_type(item_type), rank)), out)
+
+    rows = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null").orderBy("item", "text")
     for r in rows.toLocalIterator():
         held.append((r[0], r[1]))
-        if len(held) == ITEMS:
-            found = find_block(docs, held, id_col, text_col)
-            out, held = (out.union(found) if found is not None else out), []
-    found = find_block(docs, held, id_col, text_col) if held else None
-    return out.union(found) if found is not None else out
+        if len(held) == SPAN:
+            out, held = look(), []
+    return look() if held else out
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
