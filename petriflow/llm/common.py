@@ -196,7 +196,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         joined = down.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = save(small, "edges")
+        old, now = now, save(small, "edges")
+        drop(old)
         # wraps instead of overflowing: bits are xor-ed
         state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         if state == before:

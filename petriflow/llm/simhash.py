@@ -5,7 +5,7 @@ nine masks, under one of which any such pair has equal bits. Distinct fingerprin
 shard builds BK-trees (children keyed by integer distance to the parent) of its groups and searches them, following only
 edges within the radius. The trees together grow with the corpus, so they are not sent to every executor: the masks bring to
 a tree all fingerprints that can match in it. A group of more than TILE fingerprints becomes several trees, each of which
-is searched by all of the group.
+is searched by all of the group. Each tree tells a forest of the links found in it, which connects what all of them do.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other; equal texts share fingerprint and component;
 rows with a null id are fingerprinted, take part in links and never name a component unless it has no other id; an empty
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from petriflow.llm.common import components, mix, partitions, save
+from petriflow.llm.common import components, drop, mix, partitions, save
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints in one BK-tree at most.
@@ -117,8 +117,28 @@ class BKTree:
         return found
 
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in `radius` bits at most; radius up to 2."""
+def forest(found: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The pairs among `found` that join what was not connected before: at most one for each value."""
+    parent: dict[int, int] = {}
+
+    def root(v: int) -> int:
+        while (p := parent.setdefault(v, v)) != v:
+            parent[v] = v = parent[p]
+        return v
+
+    out = []
+    for v, w in found:
+        x, y = root(v), root(w)
+        if x != y:
+            parent[y] = x
+            out.append((v, w))
+    return out
+
+
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, every: bool = True) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct fingerprints (column fp) that differ in `radius` bits at most; radius up to 2.
+
+    every: all such pairs; else, of each tree's, those that connect the same values, no more than there are values."""
     if not 0 <= radius <= 2:
         raise ValueError("the masks find pairs within 2 bits")
     spark, nine = prints.sparkSession, masks()
@@ -134,10 +154,12 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
     def search(i: int, fps: np.ndarray, member: np.ndarray, out: list[tuple[int, int]]) -> None:
         values = fps.view(np.uint64).tolist()
         tree = BKTree([v for v, m in zip(values, member.tolist(), strict=True) if m])
-        for v in values:
-            for w in tree.within(v, radius):
-                if v < w and next(k for k, m in enumerate(whole) if not (v ^ w) & m) == i:
-                    out.append((v, w))
+        near = ((min(v, w), max(v, w)) for v in values for w in tree.within(v, radius) if v != w)
+        if every:  # under the first mask that makes the pair equal, and from its smaller value's tile
+            mine = set(tree.values)
+            out += [(v, w) for v, w in set(near) if w in mine and next(k for k, m in enumerate(whole) if not (v ^ w) & m) == i]
+        else:
+            out += forest(near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -174,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, fp, component): component is the smallest id reachable over links of fingerprints within the radius."""
     prints = save(fingerprints(docs, id_col, text_col), "prints")
     nodes = save(prints.groupBy("fp").agg(F.min("id").alias("low")), "nodes")
-    roots = components(links(nodes, radius))
+    roots = components(links(nodes, radius, every=False))
     rooted = save(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("low").alias("component"))
     return prints.join(rooted.join(named, "root").select("fp", "component"), "fp").select("id", "fp", "component")
@@ -423,6 +445,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets = texts.mapInArrow(sets_of, "node long, size long, shingles binary").dropDuplicates(["node"])
     sets = save(suspects.select("node", "group").join(sets, "node"), "sets")
     roots = components(exact_links(sets, similarity))
+    drop(suspects, sets)
     rooted = save(nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "rooted")
     named = rooted.groupBy("root").agg(F.min("low").alias("component"))
     return prints.select("id", "node").join(rooted.join(named, "root").select("node", "component"), "node").select("id", "component")
