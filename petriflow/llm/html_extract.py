@@ -2,10 +2,13 @@
 
 A page is cut at block-level tags into flat blocks of text. Each block is described by its word count and link density,
 those of the blocks before and after it, and where it stands; a small decision tree, grown here from a labelled table of
-blocks, keeps or drops it.
+blocks, keeps or drops it. A container is hinted at as boilerplate by a class, id or role all of whose words name such or are of layout
+("share-buttons", not "share-story"); articles, main parts and whole pages never are.
 
-Defined results: null and empty pages have the text "" and n_chars 0; broken markup never fails (an unclosed comment or
-script runs to the end of the page, a lone "<" is text); repeated rows are separate rows; other columns are left out.
+Defined results: null and empty pages have the text "" and n_chars 0; broken markup never fails: an unclosed comment, script or style
+runs to the end of the page, of other unclosed elements without text only the tag is dropped, an unclosed link ends with its block (a
+link around whole blocks goes on through them), a lone "<" is text; time is linear in the page; repeated rows are separate rows; other
+columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ BLOCK_TAGS = frozenset(
     "tfoot th thead tr ul".split()
 )
 HIDDEN_TAGS = frozenset("audio button canvas datalist iframe math noembed noframes noscript object script select style svg template textarea title video".split())
+RAW_TAGS = frozenset("iframe noembed noframes script style textarea title".split())
 BOILER_TAGS = frozenset("aside dialog footer form head header menu nav".split())
 CONTAINERS = BOILER_TAGS | frozenset("article blockquote body details div dl figure fieldset main ol section table tbody td tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -35,10 +39,17 @@ HINTS = frozenset(
     "popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "tags toolbar widget widgets".split()
 )
+LAYOUT = frozenset(
+    "area articles bar block body bottom box button buttons col column container content count entries entry form group header holder icon icons id "
+    "inner item items js label left line link links list main menu message messages module outer panel post posts right row section "
+    "site slot small sticky stories text thread title top unit user view wrap wrapper".split()
+)
 
 _PIECE = re.compile(r"<!--|<[/!?]?[a-zA-Z](?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+'|[\"'])*+>?|<[!?/][^>]*+>?|[^<]++|<", re.S)
 _NAME = re.compile(r"[a-zA-Z][\w:-]*")
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)[^<>]*>?")
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW_TAGS}
 _HIDE = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_boiler", "hinted", "heading")
@@ -47,25 +58,59 @@ FEATURES = ("words", "link_density", "words_before", "density_before", "words_af
 class Block:
     __slots__ = ("article", "at", "boiler", "heading", "hinted", "link_words", "parts", "text", "words")
 
-    def __init__(self, at: int, article: bool, boiler: bool, hinted: bool, heading: bool) -> None:
+    def __init__(self, at: int, article: bool, boiler: bool, hinted: bool, heading: int) -> None:
         self.at, self.article, self.boiler, self.hinted, self.heading = at, article, boiler, hinted, heading
         self.parts, self.link_words, self.words, self.text = [], 0, 0, ""
 
 
 def _hinted(tag: str) -> bool:
     for m in _ATTR.finditer(tag):
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "")
-        if not HINTS.isdisjoint(re.split(r"[\s_\-]+", value.lower())):
-            return True
+        for value in re.sub(r"([a-z])([A-Z])", r"\1-\2", m[2] or m[3] or m[4] or "").lower().split():
+            named = [w for w in re.split(r"[_\-]+", value) if w and not any(c.isdigit() for c in w)]
+            if not HINTS.isdisjoint(named) and all(w in HINTS or w in LAYOUT for w in named):
+                return True
     return bool(_HIDE.search(tag))
 
 
+class _Hidden:
+    """Where elements without text end. One that is not closed before what encloses it is hides nothing but its tag."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.known = page, {}  # by name: how far the page has been looked at, and ends of the elements closed there
+
+    def end(self, name: str, begun: int, pos: int) -> int:
+        upto, ends = self.known.get(name, (-1, {}))
+        if begun >= upto:
+            upto, ends = self.known[name] = self._look(name, begun, pos)
+        return ends.get(begun, pos)
+
+    def _look(self, name: str, begun: int, pos: int) -> tuple[int, dict[int, int]]:
+        depth, opened, ends = 0, [begun], {}
+        for m in _TAG.finditer(self.page, pos):
+            tag, closing = m[2].lower(), bool(m[1])
+            if tag == name:
+                if closing:
+                    ends[opened.pop()] = m.end()
+                elif not m[0].endswith("/>"):
+                    opened.append(m.start())
+                if not opened:
+                    return m.end(), ends
+            elif tag in CONTAINERS:
+                depth += -1 if closing else not m[0].endswith("/>")
+                if depth < 0:
+                    return m.start(), ends
+        return len(self.page), ends
+
+
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # name, article, boiler, hinted: each with what encloses it
+    opened = dict.fromkeys(CONTAINERS, 0)
     article = boiler = hinted = False
-    heading, link = "", 0
+    heading, hides = "", _Hidden(page)
+    link = told = False  # in a link; told: it has had text of its own
+    inside = 0  # blocks opened in the link
     now: Block | None = None
     pos, n = 0, len(page)
     while pos < n:
@@ -82,20 +127,25 @@ def blocks(page: str) -> list[Block]:
             if now is None:
                 if piece.isspace():
                     continue
-                now = Block(begun, article, boiler, hinted, bool(heading))
+                now = Block(begun, article, boiler, hinted, 7 - int(heading[1]) if heading else 0)
                 out.append(now)
             now.parts.append(piece)
             if link:
                 now.link_words += len(piece.split())
+                told = told or not (inside or piece.isspace())
             continue
         name, closing = name[0].lower(), piece[1] == "/"
-        if name in HIDDEN_TAGS:
+        if name in RAW_TAGS:
             if not closing and not piece.endswith("/>"):
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, pos)
+                end = _RAW_END[name].search(page, pos)
                 pos = end.end() if end else n
             continue
+        if name in HIDDEN_TAGS:
+            if not closing and not piece.endswith("/>"):
+                pos = hides.end(name, begun, pos)
+            continue
         if name == "a":
-            link = 0 if closing else 1
+            link, told, inside = not closing, False, 0
             continue
         if name == "br":
             if now is not None:
@@ -103,7 +153,10 @@ def blocks(page: str) -> list[Block]:
             continue
         if name not in BLOCK_TAGS:
             continue
-        now, link = None, 0
+        if link and name != "hr":
+            inside += -1 if closing else 1
+            link = inside >= 0 and not told
+        now = None
         if name in HEADINGS:
             heading = "" if closing else name
         elif name == "p":
@@ -111,10 +164,13 @@ def blocks(page: str) -> list[Block]:
         if name in CONTAINERS:
             if not closing:
                 if not piece.endswith("/>"):
-                    stack.append((name, article or name in ("article", "main"), boiler or name in BOILER_TAGS, hinted or (name != "body" and _hinted(piece))))
-            elif any(x[0] == name for x in stack):
-                while stack.pop()[0] != name:
-                    pass
+                    own = name not in ("body", "article", "main") and _hinted(piece)
+                    stack.append((name, article or name in ("article", "main"), boiler or name in BOILER_TAGS, hinted or own))
+                    opened[name] += 1
+            elif opened[name]:
+                while (top := stack.pop()[0]) != name:
+                    opened[top] -= 1
+                opened[name] -= 1
             _, article, boiler, hinted = stack[-1] if stack else ("", False, False, False)
     kept = []
     for b in out:
@@ -127,10 +183,12 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row of FEATURES for each block; a missing neighbour counts as one of 0 words and density 0."""
+    """A row of FEATURES for each block (heading: 6 for h1 to 1 for h6, else 0; in_article: 1, or -1 if others of the page are, else 0); a missing
+    neighbour counts as one of 0 words and density 0."""
+    beside = -1 if any(b.article for b in found) else 0
     w = np.array([0, *(b.words for b in found), 0], np.float64)
     d = np.array([0, *(b.link_words / b.words for b in found), 0], np.float64)
-    place = np.array([[b.article, b.boiler, b.hinted, b.heading] for b in found], np.float64).reshape(-1, 4)
+    place = np.array([[b.article or beside, b.boiler, b.hinted, b.heading] for b in found], np.float64).reshape(-1, 4)
     return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], place])
 
 
@@ -150,6 +208,15 @@ LABELLED = (
     ((None, "<body><article>"), (1, "<h1>Stop</h1>"), (1, "<p>Yes.</p>"), (None, "</article>"), (0, f"<footer>{_MID}</footer>")),
     ((None, '<body><div class="sidebar">'), (0, f"<p>{_LONG}</p>"), (0, f"<p>{_MID}</p>"), (None, "</div>"), (0, "<h3>Latest</h3>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID} {_MID}</p>"), (0, f"<form>{_SHORT}</form>"), (0, f"<footer>{_SHORT}</footer>")),
     ((None, "<body><article>"), (1, f"<p>{_LONG}</p>"), (1, "<table><tr><td>Length</td>"), (1, "<td>90 miles</td></tr></table>"), (1, "<pre>a b c</pre>"), (0, '<ul><li><a href="/n">Next story of the day</a></li></ul>'), (None, "</article>"), (0, f"<nav>{_LINKS}</nav>")),
+    ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (1, "<h1>The lights of the village</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_SHORT}</p>"), (1, f"<p>{_LONG} {_MID}</p>"), (1, "<li>Two loaves of bread</li>"), (1, "<li>Salt</li>"), (1, "<li>A pound of butter</li>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (1, f"<p>{_LONG}</p>"), (0, f"<div>{_LINKS}</div>"), (0, "<div>Copyright of the paper</div>"), (0, f"<div>{_LINKS}</div>")),
+    ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (0, "<div>Search this site</div>"), (0, f"<div>{_LINKS}</div>"), (0, "<h3>Most read</h3>"), (0, '<ul><li><a href="/1">Floods in the valley</a></li>'), (0, '<li><a href="/2">A bridge is closed for the winter</a></li></ul>'), (1, "<h1>Bread from the old mill</h1>"), (1, f"<p>{_LONG}</p>"), (1, "<p>No.</p>"), (1, "<p>Nobody knew why.</p>"), (1, f"<p>{_LONG}</p>"), (1, "<h2>What came then</h2>"), (1, f"<p>{_MID} {_LONG}</p>"), (0, f"<div>{_LINKS}</div>"), (0, "<div>Back to the top</div>"), (0, f"<div>{_LINKS}</div>")),
+    ((None, "<body><article>"), (1, "<h1>Late rain</h1>"), (1, f"<p>{_LONG}</p>"), (None, "</article>")),
+    ((None, "<body><main>"), (1, f"<p>{_SHORT}</p>"), (None, "</main>")),
+    ((None, "<body>"), (1, f"<p>{_LONG} {_LONG}</p>")),
+    ((None, "<body>"), (1, "<h1>Notes from the hills</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_SHORT}</p>"), (1, f"<p>{_MID}</p>")),
+    ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (1, "<h1>Bread</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (0, f"<div>{_LINKS}</div>")),
+    ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (0, "<div>Log in</div>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_LONG}</p>"), (0, "<div>Terms of use</div>"), (0, f"<div>{_LINKS}</div>")),
+    ((None, "<body>"), (0, "<a href='/p'><div>A new way to see the river, now for half its price and with free tickets for all who come early</div></a>"), (1, "<h1>Rain</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (0, f"<a href='/p'><div>{_LONG}</div></a>"), (1, f"<p>{_LONG}</p>"), (0, f"<div>{_LINKS}</div>")),
     ((None, "<body><header>"), (0, "<h1>The Daily Page</h1>"), (0, f"<p>{_SHORT}</p>"), (None, "</header><article>"), (0, f"<header><p>{_MID}</p></header>"), (1, f"<p>{_SHORT}</p>"), (0, f'<div class="share">{_SHORT}</div>'), (1, f"<p>{_LONG}</p>"), (0, f'<section id="comments"><p>{_MID}</p></section>'), (None, "</article>"), (0, f"<div>{_SHORT}</div>"), (0, f"<footer><p>{_LONG}</p></footer>")),
 )
 
@@ -165,7 +232,7 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(x), np.array(y, np.int64)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> tuple:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
     """A decision tree by Gini impurity: (feature, threshold, low, high) or (label,)."""
     ones = int(y.sum())
     best = None
