@@ -90,8 +90,8 @@ class Linear:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(found) + self.shift, -35, 35))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, dims: int, c: float = 4.0, epochs: int = 25, alpha: float = 1.0, seed: int = 7) -> Linear:
-    """Log-count ratios scale the indicators, then dual coordinate descent fits a squared-hinge linear model.
+def fit(rows: list[np.ndarray], y: np.ndarray, dims: int, c: float = 4.0, epochs: int = 60, alpha: float = 1.0, seed: int = 7) -> Linear:
+    """Log-count ratios scale the indicators, then dual coordinate descent fits a linear model by the hinge loss.
 
     y is 0 or 1. With no rows the probability is 1/2; with one class only, it is that class's smoothed share.
     """
@@ -108,21 +108,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray, dims: int, c: float = 4.0, epochs
     sign = np.where(y > 0, 1.0, -1.0)
     cost = np.where(y > 0, c * n / (2 * ones), c * n / (2 * (n - ones)))
     w, b, dual = np.zeros(dims), 0.0, np.zeros(n)
-    diagonal = np.array([v @ v for v in values]) + 1 + 1 / (2 * cost)
+    diagonal = np.array([v @ v for v in values]) + 1
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(n).tolist():
             x, v = rows[i], values[i]
-            g = sign[i] * (w[x] @ v + b) - 1 + dual[i] / (2 * cost[i])
-            if dual[i] > 0 or g < 0:
-                new = max(dual[i] - g / diagonal[i], 0.0)
+            g = sign[i] * (w[x] @ v + b) - 1
+            new = min(max(dual[i] - g / diagonal[i], 0.0), cost[i])
+            if new != dual[i]:
                 step = (new - dual[i]) * sign[i]
                 dual[i] = new
-                if step:
-                    w[x] += step * v
-                    b += step
-                    most = max(most, abs(g))
+                w[x] += step * v
+                b += step
+                most = max(most, abs(g))
         if most < 1e-3:
             break
     out = Linear((w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), b, 1.0, 0.0)
