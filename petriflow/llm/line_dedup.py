@@ -172,4 +172,6 @@ def remove_lines(docs: DataFrame, t: float = THRESHOLD, id_col: str = "doc_id",
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return decisions(spark.read.parquet(f"{sf_dir}/documents.parquet")).withColumnRenamed("id", "doc_id")
+    """doc_id, n_lines, n_removed, and the numbers of the removed lines, joined by commas."""
+    out = decisions(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_lines", "n_removed", F.array_join("removed", ",").alias("removed"))
