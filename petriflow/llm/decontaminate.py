@@ -3,8 +3,8 @@
 Documents become sequences of the benchmark's terms. Overlapping passages get TF-IDF vectors over the terms of a block of items; a
 distributed randomised SVD (subspace iteration: each task adds up its part of A'(A Q)) finds the RANK leading directions of the corpus'
 passages; items take no part in it. Items are cut into parts no longer than half a passage. A passage that holds LOOSE_LCS or more of a
-part's words is a candidate; so is one that holds but LEAST_LCS of them and whose image in the subspace has a cosine of COSINE or more
-with the part's: there words that keep the same company are near each other, so a reworded passage is near its source. A candidate
+part's words is a candidate; so is one that holds but LEAST_LCS of them, the item's answer (see below), and whose image in the subspace
+has a cosine of COSINE or more with the part's: there words that keep the same company are near each other, so a reworded passage is near its source. A candidate
 counts if the longest common subsequence with the whole item has LCS of its words, or LOOSE_LCS of them and ANSWER of its closing part,
 its answer; or, if the cosine is reached, LEAST_LCS of them and ANSWER of a closing part that has TELLING words which are in RARE of all
 passages at most (answers of common words alone prove nothing).
@@ -229,7 +229,7 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     idf = np.log((passages + len(b.parts)) / (df[:-1] + 1)).clip(1e-6)
 
     rare = df[:-1] <= RARE * passages
-    closing = [int(min(len(x) - max(3, len(x) // 4), [0, *np.flatnonzero(rare[x]).tolist()][-TELLING if rare[x].sum() >= TELLING else 0])) for x in b.items]
+    closing = [max(0, int(min(len(x) - max(3, len(x) // 4), [0, *np.flatnonzero(rare[x]).tolist()][-TELLING if rare[x].sum() >= TELLING else 0]))) for x in b.items]
 
     def rows_of(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         row, term, tf, firsts = b.counts(seqs)
@@ -243,6 +243,10 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     held = np.zeros((len(b.terms), len(b.parts)), np.float32)  # the share of a part's words that a term is
     held[item_term, item_row] = tf / np.bincount(item_row, tf, len(b.parts))[item_row]
 
+    told = np.zeros_like(held)  # the share of an item's closing part that a term is, beside the item's last part
+    for k, x in enumerate(b.items):
+        np.add.at(told, (x[closing[k] :], int(np.searchsorted(b.owner, k, side="right")) - 1), 1 / max(len(x) - closing[k], 1))
+
     def grams(q: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(q.shape, np.float32)
@@ -272,15 +276,26 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     image /= np.maximum(np.sqrt((image**2).sum(axis=1, keepdims=True)), 1e-12)
     image = image.astype(np.float32).T
 
+    def cosines(rows: np.ndarray, term: np.ndarray, val: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Of the images of some passages with those of the parts."""
+        edges = np.append(begin, len(term))
+        size = edges[rows + 1] - edges[rows]
+        first = np.cumsum(size) - size
+        at = np.arange(int(size.sum())) + np.repeat(edges[rows] - first, size)
+        low = _sums(first, val[at].astype(np.float32), term[at], q)
+        return (low / np.maximum(np.sqrt((low**2).sum(axis=1, keepdims=True)), 1e-12)) @ image
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, packed in _sequences(batches):
             seqs = [sequence(s) for s in packed]
             row, term, val, begin, firsts = rows_of(seqs)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, some in passages_of(term, val, begin, dense, len(b.terms)):
-                share, low = some.times(held, held=True), some.times(q)
-                cos = (low / np.maximum(np.sqrt((low**2).sum(axis=1, keepdims=True)), 1e-12)) @ image
-                near = (cos >= COSINE) & (share >= LEAST_LCS - 1e-4)
+                share = some.times(held, held=True)
+                near = (share >= LEAST_LCS - 1e-4) & (some.times(told, held=True) >= ANSWER - 1e-4)
+                cos, open_ = np.zeros_like(share), np.flatnonzero((near | (share >= LOOSE_LCS - 1e-4)).any(axis=1))
+                cos[open_] = cosines(open_ + lo, term, val, begin)
+                near &= cos >= COSINE
                 for i, part_no in np.argwhere(near | (share >= LOOSE_LCS - 1e-4)).tolist():
                     least = LEAST_LCS if near[i, part_no] else LOOSE_LCS
                     k = int(b.owner[part_no])
@@ -301,8 +316,8 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
                     close = item[-max(3, len(item) // 4) :]
                     answer = lcs(close, text) / len(close)
                     if whole < LOOSE_LCS or near[i, part_no] and answer < ANSWER:
-                        told = item[max(0, closing[k]) :]
-                        answer = lcs(told, text) / len(told)
+                        end = item[closing[k] :]
+                        answer = lcs(end, text) / len(end)
                     if whole >= LCS or answer >= ANSWER:
                         found = (whole, float(cos[i, part_no]), answer)
                         best[doc, k] = max(best.get((doc, k), found), found)
