@@ -101,13 +101,16 @@ def unit_rows(row: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return val / np.maximum(np.repeat(norm, np.diff(np.append(begin, len(row)))), 1e-30), begin
 
 
-def _sums(begin: np.ndarray, values: np.ndarray, index: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """For each run of entries (they begin at `begin`) the sum of values * q[index], some _NNZ entries at a time."""
+def _sums(begin: np.ndarray, values: np.ndarray | None, index: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For each run of entries (they begin at `begin`) the sum of values * q[index] (None: 1), some _NNZ entries at a time."""
     edges, parts, lo = np.append(begin, len(index)), [np.zeros((0, q.shape[1]), np.float32)], 0
     while lo < len(begin):
         hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + _NNZ, side="right")) - 1)
         s, e = int(edges[lo]), int(edges[hi])
-        parts.append(np.add.reduceat(values[s:e, None] * q[index[s:e]], begin[lo:hi] - s, axis=0))
+        x = q[index[s:e]]
+        if values is not None:
+            x *= values[s:e, None]
+        parts.append(np.add.reduceat(x, begin[lo:hi] - s, axis=0))
         lo = hi
     return np.concatenate(parts)
 
@@ -129,7 +132,7 @@ class Passages:
         """A q; held: with 1 for every value of A."""
         y = (self.matrix > 0).astype(np.float32) @ q[self.dense] if held else self.matrix @ q[self.dense]
         begin = np.flatnonzero(np.diff(self.row, prepend=-1))
-        y[self.row[begin]] += _sums(begin, np.ones_like(self.val) if held else self.val, self.term, q)
+        y[self.row[begin]] += _sums(begin, None if held else self.val, self.term, q)
         return y
 
     def add_back(self, y: np.ndarray, out: np.ndarray) -> None:
@@ -276,6 +279,8 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     image /= np.maximum(np.sqrt((image**2).sum(axis=1, keepdims=True)), 1e-12)
     image = image.astype(np.float32).T
 
+    both = np.hstack([held, told])
+
     def cosines(rows: np.ndarray, term: np.ndarray, val: np.ndarray, begin: np.ndarray) -> np.ndarray:
         """Of the images of some passages with those of the parts."""
         edges = np.append(begin, len(term))
@@ -291,8 +296,8 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
             row, term, val, begin, firsts = rows_of(seqs)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, some in passages_of(term, val, begin, dense, len(b.terms)):
-                share = some.times(held, held=True)
-                near = (share >= LEAST_LCS - 1e-4) & (some.times(told, held=True) >= ANSWER - 1e-4)
+                share, tells = np.hsplit(some.times(both, held=True), 2)
+                near = (share >= LEAST_LCS - 1e-4) & (tells >= ANSWER - 1e-4)
                 cos, open_ = np.zeros_like(share), np.flatnonzero((near | (share >= LOOSE_LCS - 1e-4)).any(axis=1))
                 cos[open_] = cosines(open_ + lo, term, val, begin)
                 near &= cos >= COSINE
