@@ -107,11 +107,13 @@ def moving_average(df: DataFrame, col: str, window: int, order: list, *key: str)
     return df.withColumn("moving", F.when(F.count(F.lit(1)).over(w) == window, F.avg(col).over(w)))
 
 
-def cumulative_derivative(cells: DataFrame) -> DataFrame:
+def cumulative_derivative(cells: DataFrame, digits: int | None = None) -> DataFrame:
     """Cells by distance to their label's centroid: cumulative count and its derivative by second-order differences.
 
-    Of cells at one distance the last stands for all, so that steps are positive."""
-    e = enrich(cells, "label").groupBy("label", "dist").agg(F.count("*").alias("n"))
+    Of cells at one distance the last stands for all, so that steps are positive; digits: distances are rounded to so many."""
+    e = enrich(cells, "label")
+    e = e if digits is None else e.withColumn("dist", F.round("dist", digits))
+    e = e.groupBy("label", "dist").agg(F.count("*").alias("n"))
     w = Window.partitionBy("label").orderBy("dist")
     e = e.withColumn("cumulative", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     a, b = F.col("dist") - F.lag("dist").over(w), F.lead("dist").over(w) - F.col("dist")

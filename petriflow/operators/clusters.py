@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 KEY = ("label", "time")
 
 
+def with_groups(df: DataFrame, groups: DataFrame, *key: str) -> DataFrame:
+    """df with the other columns of groups, which has one row a key (null keys are keys); a small side, that need not sort or move df."""
+    own = groups.select(*[F.col(k).alias(f"_{k}") for k in key], *[c for c in groups.columns if c not in key])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+    return df.join(own, same).drop(*[f"_{k}" for k in key])
+
+
 def enrich(cells: DataFrame, *key: str) -> DataFrame:
-    """With centroid (cx, cy), distance to it, and distance over the largest in the cluster; one window stage."""
-    w = Window.partitionBy(*(key or KEY))
-    out = cells.withColumn("cx", F.avg("x").over(w)).withColumn("cy", F.avg("y").over(w))
+    """With centroid (cx, cy), distance to it, and distance over the largest in the cluster."""
+    key = key or KEY
+    out = with_groups(cells, cells.groupBy(*key).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), *key)
     out = out.withColumn("dist", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
-    far = F.max("dist").over(w)
-    return out.withColumn("norm_dist", F.when(far > 0, F.col("dist") / far).otherwise(0.0))
+    out = with_groups(out, out.groupBy(*key).agg(F.max("dist").alias("_far")), *key)
+    return out.withColumn("norm_dist", F.when(F.col("_far") > 0, F.col("dist") / F.col("_far")).otherwise(0.0)).drop("_far")
 
 
 def geometric_mean(c: str) -> Column:
@@ -138,6 +145,12 @@ def temporal_rates(series: DataFrame) -> DataFrame:
     return steps.groupBy("label").agg(F.count("*").alias("n_times"), F.avg("g").alias("growth_rate"), F.avg("i").alias("intensity_rate"), F.avg("a").alias("area_rate"), F.avg("s").alias("speed")).where("n_times >= 2")
 
 
+def member_stats(members: DataFrame, cols: list[str], *key: str) -> DataFrame:
+    """Number, means and population deviations of the members of each cluster."""
+    aggs = [f(c).alias(f"{n}_{c}") for c in cols for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    return members.groupBy(*key).agg(F.count("*").alias("n_members"), *aggs)
+
+
 def sample_counts(nuclei: DataFrame, *key: str) -> DataFrame:
     """Clusters, nuclei, and the centroid of clusters weighted by their nuclei, of each sample (sample, cluster, cx, cy)."""
     per = nuclei.groupBy(*key, "cluster").agg(F.count("*").alias("n"), F.avg("cx").alias("x"), F.avg("cy").alias("y"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.numeric import spline
@@ -77,6 +77,14 @@ def schedule(spark: SparkSession, knots: list[tuple[float, float]], start: int,
     return spark.range(start, end + 1).select(F.col("id").cast("int").alias("t")).withColumn("value", value.otherwise(float(ys[-1])))
 
 
+def draw(seed: int, *cols: str) -> Column:
+    """A number under 2**31 - 1 that the seed and the columns' whole numbers decide: two steps of a multiplicative hash."""
+    prime, x = (1 << 31) - 1, F.lit(seed + 1).cast("long")
+    for c in cols:
+        x = F.pmod((x * 48_271 + F.col(c)) * 69_621, F.lit(prime).cast("long"))
+    return F.pmod(x * 48_271, F.lit(prime).cast("long"))
+
+
 def impute_missing(cells: DataFrame, wanted: DataFrame, seed: int | None = None) -> DataFrame:
     """Cells for wanted (label, time, n_cell, dx, dy): copies of the label's cells at its last time seen, n_cell of them, moved by (dx, dy).
 
@@ -87,7 +95,7 @@ def impute_missing(cells: DataFrame, wanted: DataFrame, seed: int | None = None)
     sizes = pool.select("label", F.col("time").alias("last_time"), "_of").distinct()
     wanted_places = source.join(sizes, ["label", "last_time"]).where("n_cell > 0")
     places = wanted_places.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("n_cell").cast("int") - 1)))
-    pick = F.pmod(F.col("_i"), F.col("_of")) if seed is None else F.pmod(F.xxhash64(F.lit(seed), "label", "time", "_i"), F.col("_of"))
+    pick = F.pmod(F.col("_i"), F.col("_of")) if seed is None else draw(seed, "label", "time", "_i") % F.col("_of")
     places = places.withColumn("_k", pick.cast("int"))
     from_ = pool.withColumnRenamed("time", "last_time").drop("_of")
     out = places.drop("_of").join(from_, ["label", "last_time", "_k"])

@@ -127,4 +127,4 @@ def affinity(points: DataFrame, least: float, *key: str) -> DataFrame:
     p = pair_distances(points, *key).where("d > 0")
     sigma = p.groupBy(*key).agg(F.percentile("d", F.lit(0.2)).alias("s"))
     w = F.exp(-(F.col("d") ** 2) / (2 * F.col("s") ** 2))
-    return p.join(F.broadcast(sigma), [*key]).withColumn("w", w).where(F.col("w") >= least).select(*key, "i", "j", "w")
+    return p.join(sigma, [*key]).withColumn("w", w).where(F.col("w") >= least).select(*key, "i", "j", "w")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -46,6 +48,40 @@ def render(nuclei: DataFrame, height: int, width: int, profile: str = "binary")
     return lit.groupBy("r", "c").agg(F.sum(value).alias("v"))
 
 
+def to_microns(points: DataFrame, scale: dict[str, float]) -> DataFrame:
+    """Pixel coordinates (the columns of scale) in microns."""
+    return points.withColumns({c: F.col(c) * float(s) for c, s in scale.items()})
+
+
+def to_pixels(points: DataFrame, scale: dict[str, float]) -> DataFrame:
+    """Micron coordinates in whole pixels, cut towards zero."""
+    return points.withColumns({c: (F.col(c) / float(s)).cast("int") for c, s in scale.items()})
+
+
+def inside(points: DataFrame, size: dict[str, int]) -> DataFrame:
+    """With `inside`: whether each coordinate is in [0, size)."""
+    return points.withColumn("inside", reduce(and_, ((F.col(c) >= 0) & (F.col(c) < s) for c, s in size.items())))
+
+
+def neighbourhood(points: DataFrame, radius: int, size: dict[str, int]) -> DataFrame:
+    """(id, n_<axis>...): the pixels inside the space within `radius` pixels of each point, a row each."""
+    out = points
+    for c, s in size.items():
+        out = out.withColumn(f"n_{c}", F.explode(F.sequence(F.greatest(F.lit(0), F.col(c) - radius), F.least(F.lit(s - 1), F.col(c) + radius))))
+    apart = sum(((F.col(f"n_{c}") - F.col(c)) ** 2 for c in size), F.lit(0))
+    return out.where(apart <= radius**2).select("id", *[f"n_{c}" for c in size])
+
+
+def grid(spark: SparkSession, size: dict[str, int], spacing: dict[str, int]) -> DataFrame:
+    """The points of a regular grid over the space, `spacing` apart on each axis."""
+    if sorted(size) != sorted(spacing) or min(spacing.values()) <= 0:
+        raise ValueError("spacing must be positive and match the axes")
+    out = spark.range(1)
+    for c in size:
+        out = out.withColumn(c, F.explode(F.sequence(F.lit(0), F.lit(size[c] - 1), F.lit(spacing[c]))))
+    return out.drop("id")
+
+
 def merge_pairs(clusters: DataFrame, near: float = 20.0) -> DataFrame:
     """Pairs of clusters of a sample whose truncated centroids are nearer than `near`."""
     c = clusters.select("sample", "cluster", F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y"))

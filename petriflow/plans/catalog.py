@@ -230,6 +230,13 @@ def _(s, d):
     return out.groupBy("label", "dist").agg(F.max("cumulative").alias("cumulative"))
 
 
+@register("cumulative_derivative_values", f"""{C}{enriched('label')}, g AS (SELECT label, round(dist, 4) AS dist, count(*) n FROM enr GROUP BY ALL), q AS (SELECT label, dist, sum(n) OVER w AS c, dist - lag(dist) OVER w AS a, lead(dist) OVER w - dist AS b FROM g WINDOW w AS (PARTITION BY label ORDER BY dist)),
+ z AS (SELECT *, lag(c) OVER w AS c0, lead(c) OVER w AS c2 FROM q WINDOW w AS (PARTITION BY label ORDER BY dist))
+ SELECT label, dist + 0.0 AS dist, CAST(c AS BIGINT) AS cumulative, {r(derivative="CASE WHEN a IS NULL THEN (c2-c)/b WHEN b IS NULL THEN (c-c0)/a ELSE (a*a*c2+(b*b-a*a)*c-b*b*c0)/(a*b*(a+b)) END")} FROM z""")
+def _(s, d):
+    return tidy(cleaning.cumulative_derivative(cells(s, d), 4), "label", "dist", "cumulative", "derivative")
+
+
 @register("cumulative_derivative", f"""{C}{enriched('label')}, g AS (SELECT label, dist, count(*) n FROM enr GROUP BY ALL), q AS (SELECT label, dist, sum(n) OVER w AS c, dist - lag(dist) OVER w AS a, lead(dist) OVER w - dist AS b FROM g WINDOW w AS (PARTITION BY label ORDER BY dist)),
  z AS (SELECT *, lag(c) OVER w AS c0, lead(c) OVER w AS c2 FROM q WINDOW w AS (PARTITION BY label ORDER BY dist))
  SELECT label, count(*) AS n, sum(CASE WHEN CASE WHEN a IS NULL THEN (c2-c)/b WHEN b IS NULL THEN (c-c0)/a ELSE (a*a*c2+(b*b-a*a)*c-b*b*c0)/(a*b*(a+b)) END > 0 THEN 1 ELSE 0 END)::BIGINT AS rising FROM z GROUP BY label""")
@@ -295,6 +302,25 @@ def _(s, d):
     return tidy(correlation.distance_correlation(c, "intden", "label").union(correlation.distance_correlation(c, "intden").select(F.lit(-1), "r")))
 
 
+@register("correlation_compare", f"""{C}{enriched()}, b AS (SELECT label, time, corr(intden, area) p, corr(intden, dist) q, corr(area, dist) w FROM enr GROUP BY label, time HAVING count(*) >= 3) SELECT a.time, a.label AS label_a, b.label AS label_b, {r(r_intden_area_diff="abs(a.p-b.p)", r_intden_dist_diff="abs(a.q-b.q)", r_area_dist_diff="abs(a.w-b.w)")} FROM b a JOIN b ON a.time = b.time AND a.label < b.label""")
+def _(s, d):
+    blocks = correlation.pearson_pairs(clusters.enrich(cells(s, d)), list(_PAIR), "label", "time").where("n >= 3")
+    return tidy(correlation.compare_correlations(blocks, "r_intden_area", "r_intden_dist", "r_area_dist"))
+
+
+@register("corr_density", f"""{C}, s AS (SELECT label, time, count(*) n, var_samp(x)*pow(count(*), -1.0/3) vx, var_samp(y)*pow(count(*), -1.0/3) vy, covar_samp(x, y)*pow(count(*), -1.0/3) vxy FROM cells GROUP BY ALL HAVING count(*) >= 3),
+ k AS (SELECT a.cell_id, sum(exp(-0.5*(vy*(a.x-b.x)*(a.x-b.x) - 2*vxy*(a.x-b.x)*(a.y-b.y) + vx*(a.y-b.y)*(a.y-b.y))/(vx*vy-vxy*vxy)))/(max(n)*2*pi()*sqrt(max(vx*vy-vxy*vxy))) AS density FROM cells a JOIN cells b ON a.label = b.label AND a.time = b.time JOIN s ON s.label = a.label AND s.time = a.time GROUP BY a.cell_id)
+ SELECT label, time, count(*) AS n, {r(r_intden_density="CASE WHEN stddev_pop(density) > 1e-9*avg(density) THEN corr(intden, density) END", r_area_density="CASE WHEN stddev_pop(density) > 1e-9*avg(density) THEN corr(area, density) END")} FROM cells JOIN k USING (cell_id) GROUP BY label, time""")
+def _(s, d):
+    return tidy(correlation.density_pairs(cells(s, d), "label", "time"))
+
+
+@register("corr_neighbour", f"""{C}, pr AS (SELECT a.label, a.time, a.cell_id AS i, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS d FROM cells a JOIN cells b ON a.label = b.label AND a.time = b.time AND a.cell_id <> b.cell_id GROUP BY ALL)
+ SELECT c.label, c.time, count(*) AS n, {r(r_nn_intden="corr(d, intden)", r_nn_area="corr(d, area)")} FROM pr JOIN cells c ON c.cell_id = pr.i GROUP BY c.label, c.time HAVING count(*) >= 3""")
+def _(s, d):
+    return tidy(correlation.neighbour_pairs(cells(s, d), "label", "time"))
+
+
 _PV = "p AS (SELECT label, time, 1.0 / (1 + (label * 37 + time * 11) % 97) AS p FROM (SELECT DISTINCT label, time FROM cells))"
 
 
@@ -388,16 +414,11 @@ def _(s, d):
     return tidy(density.inflections(o, 5.0, "label"))
 
 
-@register("force_sums", f"""{C}, c AS (SELECT * FROM cells WHERE label = 1), nr AS (SELECT a.time, a.cell_id AS id, (a.x-b.x) dx, (a.y-b.y) dy, a.area + b.area AS touch, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM c a JOIN c b ON a.time = b.time AND a.cell_id <> b.cell_id),
- f AS (SELECT time, id, sum(CASE WHEN d < touch THEN touch - d ELSE -0.1*(d-touch) END * dx/d) fx, sum(CASE WHEN d < touch THEN touch - d ELSE -0.1*(d-touch) END * dy/d) fy FROM nr WHERE d <= 400 AND d > 0 GROUP BY ALL)
- SELECT c.time, c.cell_id AS id, {r(fx="coalesce(fx, 0)", fy="coalesce(fy, 0)")} FROM c LEFT JOIN f ON f.id = c.cell_id""")
-def _(s, d):
-    return tidy(spatial.force_sums(_cell_points(s, d).join(cells(s, d).where("label = 1").select(F.col("cell_id").alias("id")), "id", "left_semi"), 400.0, 1.0, 0.1, "time"))
-
-
-@register("force_sums_whole")
+@register("force_sums", f"""{C}, nr AS (SELECT a.label, a.time, a.cell_id AS id, (a.x-b.x) dx, (a.y-b.y) dy, a.area + b.area AS touch, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM cells a JOIN cells b ON a.label = b.label AND a.time = b.time AND a.cell_id <> b.cell_id),
+ f AS (SELECT id, sum(CASE WHEN d < touch THEN touch - d ELSE -0.1*(d-touch) END * dx/d) fx, sum(CASE WHEN d < touch THEN touch - d ELSE -0.1*(d-touch) END * dy/d) fy FROM nr WHERE d <= 400 AND d > 0 GROUP BY ALL)
+ SELECT c.label, c.time, c.cell_id AS id, {r(fx="coalesce(fx, 0)", fy="coalesce(fy, 0)")} FROM cells c LEFT JOIN f ON f.id = c.cell_id""")
 def _(s, d):
-    p = _cell_points(s, d).join(cells(s, d).select(F.col("cell_id").alias("id"), "label"), "id")
+    p = cells(s, d).select("label", "time", F.col("cell_id").alias("id"), "x", "y", F.col("area").alias("v"))
     return tidy(spatial.force_sums(p, 400.0, 1.0, 0.1, "label", "time"))
 
 
@@ -453,7 +474,20 @@ def _(s, d):
     return tidy(imputation.impute_missing(ok, _wanted(s, d)), "cell_id", "label", "time", "copy", "x", "y")
 
 
-@register("impute_sample")
+def _drawn(*cols: str, seed: int = 5) -> str:
+    x = str(seed + 1)
+    for c in cols:
+        x = f"((({x})::BIGINT * 48271 + {c}) * 69621 % 2147483647)"
+    return f"({x} * 48271 % 2147483647)"
+
+
+_DRAW = _drawn("pl.label", "pl.time", "pl.copy")
+
+
+@register("impute_sample", f"""{C}, {_HOLES}, w AS (SELECT label, time FROM (SELECT DISTINCT label, time FROM cells) EXCEPT SELECT label, time FROM h), ok AS (SELECT * FROM cells WHERE (label*7+time) % 5 <> 0),
+ la AS (SELECT w.label, w.time, max(h.time) lt FROM w JOIN h ON h.label = w.label AND h.time <= w.time GROUP BY ALL), po AS (SELECT *, row_number() OVER (PARTITION BY label, time ORDER BY cell_id) - 1 AS k, count(*) OVER (PARTITION BY label, time) AS n FROM ok),
+ pl AS (SELECT la.*, CAST(i AS INTEGER) AS copy FROM la CROSS JOIN range(4) g(i) WHERE i < la.time % 4 + 1)
+ SELECT po.cell_id, pl.label, pl.time, pl.copy, {r(x="po.x + pl.time * 1.5", y="po.y - 2.0")} FROM pl JOIN po ON po.label = pl.label AND po.time = pl.lt AND po.k = {_DRAW} % po.n""")
 def _(s, d):
     ok = cells(s, d).where("(label * 7 + time) % 5 <> 0")
     return tidy(imputation.impute_missing(ok, _wanted(s, d), seed=5), "cell_id", "label", "time", "copy", "x", "y")
@@ -506,7 +540,11 @@ def _(s, d):
     return linking.merge_boxes(clusters.summary(cells(s, d)), 400.0)
 
 
-@register("assign_optimal")
+@register("assign_optimal", f"""{C}, s AS ({SUMMARY}), p AS (SELECT a.time, a.label, b.label AS previous, sqrt((a.cx-b.cx)^2+(a.cy-b.cy)^2) AS d FROM s a JOIN s b ON a.time = b.time + 1),
+ o AS (SELECT p0.time, p0.previous AS q0, p1.previous AS q1, p2.previous AS q2, p3.previous AS q3, p0.d AS d0, p1.d AS d1, p2.d AS d2, p3.d AS d3 FROM p p0 JOIN p p1 ON p1.time = p0.time AND p1.label = 1 AND p1.previous <> p0.previous
+  JOIN p p2 ON p2.time = p0.time AND p2.label = 2 AND p2.previous NOT IN (p0.previous, p1.previous) JOIN p p3 ON p3.time = p0.time AND p3.label = 3 AND p3.previous NOT IN (p0.previous, p1.previous, p2.previous) WHERE p0.label = 0),
+ best AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY time ORDER BY d0+d1+d2+d3) = 1), l AS (SELECT time, unnest([0, 1, 2, 3]) AS label, unnest([q0, q1, q2, q3]) AS previous, unnest([d0, d1, d2, d3]) AS d FROM best)
+ SELECT time, label, previous, {r(distance="d")} FROM l QUALIFY d < 1.5 * quantile_cont(d, 0.5) OVER (PARTITION BY time)""")
 def _(s, d):
     return tidy(linking.assign_optimal(clusters.summary(cells(s, d))))
 
@@ -534,11 +572,25 @@ def _(s, d):
     return tidy(linking.stability(cells(s, d).where("(label * 3 + time) % 4 <> 0")))
 
 
-@register("hull_morphology")
+# an edge of the hull has all points on its left, and none of them on its line beyond its ends
+_HULL = """pt AS (SELECT DISTINCT label, time, x, y FROM cells), ab AS (SELECT a.label, a.time, a.x ax, a.y ay, b.x bx, b.y by_ FROM pt a JOIN pt b ON a.label = b.label AND a.time = b.time AND (a.x <> b.x OR a.y <> b.y)),
+ he AS (SELECT * FROM ab WHERE NOT EXISTS (SELECT 1 FROM pt c WHERE c.label = ab.label AND c.time = ab.time AND ((bx-ax)*(c.y-ay)-(by_-ay)*(c.x-ax) < 0 OR ((bx-ax)*(c.y-ay)-(by_-ay)*(c.x-ax) = 0 AND ((c.x-ax)*(bx-ax)+(c.y-ay)*(by_-ay) < 0 OR (c.x-bx)*(ax-bx)+(c.y-by_)*(ay-by_) < 0))))),
+ hu AS (SELECT label, time, abs(sum(ax*by_-bx*ay))/2 AS hull_area, sum(sqrt((ax-bx)^2+(ay-by_)^2)) AS hull_perimeter, count(*) AS hull_points FROM he GROUP BY ALL),
+ ce AS (SELECT label, time, count(*) AS n_cells, avg(x) AS cx, avg(y) AS cy, sqrt(var_pop(x) + var_pop(y)) AS gyration FROM cells GROUP BY ALL HAVING count(*) >= 3),
+ mo AS (SELECT label, time, n_cells, cx, cy, hull_area, hull_perimeter, hull_points, gyration, 4*pi()*hull_area/(hull_perimeter*hull_perimeter) AS circularity, CASE WHEN hull_area > 0 THEN n_cells/hull_area ELSE 0 END AS density, hull_area/hull_perimeter AS compactness FROM ce JOIN hu USING (label, time))"""
+
+
+@register("hull_morphology", f"{C}, {_HULL} SELECT label, time, CAST(n_cells AS INTEGER) AS n_cells, CAST(hull_points AS INTEGER) AS hull_points, {r(**{c: c for c in ('hull_area', 'hull_perimeter', 'circularity', 'density', 'compactness', 'gyration')})} FROM mo")
 def _(s, d):
     return tidy(morphology.morphology(cells(s, d)))
 
 
+@register("morphology_compare", f"""{C}, {_HULL}, {_PCA}, f AS (SELECT mo.*, aspect_ratio, orientation FROM mo JOIN a USING (label, time)) SELECT p.time, p.label AS label_a, q.label AS label_b, {r(relative_area="p.hull_area/nullif(q.hull_area, 0)", relative_density="p.density/nullif(q.density, 0)", circularity_diff="p.circularity-q.circularity",
+ compactness_diff="p.compactness-q.compactness", aspect_diff="p.aspect_ratio-q.aspect_ratio", angle_diff="least(abs(p.orientation-q.orientation), pi()-abs(p.orientation-q.orientation))", centre_distance="sqrt((p.cx-q.cx)^2+(p.cy-q.cy)^2)")} FROM f p JOIN f q ON p.time = q.time AND p.label < q.label""")
+def _(s, d):
+    return tidy(morphology.compare_shapes(cells(s, d)))
+
+
 # --- clustering ----------------------------------------------------------------
 @register("optics_order")
 def _(s, d):
@@ -550,11 +602,25 @@ def _(s, d):
     return density.gradient_clusters(_cell_points(s, d), 500.0, 5, 150.0, 0.025, 0.5, 0.7, "time")
 
 
-@register("dbscan")
+_DBSCAN = f"""{_NEAR}, ne AS (SELECT * FROM nr WHERE d <= 300), n AS (SELECT i, count(*) n FROM ne GROUP BY i), co AS (SELECT c.time, c.cell_id AS id, coalesce(n.n, 0) + 1 >= 5 AS core FROM cells c LEFT JOIN n ON n.i = c.cell_id),
+ ed AS (SELECT ne.i, ne.j, ne.d FROM ne JOIN co b ON b.id = ne.j AND b.core), cc AS (SELECT ed.i, ed.j FROM ed JOIN co a ON a.id = ed.i AND a.core),
+ re(id, root) AS (SELECT id, id FROM co WHERE core UNION SELECT cc.j, re.root FROM re JOIN cc ON cc.i = re.id), cl AS (SELECT id, min(root) AS cluster FROM re GROUP BY id),
+ bo AS (SELECT ed.i AS id, arg_min(cl.cluster, (ed.d, ed.j)) AS cluster FROM ed JOIN cl ON cl.id = ed.j GROUP BY ed.i),
+ db AS (SELECT co.time, co.id, co.core, CASE WHEN co.core THEN cl.cluster ELSE bo.cluster END AS cluster FROM co LEFT JOIN cl ON cl.id = co.id LEFT JOIN bo ON bo.id = co.id)"""
+
+
+@register("dbscan", f"WITH RECURSIVE {CELLS_SQL}, {_DBSCAN} SELECT time, id, core, cluster FROM db")
 def _(s, d):
     return density.dbscan(_cell_points(s, d), 300.0, 5, "time")
 
 
+@register("cluster_member_stats", f"WITH RECURSIVE {CELLS_SQL}, {_DBSCAN} SELECT db.time, cluster, count(*) AS n_members, {r(mean_x='avg(x)', std_x='stddev_pop(x)', mean_y='avg(y)', std_y='stddev_pop(y)')} FROM db JOIN cells ON cells.cell_id = db.id WHERE cluster IS NOT NULL GROUP BY db.time, cluster")
+def _(s, d):
+    found = density.dbscan(_cell_points(s, d), 300.0, 5, "time").where("cluster is not null").select("id", "cluster")
+    members = found.join(cells(s, d).withColumnRenamed("cell_id", "id"), "id")
+    return tidy(clusters.member_stats(members, ["x", "y"], "time", "cluster"))
+
+
 @register("kmeans_labels")
 def _(s, d):
     return density.kmeans(points(s, d), 5)
@@ -585,6 +651,12 @@ def _(s, d):
     return tidy(density.principal_components(points(s, d), ["x", "y", "v"], 2))
 
 
+@register("principal_axis", f"""{P}, m AS (SELECT avg(x) mx, avg(v) mv, var_samp(x) a, var_samp(v) b, covar_samp(x, v) c FROM points), e AS (SELECT *, 0.5*atan2(2*c, a-b) AS t FROM m), u AS (SELECT cos(t) AS ux, sin(t) AS uv FROM e)
+ SELECT id, 0 AS component, {r(value="(x*ux + v*uv) * CASE WHEN (CASE WHEN abs(ux) >= abs(uv) THEN ux ELSE uv END) < 0 THEN -1 ELSE 1 END")} FROM points, u""")
+def _(s, d):
+    return tidy(density.principal_components(points(s, d), ["x", "v"], 1))
+
+
 @register("scaled_threshold", f"{P} SELECT label, {r(threshold='10.0/sqrt(var_pop(x)+var_pop(y))')} FROM points GROUP BY label")
 def _(s, d):
     return tidy(density.scaled_threshold(points(s, d), 10.0, "label"))
@@ -674,7 +746,8 @@ def _(s, d):
     return tidy(imaging.signal_background(pixels(s, d)))
 
 
-@register("noise_scatter")
+@register("noise_scatter", f"""{X}, q AS (SELECT a.i*8 AS wy, b.i*8 AS wx FROM range(15) a(i) CROSS JOIN range(15) b(i)), st AS (SELECT wy, wx, avg(v) m, stddev_pop(v) s FROM q JOIN pixels ON r >= wy AND r < wy+16 AND c >= wx AND c < wx+16 GROUP BY ALL),
+ w AS (SELECT r, c, m AS mean, s AS std FROM pixels JOIN st ON st.wy = least(r // 8 * 8, 112) AND st.wx = least(c // 8 * 8, 112) WHERE m <> 0 AND s <> 0 ORDER BY (r*7919 + c*104729 + r*c*31) % 1009, r, c LIMIT 10000) SELECT r, c, {r(mean="mean", std="std")} FROM w""")
 def _(s, d):
     return tidy(imaging.noise_scatter(pixels(s, d), 128, 128, 10_000))
 
@@ -685,14 +758,12 @@ def _(s, d):
 
 
 # --- synthetic ----------------------------------------------------------------
-_NUC = "nuc AS (SELECT p_partkey AS id, CAST((p_partkey*37) % 200 AS DOUBLE) AS cx, CAST((p_partkey*53) % 200 AS DOUBLE) AS cy, 3.0 + p_size % 7 AS a, 2.0 + p_size % 5 AS b, CAST((p_partkey*7) % 180 AS DOUBLE) AS angle, CAST(p_size AS DOUBLE) AS level FROM part WHERE p_partkey <= 200)"
+_NUC = "nuc AS (SELECT p_partkey AS id, CAST((p_partkey*37) % 200 AS DOUBLE) AS cx, CAST((p_partkey*53) % 200 AS DOUBLE) AS cy, 3.0 + p_size % 7 AS a, 2.0 + p_size % 5 AS b, CAST((p_partkey*7) % 180 AS DOUBLE) AS angle, CAST(p_size AS DOUBLE) AS level FROM part)"
 
 
-def _nuclei(s, d, whole=False):
-    p = s.read.parquet(f"{d}/part.parquet")
-    p = p if whole else p.where("p_partkey <= 200")
+def _nuclei(s, d):
     k = F.col("p_partkey")
-    return p.select(k.alias("id"), ((k * 37) % 200).cast("double").alias("cx"), ((k * 53) % 200).cast("double").alias("cy"), (F.lit(3.0) + F.col("p_size") % 7).alias("a"), (F.lit(2.0) + F.col("p_size") % 5).alias("b"), ((k * 7) % 180).cast("double").alias("angle"), F.col("p_size").cast("double").alias("level"))
+    return s.read.parquet(f"{d}/part.parquet").select(k.alias("id"), ((k * 37) % 200).cast("double").alias("cx"), ((k * 53) % 200).cast("double").alias("cy"), (F.lit(3.0) + F.col("p_size") % 7).alias("a"), (F.lit(2.0) + F.col("p_size") % 5).alias("b"), ((k * 7) % 180).cast("double").alias("angle"), F.col("p_size").cast("double").alias("level"))
 
 
 @register("ellipse_geometry", f"WITH {_NUC}, h AS (SELECT *, ((a-b)/(a+b))*((a-b)/(a+b)) AS h, radians(angle) AS t FROM nuc), p AS (SELECT *, pi()*(a+b)*(1+3*h/(10+sqrt(4-3*h))) AS per FROM h) SELECT id, {r(area='pi()*a*b', perimeter='per', aspect='greatest(a,b)/least(a,b)', roundness='4*pi()*pi()*a*b/(per*per)', box_w='2*sqrt((a*cos(t))^2+(b*sin(t))^2)', box_h='2*sqrt((a*sin(t))^2+(b*cos(t))^2)')} FROM p".replace("a*cos(t))^2", "a*cos(t))^2"))
@@ -700,31 +771,27 @@ def _(s, d):
     return tidy(synthetic.ellipse_geometry(_nuclei(s, d)))
 
 
-@register("render_mask", f"WITH {_NUC}, q AS (SELECT CAST(g.i AS INTEGER) AS r, CAST(h.i AS INTEGER) AS c, level, (((h.i-cx)*cos(radians(angle))+(g.i-cy)*sin(radians(angle)))/a)^2 + (((g.i-cy)*cos(radians(angle))-(h.i-cx)*sin(radians(angle)))/b)^2 AS q FROM nuc JOIN range(200) g(i) ON abs(g.i-cy) <= greatest(a,b)+1 JOIN range(200) h(i) ON abs(h.i-cx) <= greatest(a,b)+1) SELECT r, c, {r(v='sum(level)')} FROM q WHERE q <= 1 GROUP BY r, c")
-def _(s, d):
-    return tidy(synthetic.render(_nuclei(s, d), 200, 200))
+_RENDER = f"WITH {_NUC}, q AS (SELECT CAST(g.i AS INTEGER) AS r, CAST(h.i AS INTEGER) AS c, level, (((h.i-cx)*cos(radians(angle))+(g.i-cy)*sin(radians(angle)))/a)^2 + (((g.i-cy)*cos(radians(angle))-(h.i-cx)*sin(radians(angle)))/b)^2 AS q FROM nuc JOIN range(200) g(i) ON abs(g.i-cy) <= greatest(a,b)+1 JOIN range(200) h(i) ON abs(h.i-cx) <= greatest(a,b)+1)"
 
 
-# over all rows; the counterparts in SQL, and the queries held against them, look at 200 nuclei
-@register("ellipse_geometry_whole")
+@register("render_mask", f"{_RENDER} SELECT r, c, {r(v='sum(level)')} FROM q WHERE q <= 1 GROUP BY r, c")
 def _(s, d):
-    return tidy(synthetic.ellipse_geometry(_nuclei(s, d, whole=True)))
+    return tidy(synthetic.render(_nuclei(s, d), 200, 200))
 
 
-@register("render_mask_whole")
+@register("render_gaussian", f"{_RENDER} SELECT r, c, {r(v='sum(level*exp(-2.0*q))')} FROM q WHERE q <= 1 GROUP BY r, c")
 def _(s, d):
-    return tidy(synthetic.render(_nuclei(s, d, whole=True), 200, 200))
+    return tidy(synthetic.render(_nuclei(s, d), 200, 200, "gaussian"))
 
 
-@register("sample_counts_whole")
+@register("render_ring", f"{_RENDER} SELECT r, c, {r(v='sum(level*exp(-8.0*(sqrt(q)-0.8)*(sqrt(q)-0.8)))')} FROM q WHERE q <= 1 GROUP BY r, c")
 def _(s, d):
-    n = _nuclei(s, d, whole=True).withColumn("sample", F.col("id") % 3).withColumn("cluster", F.col("id") % 7)
-    return tidy(clusters.sample_counts(n, "sample"))
+    return tidy(synthetic.render(_nuclei(s, d), 200, 200, "ring"))
 
 
-@register("render_gaussian")
+@register("ellipsoid_geometry", f"WITH {_NUC} SELECT id, {r(volume='4.0/3.0*pi()*a*b*(1+level/10)', surface='4*pi()*pow((pow(a*b,1.6)+pow(a*(1+level/10),1.6)+pow(b*(1+level/10),1.6))/3, 1/1.6)')} FROM nuc")
 def _(s, d):
-    return tidy(synthetic.render(_nuclei(s, d, whole=True), 200, 200, "gaussian"))
+    return tidy(synthetic.ellipsoid_geometry(_nuclei(s, d).withColumn("c", 1 + F.col("level") / 10)))
 
 
 @register("cluster_merge_pairs", f"{C}, k AS (SELECT label AS sample, time AS cluster, CAST(trunc(avg(x)) AS INTEGER) x, CAST(trunc(avg(y)) AS INTEGER) y FROM cells GROUP BY ALL) SELECT a.sample, a.cluster AS first, b.cluster AS second FROM k a JOIN k b ON a.sample = b.sample AND a.cluster < b.cluster AND sqrt((a.x-b.x)^2+(a.y-b.y)^2) < 150")
@@ -760,6 +827,26 @@ def _(s, d):
     return tidy(synthetic.drifting_centres(s, 6, 4, 12))
 
 
+# --- space: pixels and microns ---
+@register("space_units", f"{C} SELECT cell_id, {r(x='x*0.25', y='y*0.5')}, CAST(trunc(x*0.25/0.5) AS INTEGER) AS px, CAST(trunc(y*0.5/0.75) AS INTEGER) AS py, x >= 0 AND x < 6000 AND y >= 0 AND y < 5000 AS inside FROM cells")
+def _(s, d):
+    c = synthetic.inside(cells(s, d).select("cell_id", "x", "y"), {"x": 6000, "y": 5000})
+    c = synthetic.to_microns(c, {"x": 0.25, "y": 0.5})
+    pixels_ = synthetic.to_pixels(c.select("cell_id", F.col("x").alias("px"), F.col("y").alias("py")), {"px": 0.5, "py": 0.75})
+    return tidy(c.join(pixels_, "cell_id"), "cell_id", "x", "y", "px", "py", "inside")
+
+
+@register("space_neighbourhood", f"WITH {_NUC}, z AS (SELECT id, CAST(cx AS INTEGER) AS x, CAST(cy AS INTEGER) AS y FROM nuc) SELECT id, CAST(g.i AS INTEGER) AS n_x, CAST(h.i AS INTEGER) AS n_y FROM z JOIN range(200) g(i) ON abs(g.i - x) <= 3 JOIN range(200) h(i) ON abs(h.i - y) <= 3 WHERE (g.i-x)*(g.i-x) + (h.i-y)*(h.i-y) <= 9")
+def _(s, d):
+    at = _nuclei(s, d).select("id", F.col("cx").cast("int").alias("x"), F.col("cy").cast("int").alias("y"))
+    return synthetic.neighbourhood(at, 3, {"x": 200, "y": 200})
+
+
+@register("space_grid", "SELECT CAST(g.i * 7 AS INTEGER) AS x, CAST(h.i * 9 AS INTEGER) AS y FROM range(15) g(i) CROSS JOIN range(6) h(i)")
+def _(s, d):
+    return synthetic.grid(s, {"x": 100, "y": 50}, {"x": 7, "y": 9})
+
+
 # --- files and streams ----------------------------------------------------------
 _NAMES = [(f"/data/slices/{w}/exp_{w}_D#{day}_T{step}_{c}.tif", 100 * day + step) for w in ("A06", "A07") for day in (1, 2, 10) for step in (1, 12) for c in ("C01", "C05")] + [("/data/slices/odd.tif", 7)]
 
