@@ -64,10 +64,12 @@ def geary(points: DataFrame, k: int = 3, *key: str) -> DataFrame:
 
 
 def kde(points: DataFrame, *key: str) -> DataFrame:
-    """Gaussian kernel density at the points themselves; bandwidth from the covariance by Scott's factor."""
+    """Gaussian kernel density at the points themselves; bandwidth from the covariance by Scott's factor. Points on one line have none (null)."""
     s = points.groupBy(*key).agg(F.count("*").alias("n"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy"))
     f2 = F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
-    s = s.select(*key, "n", *[(F.col(c) * f2).alias(c) for c in ("vx", "vy", "vxy")]).withColumn("det", F.col("vx") * F.col("vy") - F.col("vxy") ** 2)
+    s = s.select(*key, "n", *[(F.col(c) * f2).alias(c) for c in ("vx", "vy", "vxy")])
+    det = F.col("vx") * F.col("vy") - F.col("vxy") ** 2
+    s = s.withColumn("det", F.when(det > F.col("vx") * F.col("vy") * 1e-9, det))
     a = points.select(*key, F.col("id"), F.col("x").alias("xi"), F.col("y").alias("yi"))
     b = points.select(*key, F.col("x").alias("xj"), F.col("y").alias("yj"))
     dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")

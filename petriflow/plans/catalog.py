@@ -308,7 +308,7 @@ def _(s, d):
     return tidy(correlation.compare_correlations(blocks, "r_intden_area", "r_intden_dist", "r_area_dist"))
 
 
-@register("corr_density", f"""{C}, s AS (SELECT label, time, count(*) n, var_samp(x)*pow(count(*), -1.0/3) vx, var_samp(y)*pow(count(*), -1.0/3) vy, covar_samp(x, y)*pow(count(*), -1.0/3) vxy FROM cells GROUP BY ALL HAVING count(*) >= 3),
+@register("corr_density", f"""{C}, s AS (SELECT label, time, count(*) n, var_samp(x)*pow(count(*), -1.0/3) vx, var_samp(y)*pow(count(*), -1.0/3) vy, covar_samp(x, y)*pow(count(*), -1.0/3) vxy FROM cells GROUP BY ALL HAVING var_samp(x)*var_samp(y)-covar_samp(x, y)^2 > 1e-9*var_samp(x)*var_samp(y)),
  k AS (SELECT a.cell_id, sum(exp(-0.5*(vy*(a.x-b.x)*(a.x-b.x) - 2*vxy*(a.x-b.x)*(a.y-b.y) + vx*(a.y-b.y)*(a.y-b.y))/(vx*vy-vxy*vxy)))/(max(n)*2*pi()*sqrt(max(vx*vy-vxy*vxy))) AS density FROM cells a JOIN cells b ON a.label = b.label AND a.time = b.time JOIN s ON s.label = a.label AND s.time = a.time GROUP BY a.cell_id)
  SELECT label, time, count(*) AS n, {r(r_intden_density="corr(intden, density)", r_area_density="corr(area, density)")} FROM cells JOIN k USING (cell_id) GROUP BY label, time HAVING count(*) >= 4""")
 def _(s, d):
