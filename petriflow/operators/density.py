@@ -216,6 +216,54 @@ def spectral_fit(p: np.ndarray, neighbours: int = 20, k: int | None = None, seed
     return kmeans_fit(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12), k, seed=seed)
 
 
+def pruned_spectral_fit(p: np.ndarray, neighbours: int = 20, k: int | None = None, tau: float = 0.0, size: float = 0.0, kernel: str = "laplace", seed: int = 0) -> np.ndarray:
+    """Spectral clustering on standardised coordinates with links left out: those longer than `size` (a distance in the units of p, scaled as
+    the coordinates are) and those shorter than the percentile `tau` of the rest; kernel: laplace or gaussian, as wide as a point's mean
+    link. Holds some matrices of n x n doubles: about 10,000 points in 8 GB."""
+    n = len(p)
+    if n < 3:
+        return np.zeros(n, int)
+    spread = p.std(axis=0)
+    z = (p - p.mean(axis=0)) / np.where(spread > 0, spread, 1.0)
+    d = np.sqrt(((z[:, None] - z) ** 2).sum(axis=2))
+    near = np.argsort(d, axis=1, kind="stable")[:, 1 : min(neighbours, n - 1) + 1]
+    length = np.take_along_axis(d, near, axis=1)
+    kept = length <= (size / np.sqrt((spread**2).sum()) if size > 0 else np.inf)
+    if kept.any():
+        kept &= length >= np.percentile(length[kept], tau)
+    width = np.where(kept.any(axis=1), (length * kept).sum(axis=1) / np.maximum(kept.sum(axis=1), 1), 1.0)[:, None]
+    x = length / np.where(width > 0, width, 1.0)
+    w = np.zeros((n, n))
+    np.put_along_axis(w, near, np.where(kept, np.exp(-x if kernel == "laplace" else -(x**2) / 2), 0.0), axis=1)
+    return _spectral_labels((w + w.T) / 2, lambda values: k or gap_count(values, 2, min(40, n - 1)), seed)
+
+
+def affinity_fit(p: np.ndarray, seed: int = 0) -> np.ndarray:
+    """One time's clusters, one to three: Gaussian affinities as wide as the 20th percentile of distances, those under 0.1 left out; the number
+    is the place of the first gap of eigenvalues over one and a half times the mean gap (two without such)."""
+    if len(p) < 3:
+        return np.zeros(len(p), int)
+    d = np.sqrt(((p[:, None] - p) ** 2).sum(axis=2))
+    sigma = np.percentile(d[d > 0], 20) if (d > 0).any() else 1.0
+    w = np.exp(-(d**2) / (2 * sigma**2))
+
+    def number(values: np.ndarray) -> int:
+        gaps = np.diff(values)
+        wide = np.flatnonzero(gaps > 1.5 * gaps.mean())
+        return min(int(wide[0]) + 1, 3) if len(wide) else 2
+
+    return _spectral_labels(np.where(w >= 0.1, w, 0.0), number, seed, 10)
+
+
+def _spectral_labels(w: np.ndarray, number, seed: int, most: int | None = None) -> np.ndarray:
+    """Labels by k-means on the rows of the first eigenvectors of the symmetric normalised Laplacian; number: eigenvalues -> how many."""
+    root = 1 / np.sqrt(np.maximum(w.sum(axis=1), 1e-12))
+    values, vectors = np.linalg.eigh(np.eye(len(w)) - root[:, None] * w * root)
+    k = max(1, min(number(values[:most]), len(w)))
+    rows = vectors[:, :k]
+    return kmeans_fit(rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12), k, seed=seed)
+
+
 def labelled_by(points: DataFrame, fit, *key: str) -> DataFrame:
     """(key, id, cluster) with fit(coordinates) -> labels, a group at a time."""
     kinds = dict(points.dtypes)

@@ -112,3 +112,21 @@ def stability(clusters: DataFrame, *key: str) -> DataFrame:
     """1 / (1 + population deviation of the number of clusters over time)."""
     per = clusters.groupBy(*key, "time").agg(F.countDistinct("label").alias("k"))
     return (per.groupBy(*key) if key else per).agg((1 / (1 + F.stddev_pop("k"))).alias("stability"), F.avg("k").alias("mean_clusters"))
+
+
+def score_times(found: DataFrame, *key: str) -> DataFrame:
+    """(key, time, ari, n_clusters, n_true, error) of labelled points (key, time, x, y, cluster, truth): agreement, numbers of clusters, and the
+    mean distance of the clusters' centroids to the nearest true one."""
+    by = [*key, "time"]
+    centre = lambda c, x, y: found.groupBy(*by, c).agg(F.avg("x").alias(x), F.avg("y").alias(y))
+    d = F.sqrt((F.col("cx") - F.col("tx")) ** 2 + (F.col("cy") - F.col("ty")) ** 2)
+    near = centre("cluster", "cx", "cy").join(centre("truth", "tx", "ty"), by).groupBy(*by, "cluster").agg(F.min(d).alias("d"))
+    error = near.groupBy(*by).agg(F.avg("d").alias("error"), F.count("*").alias("n_clusters"))
+    true = found.groupBy(*by).agg(F.countDistinct("truth").alias("n_true"))
+    return ari(found, "truth", "cluster", *by).join(error, by).join(true, by)
+
+
+def overall_scores(scores: DataFrame, *key: str) -> DataFrame:
+    """(key, mean_ari, number_accuracy, mean_error, stability) over the times."""
+    right = F.avg((F.col("n_clusters") == F.col("n_true")).cast("double"))
+    return (scores.groupBy(*key) if key else scores).agg(F.avg("ari").alias("mean_ari"), right.alias("number_accuracy"), F.avg("error").alias("mean_error"), (1 / (1 + F.stddev_pop("n_clusters"))).alias("stability"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -567,6 +569,32 @@ def _(s, d):
     return tidy(linking.centre_error(clusters.summary(c), truth))
 
 
+_SCORES = f"""k AS (SELECT time, label, x, y, CAST(floor(x/2000) AS INTEGER) AS pred FROM cells), {_ARI}, ar AS (SELECT time, (s - a*b/(t*(t-1)/2.0))/((a+b)/2.0 - a*b/(t*(t-1)/2.0)) AS ari FROM s JOIN a USING (time) JOIN b USING (time)),
+ pc AS (SELECT time, pred, avg(x) cx, avg(y) cy FROM k GROUP BY ALL), tc AS (SELECT time, label, avg(x) tx, avg(y) ty FROM k GROUP BY ALL), ne AS (SELECT time, pred, min(sqrt((cx-tx)^2+(cy-ty)^2)) AS d FROM pc JOIN tc USING (time) GROUP BY ALL),
+ er AS (SELECT time, avg(d) AS error, count(*) AS n_clusters FROM ne GROUP BY time), tr AS (SELECT time, count(DISTINCT label) AS n_true FROM k GROUP BY time), sc AS (SELECT * FROM ar JOIN er USING (time) JOIN tr USING (time))"""
+
+
+def _found(s, d):
+    return cells(s, d).select("time", "x", "y", F.floor(F.col("x") / 2000).cast("int").alias("cluster"), F.col("label").alias("truth"))
+
+
+@register("score_times", f"{C}, {_SCORES} SELECT time, n_clusters, n_true, {r(ari='ari', error='error')} FROM sc")
+def _(s, d):
+    return tidy(linking.score_times(_found(s, d)))
+
+
+@register("overall_scores", f"{C}, {_SCORES} SELECT {r(mean_ari='avg(ari)', number_accuracy='avg(CASE WHEN n_clusters = n_true THEN 1.0 ELSE 0.0 END)', mean_error='avg(error)', stability='1/(1+stddev_pop(n_clusters))')} FROM sc")
+def _(s, d):
+    return tidy(linking.overall_scores(linking.score_times(_found(s, d))))
+
+
+@register("scenario_scores")
+def _(s, d):
+    points_ = reduce(DataFrame.union, (synthetic.scenario(s, name).select(F.lit(name).alias("scenario"), "time", "id", "x", "y", "truth") for name in ("split", "merge", "density")))
+    found = density.labelled_by(points_, density.affinity_fit, "scenario", "time")
+    return tidy(linking.overall_scores(linking.score_times(points_.join(found, ["scenario", "time", "id"]), "scenario"), "scenario"))
+
+
 @register("tracking_stability", f"{C}, k AS (SELECT time, count(DISTINCT label) k FROM cells WHERE (label*3+time) % 4 <> 0 GROUP BY time) SELECT {r(stability='1/(1+stddev_pop(k))', mean_clusters='avg(k)')} FROM k")
 def _(s, d):
     return tidy(linking.stability(cells(s, d).where("(label * 3 + time) % 4 <> 0")))
@@ -646,6 +674,16 @@ def _(s, d):
     return density.labelled_by(points(s, d), lambda p: density.spectral_fit(p, 10), "label")
 
 
+@register("spectral_pruned")
+def _(s, d):
+    return density.labelled_by(points(s, d), lambda p: density.pruned_spectral_fit(p, 10, tau=5.0, size=2.0), "label")
+
+
+@register("spectral_gaussian")
+def _(s, d):
+    return density.labelled_by(points(s, d), lambda p: density.pruned_spectral_fit(p, 10, kernel="gaussian"), "label")
+
+
 @register("principal_components")
 def _(s, d):
     return tidy(density.principal_components(points(s, d), ["x", "y", "v"], 2))
