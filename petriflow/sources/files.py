@@ -42,39 +42,119 @@ def save_labels(cells: DataFrame, labels: DataFrame, path: str) -> None:
     write_cells_csv(cells.drop("label").join(labels.where("label is not null"), "cell_id"), path)
 
 
+_CLEAR, _STOP, _FIRST = 256, 257, 258
+
+
+def lzw_decode(data: bytes) -> bytes:
+    """Bytes of a TIFF strip of LZW codes: 9 to 12 bits each, highest bit first, widened one code early."""
+    out, held, n, width, before = bytearray(), 0, 0, 9, b""
+    table: list[bytes] = []
+    for byte in data:
+        held, n = held << 8 | byte, n + 8
+        if n < width:
+            continue
+        n -= width
+        code, held = held >> n, held & ((1 << n) - 1)
+        if code == _STOP:
+            break
+        if code == _CLEAR:
+            table, before, width = [bytes([i]) for i in range(256)] + [b"", b""], b"", 9
+            continue
+        word = table[code] if code < len(table) else before + before[:1]
+        if before:
+            table.append(before + word[:1])
+        out += word
+        before, width = word, min(12, (len(table) + 1).bit_length())
+    return bytes(out)
+
+
+def lzw_encode(data: bytes) -> bytes:
+    """The codes that lzw_decode reads."""
+    codes: list[tuple[int, int]] = [(_CLEAR, 9)]
+    table, word, size = {}, b"", _FIRST
+    for i in range(len(data)):
+        byte = data[i : i + 1]
+        if not word or word + byte in table:
+            word += byte
+            continue
+        codes.append((table[word] if len(word) > 1 else word[0], size.bit_length()))
+        table[word + byte], word, size = size, byte, size + 1
+        if size == 4094:
+            codes.append((_CLEAR, size.bit_length()))
+            table, size = {}, _FIRST
+    if word:
+        codes.append((table[word] if len(word) > 1 else word[0], size.bit_length()))
+        size += 1
+    codes.append((_STOP, size.bit_length()))
+    bits = "".join(format(code, f"0{width}b") for code, width in codes)
+    bits += "0" * (-len(bits) % 8)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
 def decode_tiff(raw: bytes) -> np.ndarray:
-    """First image of an uncompressed or LZW-free strip TIFF: grey, 8, 16 or 32 bits, integer or float."""
+    """The image of a TIFF file, or the stack of its pages: strips, plain or LZW (with or without differences along rows), grey, 8, 16 or 32 bits,
+    integer or float."""
     end = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if not end or struct.unpack(end + "H", raw[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
-    at = struct.unpack(end + "I", raw[4:8])[0]
+    at, pages = struct.unpack(end + "I", raw[4:8])[0], []
+    while at:
+        image, at = _page(raw, end, at)
+        pages.append(image)
+    return pages[0] if len(pages) == 1 else np.stack(pages)
+
+
+def _page(raw: bytes, end: str, at: int) -> tuple[np.ndarray, int]:
+    """One page, and where the next one is told of."""
     kinds, tags = {1: "B", 3: "H", 4: "I"}, {}
-    for i in range(struct.unpack(end + "H", raw[at : at + 2])[0]):
+    n_tags = struct.unpack(end + "H", raw[at : at + 2])[0]
+    for i in range(n_tags):
         entry = raw[at + 2 + 12 * i : at + 14 + 12 * i]
         tag, kind, n = struct.unpack(end + "HHI", entry[:8])
         if kind in kinds:
             size = struct.calcsize(kinds[kind]) * n
             where = entry[8 : 8 + size] if size <= 4 else raw[(o := struct.unpack(end + "I", entry[8:])[0]) : o + size]
             tags[tag] = struct.unpack(f"{end}{n}{kinds[kind]}", where)
-    if tags.get(259, (1,))[0] != 1:
-        raise ValueError("compressed TIFF files need a decoder that is not installed")
+    packing = tags.get(259, (1,))[0]
+    if packing not in (1, 5) or 273 not in tags:
+        raise ValueError("only plain and LZW strips are read")
     if tags.get(277, (1,))[0] != 1:
         raise ValueError("only grey images are read")
     w, h, bits = tags[256][0], tags[257][0], tags.get(258, (8,))[0]
-    data = b"".join(raw[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
+    strips = (raw[o : o + n] for o, n in zip(tags[273], tags[279], strict=True))
+    data = b"".join(lzw_decode(x) if packing == 5 else x for x in strips)
     letter = {1: "u", 2: "i", 3: "f"}[tags.get(339, (1,))[0]]
-    return np.frombuffer(data, f"{end}{letter}{bits // 8}", h * w).reshape(h, w).astype(np.float64)
+    image = np.frombuffer(data, f"{end}{letter}{bits // 8}", h * w).reshape(h, w)
+    if tags.get(317, (1,))[0] == 2:
+        image = np.cumsum(image, axis=1, dtype=image.dtype)
+    after = at + 2 + 12 * n_tags
+    return image.astype(np.float64), struct.unpack(end + "I", raw[after : after + 4])[0]
 
 
-def encode_tiff(image: np.ndarray) -> bytes:
+def encode_tiff(image: np.ndarray, lzw: bool = False) -> bytes:
     """A 32-bit float grey TIFF of one strip."""
     h, w = image.shape
     data = image.astype("<f4").tobytes()
-    rows = [(256, 4, w), (257, 4, h), (258, 3, 32), (259, 3, 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(data)), (339, 3, 3)]
+    data = lzw_encode(data) if lzw else data
+    rows = [(256, 4, w), (257, 4, h), (258, 3, 32), (259, 3, 5 if lzw else 1), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 4, h), (279, 4, len(data)), (339, 3, 3)]
     table = b"".join(struct.pack("<HHI", t, k, 1) + struct.pack("<I" if k == 4 else "<HH", *((v,) if k == 4 else (v, 0))) for t, k, v in rows)
+    data += b"\0" * (len(data) % 2)
     return b"II" + struct.pack("<HI", 42, 8 + len(data)) + data + struct.pack("<H", len(rows)) + table + struct.pack("<I", 0)
 
 
+def recompress(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
+    """(path, length, packed_length, packed): TIFF files packed anew by LZW, a file at a time."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+
+    def pack(batches):
+        for pdf in batches:
+            for name, raw in zip(pdf["path"], pdf["content"], strict=True):
+                packed = encode_tiff(decode_tiff(raw), lzw=True)
+                yield pd.DataFrame({"path": [name], "length": [len(raw)], "packed_length": [len(packed)], "packed": [packed]})
+
+    return files.select("path", "content").mapInPandas(pack, "path string, length long, packed_length long, packed binary")
+
+
 def read_images(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
     """(path, height, width, pixels) of TIFF or .npy files; NaN and infinite values become 0."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
@@ -84,8 +164,8 @@ def read_images(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataF
             for name, raw in zip(pdf["path"], pdf["content"], strict=True):
                 img = np.load(io.BytesIO(raw), allow_pickle=False) if name.endswith(".npy") else decode_tiff(raw)
                 img = np.nan_to_num(img.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0)
-                if img.ndim > 2:
-                    img = img.mean(axis=2)
+                if img.ndim > 2:  # channels of an array, or pages of a file
+                    img = img.mean(axis=2 if name.endswith(".npy") else 0)
                 yield pd.DataFrame({"path": [name], "height": [img.shape[0]], "width": [img.shape[1]], "pixels": [img.ravel().tolist()]})
 
     return files.select("path", "content").mapInPandas(decode, IMAGE)
