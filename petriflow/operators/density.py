@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from petriflow.operators.graph import components
+from petriflow.operators.graph import checkpoint_dir, components
 from petriflow.operators.spatial import eps_neighbours
 
 
@@ -152,12 +152,13 @@ def dbscan(points: DataFrame, eps: float, min_points: int, *key: str) -> DataFra
     """(key, id, core, cluster): core points within eps are one cluster (named by its smallest id), others join their nearest core point's.
 
     Core points of one square of side eps / sqrt(2) are one cluster anyway, so components are found among squares."""
-    near = eps_neighbours(points, eps, *key).persist()
+    checkpoint_dir(points.sparkSession)
+    near = eps_neighbours(points, eps, *key).checkpoint()
     counts = near.groupBy(*key, F.col("i").alias("id")).agg(F.count("*").alias("n"))
     side = eps / math.sqrt(2) * (1 - 1e-12)
     square = F.struct(*key, F.floor(F.col("x") / side).alias("sx"), F.floor(F.col("y") / side).alias("sy"))
     flags = points.select(*key, "id", square.alias("square")).join(counts, [*key, "id"], "left")
-    flags = flags.select(*key, "id", "square", (F.coalesce("n", F.lit(0)) + 1 >= min_points).alias("core")).persist()
+    flags = flags.select(*key, "id", "square", (F.coalesce("n", F.lit(0)) + 1 >= min_points).alias("core")).checkpoint()
     cores = flags.where("core").select(*key, "id", "square")
     a, b = (cores.select(*key, F.col("id").alias(x), F.col("square").alias(y)) for x, y in (("i", "a"), ("j", "b")))
     edges = near.where("i < j").join(a, [*key, "i"]).join(b, [*key, "j"]).where("a <> b").select("a", "b").distinct()
