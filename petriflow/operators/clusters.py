@@ -15,11 +15,13 @@ def with_groups(df: DataFrame, groups: DataFrame, *key: str) -> DataFrame:
     return df.join(own, same).drop(*[f"_{k}" for k in key])
 
 
-def enrich(cells: DataFrame, *key: str) -> DataFrame:
-    """With centroid (cx, cy), distance to it, and distance over the largest in the cluster."""
+def enrich(cells: DataFrame, *key: str, norm: bool = False) -> DataFrame:
+    """With centroid (cx, cy) and distance to it; norm: and norm_dist, the distance over the largest in the cluster."""
     key = key or KEY
     out = with_groups(cells, cells.groupBy(*key).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy")), *key)
     out = out.withColumn("dist", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
+    if not norm:
+        return out
     out = with_groups(out, out.groupBy(*key).agg(F.max("dist").alias("_far")), *key)
     return out.withColumn("norm_dist", F.when(F.col("_far") > 0, F.col("dist") / F.col("_far")).otherwise(0.0)).drop("_far")
 
@@ -41,7 +43,7 @@ def intensity(cells: DataFrame, min_cells: int = 2) -> DataFrame:
 
 def radial_profile(cells: DataFrame, n_bins: int = 20) -> DataFrame:
     """Mean intensity in n_bins - 1 half-open rings of normalised distance; empty rings are 0, the farthest cell is in none."""
-    rings = enrich(cells).where("norm_dist < 1").withColumn("ring", F.floor(F.col("norm_dist") * (n_bins - 1)).cast("int"))
+    rings = enrich(cells, norm=True).where("norm_dist < 1").withColumn("ring", F.floor(F.col("norm_dist") * (n_bins - 1)).cast("int"))
     means = rings.groupBy(*KEY, "ring").agg(F.avg("intden").alias("mean_intensity"))
     every = cells.select(*KEY).distinct().withColumn("ring", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 2))))
     return every.join(means, [*KEY, "ring"], "left").withColumn("mean_intensity", F.coalesce("mean_intensity", F.lit(0.0)))
