@@ -139,9 +139,11 @@ def powers(mult: int, n: int) -> _Powers:
 MULTIPLIERS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool, second: bool = False) -> tuple[np.ndarray, ...]:
+def words(data: np.ndarray, off: np.ndarray, lower: bool, second: bool = False, between: np.ndarray = _WS) -> tuple[np.ndarray, ...]:
     """Row, start, end and 64-bit hash of each word `[^\\x20\\x09-\\x0D]+` (second: one more, independent hash).
 
+    between: flags of the bytes between words, if others than these.
+
     Works in steps of about CHUNK_BYTES that end between words, so that long texts need no more memory than short ones.
     """
     n, parts, at = len(data), [], 0
@@ -150,14 +152,14 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool, second: bool = False)
         cut[off] = True
     while at < n:
         end = min(n, at + CHUNK_BYTES)
-        while end < n and not (cut[end] or _WS[data[end]]):
+        while end < n and not (cut[end] or between[data[end]]):
             end = min(n, end + 1)
         x = data[at:end]
         if lower:
             x = _LOWER[x]
         edge = cut[at : end + 1].copy()
         edge[0] = True
-        space = _WS[x]
+        space = between[x]
         first = ~space
         first[1:] &= space[:-1] | edge[1:-1]
         last = ~space

@@ -5,12 +5,15 @@ from __future__ import annotations
 from petriflow.llm.ann import op7_nearest_neighbours
 from petriflow.llm.decontaminate import op5_decontamination
 from petriflow.llm.html_extract import op3_html_extraction
+from petriflow.llm.license_scan import op13_license_scan
 from petriflow.llm.line_dedup import op1_line_dedup
 from petriflow.llm.lm_scoring import op2_lm_scoring
 from petriflow.llm.mixing import op10_mixing
+from petriflow.llm.periodic_runs import op11_periodic_runs
 from petriflow.llm.quality import op4_quality_classifier
 from petriflow.llm.sharding import op8_sharding
 from petriflow.llm.simhash import op9_simhash_near_dedup
+from petriflow.llm.spelling import op12_spelling_variants
 from petriflow.llm.substring_dedup import op6_substring_dedup
 
 
@@ -26,6 +29,9 @@ def queries() -> dict:
         "op8_sharding": op8_sharding,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_mixing": op10_mixing,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_license_scan": op13_license_scan,
     }
 
 
