@@ -14,6 +14,7 @@ from petriflow.llm.quality import op4_quality_classifier
 from petriflow.llm.sharding import op8_sharding
 from petriflow.llm.simhash import op9_simhash_near_dedup
 from petriflow.llm.spelling import op12_spelling_variants
+from petriflow.llm.sql import OP11_SQL, OP12_SQL
 from petriflow.llm.substring_dedup import op6_substring_dedup
 
 
@@ -66,4 +67,4 @@ OP6_SQL = r"""WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coa
 def oracle_sql() -> dict[str, str]:
     """The other queries fit models, draw at random, hash by functions that DuckDB lacks, or add up doubles in an order of their own; they are
     tested against brute force."""
-    return {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op6_substring_dedup": OP6_SQL, "op11_periodic_runs": OP11_SQL, "op12_spelling_variants": OP12_SQL}
