@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,10 +35,61 @@ def core_distance(points: DataFrame, eps: float, min_points: int, *key: str) ->
     return points.select(*key, "id").join(core, [*key, "id"], "left")
 
 
+#: Finest grid of the searches: 2 ** MAX_LEVEL cells a side.
+MAX_LEVEL = 20
+
+
+def frames(points: DataFrame, *key: str) -> DataFrame:
+    """(key, x0, y0, span, levels): the square around each key's points, and the finest useful level of its halving."""
+    g = points.groupBy(*key).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")).alias("span"), F.count("*").alias("n"))
+    span = F.when(F.col("span") > 0, F.col("span") * (1 + 1e-9)).otherwise(1.0)
+    return g.select(*key, "x0", "y0", span.alias("span"), F.least(F.lit(MAX_LEVEL), F.ceil(F.log2("n") / 2).cast("int") + 2).alias("levels"))
+
+
+def at_level(level: Column) -> tuple[Column, Column]:
+    """The cell of a point (x, y) of a frame at a level; cells are nested, as scaling by two is exact."""
+    return tuple(F.floor((F.col(c) - F.col(f"{c}0")) / F.col("span") * F.pow(F.lit(2.0), level)).alias(f"c{c}") for c in ("x", "y"))
+
+
+def nearest_to(queries: DataFrame, points: DataFrame, k: int, *key: str, itself: bool = False) -> DataFrame:
+    """The k nearest points (j, xj, yj, vj, d, k) of each query (i, xi, yi, vi) of a key, ties to the smaller id; itself: whether equal ids pair.
+
+    A query's level is the finest whose 3 x 3 cells around it hold k + 1 points; the k nearest then lie within sqrt(8) sides, so the 7 x 7
+    cells around it are searched and no others. Of coincident points only the k + 1 smallest ids can be among the nearest of any query, so
+    crowds of them are cut to these first. Points without coordinates take no part."""
+    queries, points = (p.where("x is not null and y is not null") for p in (queries, points))
+    frame = frames(queries.select(*key, "x", "y").union(points.select(*key, "x", "y")), *key)
+
+    def placed(p: DataFrame) -> DataFrame:
+        return p.join(frame, [*key]) if key else p.crossJoin(F.broadcast(frame))  # one row
+
+    rank = F.row_number().over(Window.partitionBy(*key, "x", "y").orderBy("id"))
+    spots = placed(points.withColumn("rank", rank).where(F.col("rank") <= k + 1).drop("rank"))
+    every = spots.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels")))).select(*key, "level", *at_level(F.col("level")), "id", "x", "y", "v")
+    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+    blocks = every.groupBy(*key, "level", "cx", "cy").agg(F.count("*").alias("n")).withColumn("step", around)
+    blocks = blocks.groupBy(*key, "level", (F.col("cx") + F.col("step.a")).alias("cx"), (F.col("cy") + F.col("step.b")).alias("cy")).agg(F.sum("n").alias("n")).where(F.col("n") > k)
+    finest = placed(queries).select(*key, "id", "x", "y", "v", "x0", "y0", "span", "levels", *(c.alias(n) for c, n in zip(at_level(F.col("levels")), ("fx", "fy"), strict=True)))
+    cells = finest.select(*key, "levels", "fx", "fy").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels"))))
+    up = F.pow(F.lit(2.0), F.col("levels") - F.col("level"))
+    cells = cells.select(*key, "fx", "fy", "level", F.floor(F.col("fx") / up).alias("cx"), F.floor(F.col("fy") / up).alias("cy"))
+    level = cells.join(blocks, [*key, "level", "cx", "cy"]).groupBy(*key, "fx", "fy").agg(F.max("level").alias("level"))
+    q = finest.join(level, [*key, "fx", "fy"], "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    cx, cy = at_level(F.col("level"))
+    reach = F.when(F.col("level") > 0, 3).otherwise(0)
+    q = q.select(*key, F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("v").alias("vi"), "level", cx, cy, reach.alias("reach"))
+    q = q.withColumn("cx", F.explode(F.sequence(F.col("cx") - F.col("reach"), F.col("cx") + F.col("reach")))).withColumn("cy", F.explode(F.sequence(F.col("cy") - F.col("reach"), F.col("cy") + F.col("reach"))))
+    found = q.join(every.select(*key, "level", "cx", "cy", F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), F.col("v").alias("vj")), [*key, "level", "cx", "cy"])
+    if not itself:
+        found = found.where("i <> j")
+    d = F.sqrt((F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2)
+    found = found.select(*key, "i", "xi", "yi", "vi", "j", "xj", "yj", "vj", d.alias("d"))
+    return found.withColumn("k", F.row_number().over(Window.partitionBy(*key, "i").orderBy("d", "j"))).where(F.col("k") <= k)
+
+
 def nearest(points: DataFrame, k: int, *key: str) -> DataFrame:
     """The k nearest others of each point of a key, ties to the smaller id."""
-    p = pair_distances(points, *key)
-    return p.withColumn("k", F.row_number().over(Window.partitionBy(*key, "i").orderBy("d", "j"))).where(F.col("k") <= k)
+    return nearest_to(points, points, k, *key)
 
 
 def moran_local(points: DataFrame, *key: str) -> DataFrame:
