@@ -2,12 +2,13 @@
 
 Documents become sequences of the benchmark's terms. Overlapping passages get TF-IDF vectors over the terms of a block of items; a
 distributed randomised SVD (subspace iteration: each task adds up its part of A'(A Q)) finds the RANK leading directions of the corpus'
-passages; items take no part in it. Items are cut into parts no longer than half a passage. A passage that holds LOOSE_LCS or more of a
-part's words is a candidate; so is one that holds but LEAST_LCS of them, the item's answer (see below), and whose image in the subspace
-has a cosine of COSINE or more with the part's: there words that keep the same company are near each other, so a reworded passage is near its source. A candidate
-counts if the longest common subsequence with the whole item has LCS of its words, or LOOSE_LCS of them and ANSWER of its closing part,
-its answer; or, if the cosine is reached, LEAST_LCS of them and ANSWER of a closing part that has TELLING words which are in RARE of all
-passages at most (answers of common words alone prove nothing).
+passages; items take no part in it. Items are cut into parts no longer than half a passage. Candidates are, of all passages, those whose image in the
+subspace has a cosine of COSINE or more with a part's (there words that keep the same company are near each other, so a reworded passage is near
+its source, whichever words it keeps), and those that hold LOOSE_LCS or more of a part's words (a short item in other text turns away from its source). A
+candidate counts if the longest common subsequence with the whole item has LCS of its words, or LOOSE_LCS of them and ANSWER of its closing
+part, its answer; or, if the cosine is reached, fewer of them and ANSWER of a closing part that has TELLING words which are rare: WORDED holds the
+shares of the item's words and the share of all passages that a rare word is in at most (answers of common words alone prove nothing, and the
+fewer of the other words are kept, the less common they may be).
 
 The benchmark is a stated query set. Texts are read once for SPAN items, and become sequences of their terms; those are looked at for
 blocks of ITEMS items, each with its own terms and subspace, so what a task holds is bounded by the block and not by the corpus.
@@ -34,8 +35,9 @@ from petriflow.llm.ngrams import pieces
 SPAN, ITEMS = 64 * 224, 224
 #: Directions of the subspace, more that the range finder carries, and passes of subspace iteration.
 RANK, MORE, PASSES = 96, 16, 2
-COSINE, LCS, LOOSE_LCS, LEAST_LCS, ANSWER = 0.6, 0.8, 0.6, 0.4, 0.8
-TELLING, RARE = 3, 0.05
+COSINE, LCS, LOOSE_LCS, ANSWER, TELLING = 0.6, 0.8, 0.6, 0.8, 3
+#: Least share of the item's words, and of all passages at most: words of a telling answer of a reworded item.
+WORDED = ((0.4, 0.05), (0.25, 0.01))
 _CHUNK, _NNZ = 256, 16384
 #: Passages multiplied at a time, and the most frequent terms that are multiplied as columns of a dense matrix.
 _ROWS, DENSE = 2048, 1024
@@ -135,6 +137,11 @@ class Passages:
         y[self.row[begin]] += _sums(begin, None if held else self.val, self.term, q)
         return y
 
+    def images(self, q: np.ndarray) -> np.ndarray:
+        """Images of norm 1 of the rows in the subspace q."""
+        y = self.times(q)
+        return y / np.maximum(np.sqrt((y**2).sum(axis=1, keepdims=True)), 1e-12)
+
     def add_back(self, y: np.ndarray, out: np.ndarray) -> None:
         """out += A' y."""
         out[self.dense] += self.matrix.T @ y
@@ -231,8 +238,12 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     dense = np.argsort(-df[:-1], kind="stable")[:DENSE]
     idf = np.log((passages + len(b.parts)) / (df[:-1] + 1)).clip(1e-6)
 
-    rare = df[:-1] <= RARE * passages
-    closing = [max(0, int(min(len(x) - max(3, len(x) // 4), [0, *np.flatnonzero(rare[x]).tolist()][-TELLING if rare[x].sum() >= TELLING else 0]))) for x in b.items]
+    def closing(x: np.ndarray, most: float) -> np.ndarray:
+        """The item's last quarter, and before it as much as makes TELLING words that are in `most` of all passages at most, if there are."""
+        rare = np.flatnonzero(df[x] <= most * passages)
+        return x[min(max(len(x) - max(3, len(x) // 4), 0), int(rare[-TELLING]) if len(rare) >= TELLING else 0) :]
+
+    answers = [[(least, closing(x, most)) for least, most in WORDED] for x in b.items]
 
     def rows_of(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         row, term, tf, firsts = b.counts(seqs)
@@ -246,10 +257,6 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     held = np.zeros((len(b.terms), len(b.parts)), np.float32)  # the share of a part's words that a term is
     held[item_term, item_row] = tf / np.bincount(item_row, tf, len(b.parts))[item_row]
 
-    told = np.zeros_like(held)  # the share of an item's closing part that a term is, beside the item's last part
-    for k, x in enumerate(b.items):
-        np.add.at(told, (x[closing[k] :], int(np.searchsorted(b.owner, k, side="right")) - 1), 1 / max(len(x) - closing[k], 1))
-
     def grams(q: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(q.shape, np.float32)
@@ -279,52 +286,36 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     image /= np.maximum(np.sqrt((image**2).sum(axis=1, keepdims=True)), 1e-12)
     image = image.astype(np.float32).T
 
-    both = np.hstack([held, told])
-
-    def cosines(rows: np.ndarray, term: np.ndarray, val: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Of the images of some passages with those of the parts."""
-        edges = np.append(begin, len(term))
-        size = edges[rows + 1] - edges[rows]
-        first = np.cumsum(size) - size
-        at = np.arange(int(size.sum())) + np.repeat(edges[rows] - first, size)
-        low = _sums(first, val[at].astype(np.float32), term[at], q)
-        return (low / np.maximum(np.sqrt((low**2).sum(axis=1, keepdims=True)), 1e-12)) @ image
-
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, packed in _sequences(batches):
             seqs = [sequence(s) for s in packed]
             row, term, val, begin, firsts = rows_of(seqs)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, some in passages_of(term, val, begin, dense, len(b.terms)):
-                share, tells = np.hsplit(some.times(both, held=True), 2)
-                near = (share >= LEAST_LCS - 1e-4) & (tells >= ANSWER - 1e-4)
-                cos, open_ = np.zeros_like(share), np.flatnonzero((near | (share >= LOOSE_LCS - 1e-4)).any(axis=1))
-                cos[open_] = cosines(open_ + lo, term, val, begin)
-                near &= cos >= COSINE
-                for i, part_no in np.argwhere(near | (share >= LOOSE_LCS - 1e-4)).tolist():
-                    least = LEAST_LCS if near[i, part_no] else LOOSE_LCS
+                near, share = some.images(q) @ image >= COSINE, some.times(held, held=True) >= LOOSE_LCS - 1e-4
+                for i, part_no in np.argwhere(near | share).tolist():
                     k = int(b.owner[part_no])
                     passage = int(row[begin[lo + i]])
                     doc = int(np.searchsorted(firsts, passage, side="right")) - 1
-                    known_so_far = best.get((doc, k))
-                    if known_so_far and known_so_far[0] == 1:
-                        best[doc, k] = max(known_so_far, (1.0, float(cos[i, part_no]), known_so_far[2]))
+                    if best.get((doc, k), (0.0,))[0] == 1:
                         continue
                     item, start = b.items[k], (passage - int(firsts[doc])) * b.stride
                     text = seqs[doc][max(0, start - len(item)) : start + 2 * b.stride + len(item)]
                     text = text[np.isin(text, item)]
-                    if len(text) < least * len(item):
+                    if len(text) < (LOOSE_LCS if not near[i, part_no] else WORDED[-1][0]) * len(item):
                         continue
-                    whole = lcs(item, text) / len(item)
-                    if whole < least:
+                    # an answer can't be there if its words aren't
+                    if not share[i, part_no] and all(np.isin(end, text).mean() < ANSWER for _, end in answers[k]):
                         continue
-                    close = item[-max(3, len(item) // 4) :]
+                    whole, close = lcs(item, text) / len(item), item[-max(3, len(item) // 4) :]
                     answer = lcs(close, text) / len(close)
-                    if whole < LOOSE_LCS or near[i, part_no] and answer < ANSWER:
-                        end = item[closing[k] :]
-                        answer = lcs(end, text) / len(end)
-                    if whole >= LCS or answer >= ANSWER:
-                        found = (whole, float(cos[i, part_no]), answer)
+                    if near[i, part_no] and (whole < LOOSE_LCS or answer < ANSWER):
+                        answer = max((lcs(end, text) / len(end) for least, end in answers[k] if whole >= least), default=0.0)
+                    if whole >= LCS or answer >= ANSWER and (whole >= LOOSE_LCS or near[i, part_no]):
+                        at = int(begin[lo + i]), int(begin[lo + i + 1]) if lo + i + 1 < len(begin) else len(term)
+                        low = val[at[0] : at[1]] @ q[term[at[0] : at[1]]]
+                        cosine = float(low @ image[:, part_no] / max(float(np.sqrt(low @ low)), 1e-12))
+                        found = (whole, cosine, answer)
                         best[doc, k] = max(best.get((doc, k), found), found)
             if best:
                 at = sorted(best)
