@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks classified by a decision tree.
 
 A page is cut at block-level tags into flat blocks of text. Each block is described by its word count and link density,
-those of the blocks before and after it, and where it stands; a small decision tree, grown here from a labelled table of
-blocks, keeps or drops it. A container is hinted at as boilerplate by a class, id or role all of whose words name such or are of layout
+those of the blocks before and after it, and where it stands: the share of the page's running words that its own article or main part
+holds, or how much of them articles beside it hold, so that neither a teaser in an article of its own nor a page without articles decides
+for the rest; headers inside an article are told from those of the page, and a page's title from other headings. A small decision tree, grown
+here from a labelled table of blocks, keeps or drops it. A container is hinted at as boilerplate by a class, id or role all of whose words name such or are of layout
 ("share-buttons", not "share-story"); articles, main parts and whole pages never are.
 
 Defined results: null and empty pages have the text "" and n_chars 0; broken markup never fails: an unclosed comment, script or style
@@ -35,7 +37,8 @@ CONTAINERS = BOILER_TAGS | frozenset("article blockquote body details div dl fig
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HINTS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs byline comment commentlist comments consent cookie cookies copyright "
-    "disclaimer discussion disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination "
+    "disclaimer discussion disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination reaction "
+    "reactions response responses "
     "popup promo promoted promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe "
     "tags toolbar widget widgets".split()
 )
@@ -52,14 +55,18 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*)[^<>]*>?")
 _RAW_END = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW_TAGS}
 _HIDE = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
-FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "in_article", "in_boiler", "hinted", "heading")
+#: Words of a block of running text, and factors of the lengths of such blocks in the labelled pages.
+RUNNING, STRETCH = 9, (0.5, 2, 3, 5, 8)
+#: Articles inside articles count up to this depth; deeper ones belong to the last that counts.
+NESTED = 8
+FEATURES = ("words", "link_density", "words_before", "density_before", "words_after", "density_after", "article_share", "in_boiler", "hinted", "heading", "title")
 
 
 class Block:
-    __slots__ = ("article", "at", "boiler", "heading", "hinted", "link_words", "parts", "text", "words")
+    __slots__ = ("at", "boiler", "heading", "hinted", "link_words", "parts", "region", "text", "words")
 
-    def __init__(self, at: int, article: bool, boiler: bool, hinted: bool, heading: int) -> None:
-        self.at, self.article, self.boiler, self.hinted, self.heading = at, article, boiler, hinted, heading
+    def __init__(self, at: int, region: tuple[int, ...], boiler: float, hinted: bool, heading: int) -> None:
+        self.at, self.region, self.boiler, self.hinted, self.heading = at, region, boiler, hinted, heading
         self.parts, self.link_words, self.words, self.text = [], 0, 0, ""
 
 
@@ -105,9 +112,11 @@ class _Hidden:
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, article, boiler, hinted: each with what encloses it
+    # name, numbers of the articles and main parts, boiler (half: only a header of an article), hinted: each with what encloses it
+    stack: list[tuple[str, tuple[int, ...], float, bool]] = []
     opened = dict.fromkeys(CONTAINERS, 0)
-    article = boiler = hinted = False
+    region: tuple[int, ...] = ()
+    regions, boiler, hinted = 0, 0.0, False
     heading, hides = "", _Hidden(page)
     link = told = False  # in a link; told: it has had text of its own
     inside = 0  # blocks opened in the link
@@ -127,7 +136,7 @@ def blocks(page: str) -> list[Block]:
             if now is None:
                 if piece.isspace():
                     continue
-                now = Block(begun, article, boiler, hinted, 7 - int(heading[1]) if heading else 0)
+                now = Block(begun, region, boiler, hinted, 7 - int(heading[1]) if heading else 0)
                 out.append(now)
             now.parts.append(piece)
             if link:
@@ -165,13 +174,18 @@ def blocks(page: str) -> list[Block]:
             if not closing:
                 if not piece.endswith("/>"):
                     own = name not in ("body", "article", "main") and _hinted(piece)
-                    stack.append((name, article or name in ("article", "main"), boiler or name in BOILER_TAGS, hinted or own))
+                    inner = region
+                    if name in ("article", "main") and len(region) < NESTED:
+                        regions += 1
+                        inner = (*region, regions)
+                    plate = 0.0 if name not in BOILER_TAGS else 0.5 if name == "header" and region else 1.0
+                    stack.append((name, inner, max(boiler, plate), hinted or own))
                     opened[name] += 1
             elif opened[name]:
                 while (top := stack.pop()[0]) != name:
                     opened[top] -= 1
                 opened[name] -= 1
-            _, article, boiler, hinted = stack[-1] if stack else ("", False, False, False)
+            _, region, boiler, hinted = stack[-1] if stack else ("", (), 0.0, False)
     kept = []
     for b in out:
         parts = html.unescape("".join(b.parts)).split()
@@ -183,12 +197,25 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row of FEATURES for each block (heading: 6 for h1 to 1 for h6, else 0; in_article: 1, or -1 if others of the page are, else 0); a missing
-    neighbour counts as one of 0 words and density 0."""
-    beside = -1 if any(b.article for b in found) else 0
+    """A row of FEATURES for each block; a missing neighbour counts as one of 0 words and density 0.
+
+    article_share: of the words outside links, menus and the like, the share that the block's innermost article or main part holds; outside
+    of these, less the share that they hold together. heading: 6 for h1 to 1 for h6, else 0. title: the first h1, of an article if one has any."""
     w = np.array([0, *(b.words for b in found), 0], np.float64)
     d = np.array([0, *(b.link_words / b.words for b in found), 0], np.float64)
-    place = np.array([[b.article or beside, b.boiler, b.hinted, b.heading] for b in found], np.float64).reshape(-1, 4)
+    held: dict[int, int] = {}
+    total = inside = 0
+    for b in found:
+        if b.boiler < 1 and not b.hinted:
+            free = b.words - b.link_words
+            total += free
+            inside += free if b.region else 0
+            for r in b.region:
+                held[r] = held.get(r, 0) + free
+    tops = [b for b in found if b.heading == 6 and b.boiler < 1 and not b.hinted]
+    title = next((b for b in tops if b.region), tops[0] if tops else None)
+    share = [held.get(b.region[-1], 0) / max(total, 1) if b.region else -inside / max(total, 1) for b in found]
+    place = np.array([[x, b.boiler, b.hinted, b.heading, b is title] for b, x in zip(found, share, strict=True)], np.float64).reshape(-1, 5)
     return np.column_stack([w[1:-1], d[1:-1], w[:-2], d[:-2], w[2:], d[2:], place])
 
 
@@ -217,6 +244,15 @@ LABELLED = (
     ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (1, "<h1>Bread</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (0, f"<div>{_LINKS}</div>")),
     ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (0, "<div>Log in</div>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_LONG}</p>"), (0, "<div>Terms of use</div>"), (0, f"<div>{_LINKS}</div>")),
     ((None, "<body>"), (0, "<a href='/p'><div>A new way to see the river, now for half its price and with free tickets for all who come early</div></a>"), (1, "<h1>Rain</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (0, f"<a href='/p'><div>{_LONG}</div></a>"), (1, f"<p>{_LONG}</p>"), (0, f"<div>{_LINKS}</div>")),
+    ((None, "<body><nav>"), (0, f"<div>{_LINKS}</div>"), (None, '</nav><div id="content">'), (1, "<h1>The lights of the village</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID} {_LONG}</p>"), (None, "</div><div><article>"), (0, f"<p>{_MID}</p>"), (None, "</article></div>"), (0, f"<footer>{_MID}</footer>")),
+    ((None, "<body>"), (1, "<h1>Rain in the hills</h1>"), (None, "<article>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (1, f"<p>{_LONG} {_LONG}</p>"), (None, "</article><article>"), (0, "<h3>A bridge is closed</h3>"), (0, f"<p>{_SHORT}</p>"), (None, "</article>"), (0, f"<footer>{_SHORT}</footer>")),
+    ((None, "<body><header>"), (0, "<h1>The Daily Page</h1>"), (None, "</header><main><article><header>"), (1, "<h1>Bread from the old mill</h1>"), (0, f"<p>{_SHORT}</p>"), (None, "</header>"), (1, f"<p>{_LONG}</p>"), (1, f"<h2>{_SHORT}</h2>"), (1, f"<p>{_MID}</p>"), (None, "</article><article>"), (0, f"<p>{_SHORT}</p>"), (None, "</article></main>"), (0, f"<footer>{_MID}</footer>")),
+    ((None, "<body><nav>"), (0, f"<div>{_LINKS}</div>"), (None, "</nav>"), (1, "<h1>Stop</h1>"), (None, "<article>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (None, "</article>"), (0, "<div>Back to the top</div>")),
+    ((None, "<body>"), (1, "<h1>Late rain</h1>"), (None, "<article>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_SHORT}</p>"), (None, "</article>"), (0, "<div>Terms</div>"), (0, f"<footer>{_MID}</footer>")),
+    ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (1, f"<h1>{_MID}</h1>"), (None, "<article>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_LONG} {_MID}</p>"), (None, "</article>"), (0, f"<div>{_MID}</div>")),
+    ((None, "<body><div>"), (0, "<h1>The Daily Page</h1>"), (None, "</div><article>"), (1, "<h1>Late rain in the hills</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_MID}</p>"), (None, "</article>"), (0, "<h3>Latest</h3>"), (0, f"<footer>{_MID}</footer>")),
+    ((None, "<body>"), (0, f"<div>{_LINKS}</div>"), (1, "<h1>The old mill</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_SHORT}</p>"), (1, "<ul><li>two loaves</li>"), (1, "<li>fine salt</li></ul>"), (1, f"<p>{_LONG}</p>"), (1, "<ul><li>one bridge</li>"), (1, "<li>three lights</li></ul>"), (1, f"<p>{_MID}</p>"), (0, f"<div>{_LINKS}</div>"), (0, "<div>Log in</div>")),
+    ((None, "<body><div>"), (1, "<h1>A river and its town</h1>"), (1, f"<p>{_SHORT}</p>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_LONG} {_MID}</p>"), (None, "</div><section><article>"), (0, "<h3>Most read</h3>"), (0, f"<p>{_MID}</p>"), (None, "</article><article>"), (0, "<h3>Floods</h3>"), (0, f"<p>{_SHORT}</p>"), (None, "</article></section>"), (0, f"<div>{_LINKS}</div>")),
     ((None, "<body><header>"), (0, "<h1>The Daily Page</h1>"), (0, f"<p>{_SHORT}</p>"), (None, "</header><article>"), (0, f"<header><p>{_MID}</p></header>"), (1, f"<p>{_SHORT}</p>"), (0, f'<div class="share">{_SHORT}</div>'), (1, f"<p>{_LONG}</p>"), (0, f'<section id="comments"><p>{_MID}</p></section>'), (None, "</article>"), (0, f"<div>{_SHORT}</div>"), (0, f"<footer><p>{_LONG}</p></footer>")),
 )
 
@@ -232,6 +268,17 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(x), np.array(y, np.int64)
 
 
+def stretched(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table, and its rows as of pages whose running text of RUNNING words or more is longer or shorter by STRETCH: lengths of text are no labels."""
+    counts = [FEATURES.index(f) for f in ("words", "words_before", "words_after")]
+    out = [x]
+    for f in STRETCH:
+        other = x.copy()
+        other[:, counts] = np.where(other[:, counts] >= RUNNING, np.maximum(np.round(other[:, counts] * f), RUNNING), other[:, counts])
+        out.append(other)
+    return np.concatenate(out), np.tile(y, len(out))
+
+
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
     """A decision tree by Gini impurity: (feature, threshold, low, high) or (label,)."""
     ones = int(y.sum())
@@ -252,7 +299,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> tuple:
 
 @lru_cache(maxsize=1)
 def trained_tree() -> tuple:
-    return grow(*labelled_table())
+    return grow(*stretched(*labelled_table()))
 
 
 def classify(tree: tuple, x: np.ndarray) -> np.ndarray:
