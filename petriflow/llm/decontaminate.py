@@ -4,11 +4,10 @@ Documents become sequences of the benchmark's terms. Overlapping passages get TF
 distributed randomised SVD (subspace iteration: each task adds up its part of A'(A Q)) finds the RANK leading directions of the corpus'
 passages; items take no part in it. Items are cut into parts no longer than half a passage. Candidates are, of all passages, those whose image in the
 subspace has a cosine of COSINE or more with a part's (there words that keep the same company are near each other, so a reworded passage is near
-its source, whichever words it keeps), and those that hold LOOSE_LCS or more of a part's words (a short item in other text turns away from its source). A
-candidate counts if the longest common subsequence with the whole item has LCS of its words, or LOOSE_LCS of them and ANSWER of its closing
-part, its answer; or, if the cosine is reached, fewer of them and ANSWER of a closing part that has TELLING words which are rare: WORDED holds the
-shares of the item's words and the share of all passages that a rare word is in at most (answers of common words alone prove nothing, and the
-fewer of the other words are kept, the less common they may be).
+its source, whichever words it keeps), and those that hold LOOSE_LCS or more of a part's words (a short item in other text turns away from its source). candidate counts if the longest common subsequence with the whole item has LCS of its words, or LOOSE_LCS of them and ANSWER of its closing
+part, its answer; or, if the cosine is reached, LEAST_LCS of them and ANSWER of a closing part that has TELLING words which are in RARE of all
+passages at most (answers of common words alone prove nothing). The last rule is asked of an item's last part, and only of passages that hold
+enough words of the answer for it to be met.
 
 The benchmark is a stated query set. Texts are read once for SPAN items, and become sequences of their terms; those are looked at for
 blocks of ITEMS items, each with its own terms and subspace, so what a task holds is bounded by the block and not by the corpus.
@@ -34,10 +33,9 @@ from petriflow.llm.ngrams import pieces
 
 SPAN, ITEMS = 64 * 224, 224
 #: Directions of the subspace, more that the range finder carries, and passes of subspace iteration.
-RANK, MORE, PASSES = 96, 16, 2
-COSINE, LCS, LOOSE_LCS, ANSWER, TELLING = 0.6, 0.8, 0.6, 0.8, 3
-#: Least share of the item's words, and of all passages at most: words of a telling answer of a reworded item.
-WORDED = ((0.4, 0.05), (0.25, 0.01))
+RANK, MORE, PASSES = 64, 8, 2
+COSINE, LCS, LOOSE_LCS, LEAST_LCS, ANSWER = 0.6, 0.8, 0.6, 0.25, 0.8
+TELLING, RARE = 3, 0.01
 _CHUNK, _NNZ = 256, 16384
 #: Passages multiplied at a time, and the most frequent terms that are multiplied as columns of a dense matrix.
 _ROWS, DENSE = 2048, 1024
@@ -238,12 +236,12 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     dense = np.argsort(-df[:-1], kind="stable")[:DENSE]
     idf = np.log((passages + len(b.parts)) / (df[:-1] + 1)).clip(1e-6)
 
-    def closing(x: np.ndarray, most: float) -> np.ndarray:
-        """The item's last quarter, and before it as much as makes TELLING words that are in `most` of all passages at most, if there are."""
-        rare = np.flatnonzero(df[x] <= most * passages)
+    def closing(x: np.ndarray) -> np.ndarray:
+        """The item's last quarter, and before it as much as makes TELLING rare words, or all."""
+        rare = np.flatnonzero(df[x] <= RARE * passages)
         return x[min(max(len(x) - max(3, len(x) // 4), 0), int(rare[-TELLING]) if len(rare) >= TELLING else 0) :]
 
-    answers = [[(least, closing(x, most)) for least, most in WORDED] for x in b.items]
+    answers = [closing(x) for x in b.items]
 
     def rows_of(seqs: list[np.ndarray]) -> tuple[np.ndarray, ...]:
         row, term, tf, firsts = b.counts(seqs)
@@ -257,6 +255,12 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
     held = np.zeros((len(b.terms), len(b.parts)), np.float32)  # the share of a part's words that a term is
     held[item_term, item_row] = tf / np.bincount(item_row, tf, len(b.parts))[item_row]
 
+    told = np.zeros_like(held)  # the share of an item's answer that a term is, beside the item's last part
+    for k, x in enumerate(answers):
+        np.add.at(told, (x, int(np.searchsorted(b.owner, k, side="right")) - 1), 1 / max(len(x), 1))
+    last = np.diff(b.owner, append=-1) != 0
+    both = np.hstack([held, told[:, last]])
+
     def grams(q: np.ndarray) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out = np.zeros(q.shape, np.float32)
@@ -292,8 +296,12 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
             row, term, val, begin, firsts = rows_of(seqs)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, some in passages_of(term, val, begin, dense, len(b.terms)):
-                near, share = some.images(q) @ image >= COSINE, some.times(held, held=True) >= LOOSE_LCS - 1e-4
+                near, shares = some.images(q) @ image >= COSINE, some.times(both, held=True) >= np.where(np.arange(both.shape[1]) < len(last), LOOSE_LCS, ANSWER) - 1e-4
+                share = shares[:, : len(last)]
+                near[:, ~last] = False
+                near[:, last] &= shares[:, len(last) :]
                 for i, part_no in np.argwhere(near | share).tolist():
+                    least = LEAST_LCS if near[i, part_no] else LOOSE_LCS
                     k = int(b.owner[part_no])
                     passage = int(row[begin[lo + i]])
                     doc = int(np.searchsorted(firsts, passage, side="right")) - 1
@@ -302,16 +310,15 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
                     item, start = b.items[k], (passage - int(firsts[doc])) * b.stride
                     text = seqs[doc][max(0, start - len(item)) : start + 2 * b.stride + len(item)]
                     text = text[np.isin(text, item)]
-                    if len(text) < (LOOSE_LCS if not near[i, part_no] else WORDED[-1][0]) * len(item):
-                        continue
-                    # an answer can't be there if its words aren't
-                    if not share[i, part_no] and all(np.isin(end, text).mean() < ANSWER for _, end in answers[k]):
+                    if len(text) < least * len(item):
                         continue
                     whole, close = lcs(item, text) / len(item), item[-max(3, len(item) // 4) :]
+                    if whole < least:
+                        continue
                     answer = lcs(close, text) / len(close)
                     if near[i, part_no] and (whole < LOOSE_LCS or answer < ANSWER):
-                        answer = max((lcs(end, text) / len(end) for least, end in answers[k] if whole >= least), default=0.0)
-                    if whole >= LCS or answer >= ANSWER and (whole >= LOOSE_LCS or near[i, part_no]):
+                        answer = lcs(answers[k], text) / len(answers[k])
+                    if whole >= LCS or answer >= ANSWER:
                         at = int(begin[lo + i]), int(begin[lo + i + 1]) if lo + i + 1 < len(begin) else len(term)
                         low = val[at[0] : at[1]] @ q[term[at[0] : at[1]]]
                         cosine = float(low @ image[:, part_no] / max(float(np.sqrt(low @ low)), 1e-12))
