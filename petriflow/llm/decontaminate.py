@@ -81,15 +81,16 @@ class Block:
         """Passage (numbered over all sequences), term and count of each entry, and the first passage of each sequence."""
         firsts = np.cumsum([0, *(-(-len(s) // self.stride) for s in seqs)])
         size = len(self.terms)
-        keys = []
+        keys, kind = [], np.int32 if int(firsts[-1] + 1) * (size + 1) < 1 << 31 else np.int64  # narrow keys sort faster
         for s, first in zip(seqs, firsts.tolist(), strict=False):
             at = np.flatnonzero(s != self.none)
-            t = s[at].astype(np.int64)
-            p = at // self.stride
+            t = s[at].astype(kind)
+            p = (at // self.stride).astype(kind)
             keys.append((p + first) * size + t)
             keys.append((p[p > 0] - 1 + first) * size + t[p > 0])
-        keys, tf = np.unique(np.concatenate(keys) if keys else np.zeros(0, np.int64), return_counts=True)
-        return keys // max(size, 1), keys % max(size, 1), tf, firsts
+        keys, tf = np.unique(np.concatenate(keys) if keys else np.zeros(0, kind), return_counts=True)
+        row = keys // kind(max(size, 1))
+        return row.astype(np.int64), (keys - row * kind(max(size, 1))).astype(np.int64), tf, firsts
 
 
 def unit_rows(row: np.ndarray, val: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,6 +180,13 @@ def lcs(item: np.ndarray, text: np.ndarray) -> int:
     return len(item) - v.bit_count()
 
 
+def _placed(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The columns of flags at the places `at` of wider ones."""
+    out = np.zeros((len(flags), len(at)), bool)
+    out[:, at] = flags
+    return out
+
+
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of batches with their packed sequences."""
     for batch in batches:
@@ -296,10 +304,10 @@ def find_block(known: DataFrame, terms: np.ndarray, items: list[tuple[object, st
             row, term, val, begin, firsts = rows_of(seqs)
             best: dict[tuple[int, int], tuple[float, float, float]] = {}
             for lo, some in passages_of(term, val, begin, dense, len(b.terms)):
-                near, shares = some.images(q) @ image >= COSINE, some.times(both, held=True) >= np.where(np.arange(both.shape[1]) < len(last), LOOSE_LCS, ANSWER) - 1e-4
-                share = shares[:, : len(last)]
-                near[:, ~last] = False
-                near[:, last] &= shares[:, len(last) :]
+                near, shares = some.images(q) @ image[:, last] >= COSINE, some.times(both, held=True)
+                share = shares[:, : len(last)] >= LOOSE_LCS - 1e-4
+                near &= shares[:, len(last) :] >= ANSWER - 1e-4
+                near = np.zeros_like(share) if not near.any() else _placed(near, last)
                 for i, part_no in np.argwhere(near | share).tolist():
                     least = LEAST_LCS if near[i, part_no] else LOOSE_LCS
                     k = int(b.owner[part_no])
