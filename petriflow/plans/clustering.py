@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petriflow.operators import hierarchy, spectrum, temporal
+from petriflow.operators import agglomeration, hierarchy, messages, spectrum, temporal
 from petriflow.plans.catalog import C, r, tidy
 from petriflow.plans.registry import register
-from petriflow.plans.views import cells, points
+from petriflow.plans.views import POINTS_SQL, cells, points
 from petriflow.streaming import tracker
 
 MOVED = """mv AS (SELECT a.label, a.time, a.cell_id AS id, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS d FROM cells a JOIN cells b ON a.label = b.label AND a.time = b.time + 1),
@@ -29,6 +29,33 @@ def _(s, d):
     return hierarchy.hdbscan(cell_points(s, d), 5, "time")
 
 
+@register("ward_clusters")
+def _(s, d):
+    return agglomeration.ward_clusters(points(s, d), 7)
+
+
+@register("ward_merges")
+def _(s, d):
+    return tidy(agglomeration.ward_merges(points(s, d), "label"))
+
+
+@register("birch_sums", f"""WITH {POINTS_SQL} SELECT label, count(*) AS n, {r(sx="sum(x)", sy="sum(y)", ss="sum(x*x+y*y)")}, 0::BIGINT AS wide FROM points GROUP BY label""")
+def _(s, d):
+    f = agglomeration.birch_features(points(s, d), 0.5, 50, "label")
+    wide = F.col("ss") / F.col("n") - F.col("x") ** 2 - F.col("y") ** 2 > 0.25 + 1e-9
+    return tidy(f.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "ss")], F.sum(wide.cast("long")).alias("wide")))
+
+
+@register("birch_clusters")
+def _(s, d):
+    return agglomeration.birch_clusters(points(s, d))
+
+
+@register("affinity_propagation")
+def _(s, d):
+    return messages.affinity_clusters(points(s, d), 20)
+
+
 @register("spectral_sparse")
 def _(s, d):
     return spectrum.spectral_clusters(points(s, d), 10, count=6)
