@@ -138,7 +138,8 @@ def op10_mixing(spark, sf_dir: str) -> DataFrame:
 
 def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: toxic tokens go to zero as nearly as the rates can bring them there, the other domains keep theirs; rates are 1 at
-    most, so no document is repeated. Each row is kept with the chance of its rate, by a draw of its own.
+    most, so no document is repeated. Each row is kept with the chance of its rate; the draw hangs on its doc_id and text alone, not on how the
+    table is stored, so rows equal in both stay or go together.
 
     Null and empty texts are rated like any other, by the posterior of a text without n-grams; an empty table stays empty."""
     models = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -146,6 +147,6 @@ def mix_documents(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = fit_rates(rows, factors={"good": 1.0, "poor": 1.0, "toxic": 0.0}, most=1.0)
     drop(rows)
     # texts are not written beside their posteriors, but scored once more with the fitted rates
-    rated = with_posteriors(docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(11)).alias("draw"), "text"), models)
+    rated = with_posteriors(docs.select(F.struct("*").alias("doc"), F.xxhash64("doc_id", "text", F.lit(11)).alias("draw"), "text"), models)
     chance = F.pmod("draw", F.lit(1 << 40)) / (1 << 40)
     return rated.where(F.floor(rate(found.steps, 1.0) + chance) >= 1).select("doc.*")
