@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.operators.clusters import enrich
+from petriflow.operators.scan import BLOCK, in_blocks, placed
 
 
 def outside_boxes(cells: DataFrame, boxes: list[tuple[float, float, float, float]]) -> DataFrame:
@@ -102,23 +103,24 @@ def cut_at_empty_bin(cells: DataFrame, width: float = 7.5, least: float = 100.0,
 
 
 def moving_average(df: DataFrame, col: str, window: int, order: list, *key: str) -> DataFrame:
-    """With `moving`: the mean of the last `window` rows in order, null until there are so many."""
+    """With `moving`: the mean of the last `window` rows in order, null until there are so many. A key's rows are sorted in one task, as suits
+    series of times; scan.moving_average is for orders of cells."""
     w = Window.partitionBy(*key).orderBy(*order).rowsBetween(1 - window, 0)
     return df.withColumn("moving", F.when(F.count(F.lit(1)).over(w) == window, F.avg(col).over(w)))
 
 
-def cumulative_derivative(cells: DataFrame, digits: int | None = None) -> DataFrame:
+def cumulative_derivative(cells: DataFrame, digits: int | None = None, block: int = BLOCK) -> DataFrame:
     """Cells by distance to their label's centroid: cumulative count and its derivative by second-order differences.
 
     Of cells at one distance the last stands for all, so that steps are positive; digits: distances are rounded to so many."""
     e = enrich(cells, "label")
     e = e if digits is None else e.withColumn("dist", F.round("dist", digits))
     e = e.groupBy("label", "dist").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("label").orderBy("dist")
-    e = e.withColumn("cumulative", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    e = in_blocks(placed(e, ["dist"], "label", total="n").withColumnRenamed("running", "cumulative"), 1, 1, block)
+    w = Window.partitionBy("label", "block").orderBy("place")
     a, b = F.col("dist") - F.lag("dist").over(w), F.lead("dist").over(w) - F.col("dist")
     before, after = F.lag("cumulative").over(w), F.lead("cumulative").over(w)
     c = F.col("cumulative")
     inner = (a * a * after + (b * b - a * a) * c - b * b * before) / (a * b * (a + b))
     slope = F.when(a.isNull(), (after - c) / b).when(b.isNull(), (c - before) / a).otherwise(inner)
-    return e.select("label", "dist", "cumulative", slope.alias("derivative"))
+    return e.select("label", "dist", "cumulative", slope.alias("derivative"), "home").where("home").drop("home")

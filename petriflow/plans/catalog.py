@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from petriflow.operators import cleaning, clusters, correlation, density, imaging, imputation, linking, morphology, spatial, synthetic
+from petriflow.operators import cleaning, clusters, correlation, density, imaging, imputation, linking, morphology, scan, spatial, synthetic
 from petriflow.plans.registry import register
 from petriflow.plans.views import CELLS_SQL, PIXELS_SQL, POINTS_SQL, cells, pixels, points
 from petriflow.sources import files
@@ -223,7 +223,7 @@ def _(s, d):
 @register("distance_moving_average", f"{C}{enriched('label')} SELECT cell_id, label, {r(moving='CASE WHEN count(*) OVER w = 20 THEN avg(intden) OVER w END')} FROM enr WINDOW w AS (PARTITION BY label ORDER BY round(dist, 6), cell_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
 def _(s, d):
     e = clusters.enrich(cells(s, d), "label")
-    return tidy(cleaning.moving_average(e, "intden", 20, [F.round("dist", 6), F.col("cell_id")], "label"), "cell_id", "label", "moving")
+    return tidy(scan.moving_average(e, "intden", 20, [F.round("dist", 6), F.col("cell_id")], "label"), "cell_id", "label", "moving")
 
 
 @register("cumulative_count", f"{C}{enriched('label')}, g AS (SELECT label, round(dist, 3) AS dist, count(*) n FROM enr GROUP BY ALL) SELECT label, dist + 0.0 AS dist, CAST(sum(n) OVER (PARTITION BY label ORDER BY dist) AS BIGINT) AS cumulative FROM g")
