@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from itertools import chain
 
 from pyspark.sql import DataFrame, Window
@@ -31,7 +32,13 @@ def closer_than(cells: DataFrame, reach: float) -> DataFrame:
 
 
 def slice_times(times: DataFrame, start: int, end: int, step: int = 1) -> DataFrame:
-    """Rows of the times whose place in the sorted list of times is in range(start, end, step)."""
+    """Rows of the times whose place in the sorted list of times is in range(start, end, step). An end beyond the last time warns, a start
+    beyond it raises ValueError."""
+    count = times.agg(F.countDistinct("time")).first()[0]
+    if start >= count:
+        raise ValueError(f"the slice starts at time {start}, and there are {count}")
+    if end > count:
+        warnings.warn(f"the slice ends at time {end}, and there are {count}: it ends with the last one", stacklevel=2)
     known = times.select("time").distinct().withColumn("place", F.row_number().over(Window.orderBy("time")) - 1)
     wanted = known.where((F.col("place") >= start) & (F.col("place") < end) & ((F.col("place") - start) % step == 0))
     return times.join(wanted.select("time"), "time", "left_semi")

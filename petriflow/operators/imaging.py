@@ -60,7 +60,7 @@ def stats(pixels: DataFrame, *key: str) -> DataFrame:
 
 def _with_stats(pixels: DataFrame, *key: str) -> DataFrame:
     s = stats(pixels, *key)
-    return pixels.join(F.broadcast(s), [*key]) if key else pixels.join(F.broadcast(s), F.lit(True))
+    return pixels.join(s, [*key]) if key else pixels.join(F.broadcast(s), F.lit(True))
 
 
 def standardize(pixels: DataFrame, *key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.functions.numeric import assign
+from petriflow.operators.clusters import merge_stats
 
 
 def link_nearest(clusters: DataFrame, reach: float, size_gap: float) -> DataFrame:
@@ -34,7 +35,7 @@ def _fold(pdf: pd.DataFrame, reach: float, size_gap: float) -> pd.DataFrame:
                 top += 1
                 link = top
             current[link] = (row.cx, row.cy, row.n_cell)
-            out.append((row.seq, int(time), int(row.label), link))
+            out.append((row.seq, time, row.label, link))
         known = current
     return pd.DataFrame(out, columns=["seq", "time", "label", "track"])
 
@@ -42,11 +43,14 @@ def _fold(pdf: pd.DataFrame, reach: float, size_gap: float) -> pd.DataFrame:
 def link_greedy(clusters: DataFrame, reach: float, size_gap: float) -> DataFrame:
     """(seq, time, label, track): an ordered fold over the times of each sequence, sequences in parallel."""
     clusters = clusters if "seq" in clusters.columns else clusters.withColumn("seq", F.lit(0))
-    return clusters.groupBy("seq").applyInPandas(lambda pdf: _fold(pdf, reach, size_gap), "seq int, time int, label int, track int")
+    kinds = dict(clusters.dtypes)
+    return clusters.groupBy("seq").applyInPandas(lambda pdf: _fold(pdf, reach, size_gap), f"seq {kinds['seq']}, time {kinds['time']}, label {kinds['label']}, track long")
 
 
 def merge_boxes(clusters: DataFrame, near: float) -> DataFrame:
-    """(time, label, merged): clusters within `near` on both axes merge, centroids weighted by cells, until no pair is left."""
+    """(time, label, merged): clusters within `near` on both axes merge, centroids weighted by cells, until no pair is left; `merged` is the
+    smallest label of those together."""
+    kinds = dict(clusters.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         groups = [[r.cx, r.cy, r.n_cell, [r.label]] for r in pdf.sort_values("label").itertuples()]
@@ -64,10 +68,17 @@ def merge_boxes(clusters: DataFrame, near: float) -> DataFrame:
                         break
                 if again:
                     break
-        rows = [(int(pdf["time"].iloc[0]), int(m), int(min(g[3]))) for g in groups for m in g[3]]
+        rows = [(pdf["time"].iloc[0], m, min(g[3])) for g in groups for m in g[3]]
         return pd.DataFrame(rows, columns=["time", "label", "merged"])
 
-    return clusters.groupBy("time").applyInPandas(run, "time int, label int, merged int")
+    return clusters.groupBy("time").applyInPandas(run, f"time {kinds['time']}, label {kinds['label']}, merged {kinds['label']}")
+
+
+def merged_boxes(summaries: DataFrame, near: float) -> DataFrame:
+    """(time, merged, n_merged, ...): statistics of the clusters of a summary that merge_boxes puts together, with how many they were."""
+    of = summaries.join(merge_boxes(summaries, near), ["time", "label"])
+    number = of.groupBy("time", "merged").agg(F.count("*").alias("n_merged"))
+    return merge_stats(of, "time", "merged").join(number, ["time", "merged"])
 
 
 def assign_optimal(clusters: DataFrame, slack: float = 1.5) -> DataFrame:

@@ -304,6 +304,11 @@ def _(s, d):
     return tidy(correlation.distance_correlation(c, "intden", "label").union(correlation.distance_correlation(c, "intden").select(F.lit(-1), "r")))
 
 
+@register("corr_distance_near", f"{C}{enriched('label')} SELECT label, {r(r='corr(dist, area)')} FROM enr WHERE dist < 1500 GROUP BY label")
+def _(s, d):
+    return tidy(correlation.distance_correlation(cells(s, d), "area", "label", within=1500.0))
+
+
 @register("correlation_compare", f"""{C}{enriched()}, b AS (SELECT label, time, corr(intden, area) p, corr(intden, dist) q, corr(area, dist) w FROM enr GROUP BY label, time HAVING count(*) >= 3) SELECT a.time, a.label AS label_a, b.label AS label_b, {r(r_intden_area_diff="abs(a.p-b.p)", r_intden_dist_diff="abs(a.q-b.q)", r_area_dist_diff="abs(a.w-b.w)")} FROM b a JOIN b ON a.time = b.time AND a.label < b.label""")
 def _(s, d):
     blocks = correlation.pearson_pairs(clusters.enrich(cells(s, d)), list(_PAIR), "label", "time").where("n >= 3")
@@ -542,6 +547,11 @@ def _(s, d):
     return linking.merge_boxes(clusters.summary(cells(s, d)), 400.0)
 
 
+@register("merged_boxes")
+def _(s, d):
+    return tidy(linking.merged_boxes(clusters.summary(cells(s, d)), 400.0))
+
+
 @register("assign_optimal", f"""{C}, s AS ({SUMMARY}), p AS (SELECT a.time, a.label, b.label AS previous, sqrt((a.cx-b.cx)^2+(a.cy-b.cy)^2) AS d FROM s a JOIN s b ON a.time = b.time + 1),
  o AS (SELECT p0.time, p0.previous AS q0, p1.previous AS q1, p2.previous AS q2, p3.previous AS q3, p0.d AS d0, p1.d AS d1, p2.d AS d2, p3.d AS d3 FROM p p0 JOIN p p1 ON p1.time = p0.time AND p1.label = 1 AND p1.previous <> p0.previous
   JOIN p p2 ON p2.time = p0.time AND p2.label = 2 AND p2.previous NOT IN (p0.previous, p1.previous) JOIN p p3 ON p3.time = p0.time AND p3.label = 3 AND p3.previous NOT IN (p0.previous, p1.previous, p2.previous) WHERE p0.label = 0),
