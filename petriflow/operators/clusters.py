@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.operators.scan import joined, placed
+
 KEY = ("label", "time")
 
 
@@ -160,6 +165,30 @@ def sample_counts(nuclei: DataFrame, *key: str) -> DataFrame:
     return per.groupBy(*key).agg(F.count("*").alias("n_clusters"), F.sum("n").alias("n_nuclei"), weighted("x"), weighted("y"))
 
 
+def normal_plot(df: DataFrame, col: str, ident: str, *key: str) -> DataFrame:
+    """Values by rank with the normal quantile of Filliben's estimate of the median of their rank's position; no key is sorted in one task.
+
+    Null values take no part; of one value the quantile is 0."""
+
+    @F.pandas_udf("double")
+    def quantile(p: pd.Series) -> pd.Series:
+        inverse = NormalDist().inv_cdf
+        return pd.Series([inverse(x) for x in p])
+
+    known = df.where(F.col(col).isNotNull()).select(*key, ident, F.col(col).alias("value"))
+    n = known.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = joined(placed(known, ["value", ident], *key), n, list(key))
+    last = F.pow(F.lit(0.5), 1 / F.col("_n"))
+    p = F.when(F.col("_n") == 1, 0.5).when(F.col("place") == F.col("_n"), last).when(F.col("place") == 1, 1 - last).otherwise((F.col("place") - 0.3175) / (F.col("_n") + 0.365))
+    return ranked.withColumn("quantile", quantile(p)).drop("place", "_n")
+
+
+def plot_fit(plot: DataFrame, *key: str) -> DataFrame:
+    """(key, slope, intercept, r) of the line through a probability plot; r tells how well the law fits."""
+    found = plot.groupBy(*key).agg(F.regr_slope("value", "quantile").alias("slope"), F.regr_intercept("value", "quantile").alias("intercept"), F.sqrt(F.regr_r2("value", "quantile")).alias("r"))
+    return found
+
+
 def probability_plot(df: DataFrame, col: str, ident: str, *key: str) -> DataFrame:
     """Values by rank with the exponential quantile of their plotting position (rank - 1/2) / n."""
     w = Window.partitionBy(*key)

@@ -926,6 +926,11 @@ def _(s, d):
     return tidy(clusters.probability_plot(cells(s, d), "intden", "cell_id", "label"))
 
 
+@register("normal_plot_fit")
+def _(s, d):
+    return tidy(clusters.plot_fit(clusters.normal_plot(cells(s, d), "intden", "cell_id", "label"), "label"))
+
+
 _KNN5 = "k5 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM pr) WHERE k <= 5)"
 
 
