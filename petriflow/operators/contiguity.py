@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from petriflow.operators.graph import checkpoint_dir
 from petriflow.operators.spatial import at_level, frames, nearest
 
 #: Nearest places that a cell is first drawn from.
@@ -146,6 +147,8 @@ def queen_links(points: DataFrame, *key: str) -> DataFrame:
     ids = f"js array<{kind['id']}>"
     near = nearest(spots, NEAR, *key)
     first = placed(packed(near)).select(*key, "i", "x", "y", "js", "xs", "ys", *box).mapInPandas(_first_look, f"{head}, {sides}, {ids}, reach double, us array<double>, vs array<double>")
+    checkpoint_dir(points.sparkSession)
+    first = first.checkpoint()  # read twice
 
     # the finest level whose cells are as wide as the reach: what can touch lies in the 3 x 3 cells around
     level = F.greatest(F.lit(0), F.least(F.col("levels"), F.floor(F.log2(F.col("span") / F.col("reach"))).cast("int")))
