@@ -129,6 +129,16 @@ def merge_similar(clusters: list[set[int]], similar: float) -> list[set[int]]:
     return clusters
 
 
+def gradient_labels(xy: np.ndarray, eps: float, min_points: int, angle: float, width: float, largest: float, similar: float) -> np.ndarray:
+    """The cluster of each point of one group, -1 without any."""
+    order, reach, _ = optics_walk(xy, eps, min_points)
+    label = np.full(len(xy), -1)
+    ranges = drop_large(extract(reach[order], min_points, angle, width), len(xy), largest)
+    for k, c in enumerate(merge_similar([set(range(*c)) for c in ranges], similar)):
+        label[order[sorted(c)]] = k
+    return label
+
+
 def gradient_clusters(points: DataFrame, eps: float, min_points: int, angle: float, width: float, largest: float, similar: float, *key: str) -> DataFrame:
     """(key, id, cluster): OPTICS, gradient extraction, size filter and merging; a point belongs to its smallest cluster."""
     kinds = dict(points.dtypes)
@@ -136,11 +146,7 @@ def gradient_clusters(points: DataFrame, eps: float, min_points: int, angle: flo
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        order, reach, _ = optics_walk(pdf[["x", "y"]].to_numpy(float), eps, min_points)
-        ranges = drop_large(extract(reach[order], min_points, angle, width), len(pdf), largest)
-        label = np.full(len(pdf), -1)
-        for k, c in enumerate(merge_similar([set(range(*c)) for c in ranges], similar)):
-            label[order[sorted(c)]] = k
+        label = gradient_labels(pdf[["x", "y"]].to_numpy(float), eps, min_points, angle, width, largest, similar)
         out = pdf[[*key, "id"]].copy()
         out["cluster"] = label
         return out[out["cluster"] >= 0]

@@ -67,14 +67,18 @@ def spline_resample(series: DataFrame, col: str) -> DataFrame:
     return series.select("label", "time", col).groupBy("label").applyInPandas(run, "label int, at double, value double")
 
 
-def schedule(spark: SparkSession, knots: list[tuple[float, float]], start: int, end: int) -> DataFrame:
-    """(t, value): a piecewise-linear schedule at t = start..end; ends are held."""
+def piecewise(t: Column, knots: list[tuple[float, float]]) -> Column:
+    """The value at t of the line through the knots; ends are held."""
     xs, ys = zip(*sorted(knots), strict=True)
-    t = F.col("t").cast("double")
     value = F.when(t <= xs[0], F.lit(float(ys[0])))
     for x0, x1, y0, y1 in zip(xs, xs[1:], ys, ys[1:], strict=False):
         value = value.when(t <= x1, y0 + (t - x0) * (float(y1 - y0) / float(x1 - x0)))
-    return spark.range(start, end + 1).select(F.col("id").cast("int").alias("t")).withColumn("value", value.otherwise(float(ys[-1])))
+    return value.otherwise(float(ys[-1]))
+
+
+def schedule(spark: SparkSession, knots: list[tuple[float, float]], start: int, end: int) -> DataFrame:
+    """(t, value): a piecewise-linear schedule at t = start..end; ends are held."""
+    return spark.range(start, end + 1).select(F.col("id").cast("int").alias("t")).withColumn("value", piecewise(F.col("t").cast("double"), knots))
 
 
 def draw(seed: int, *cols: str) -> Column:
@@ -102,6 +106,26 @@ def impute_missing(cells: DataFrame, wanted: DataFrame, seed: int | None = None)
     return out.select("cell_id", "label", "time", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "intden", "area", "_i").withColumnRenamed("_i", "copy")
 
 
+def impute_series(cells: DataFrame, selected: tuple[int, ...] = (), seed: int | None = None, smooth: bool = True) -> DataFrame:
+    """The cells and those imputed, with `copy` (null for given cells): each time between a label's first and last at which it has no cells gets
+    copies of its cells at the last time seen, as many as the series of its sizes says there, moved as its centre moves.
+
+    selected: the labels to impute, all if empty; smooth: series are filled by splines, else along lines; seed: as in impute_missing. Sizes are
+    cut to whole numbers and not below zero. Labels seen at one time only have nothing between."""
+    sizes = cells.groupBy("label", "time").agg(F.count("*").cast("double").alias("n"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    filled = gap_fill(sizes.where(F.col("label").isin(*selected)) if selected else sizes)
+    if smooth:
+        filled = spline_fill(filled, "n", "cx", "cy")
+    else:
+        for c in ("n", "cx", "cy"):
+            filled = linear_fill(filled, c)
+    gone = last_alive(missing_times(filled, cells), sizes)
+    before = sizes.select("label", F.col("time").alias("last_time"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
+    moved = gone.join(filled, ["label", "time"]).join(before, ["label", "last_time"])
+    wanted = moved.select("label", "time", F.greatest(F.lit(0), F.col("n").cast("int")).alias("n_cell"), (F.col("cx") - F.col("bx")).alias("dx"), (F.col("cy") - F.col("by")).alias("dy"))
+    return cells.withColumn("copy", F.lit(None).cast("int")).unionByName(impute_missing(cells, wanted, seed), allowMissingColumns=True)
+
+
 def decay_rate(series: DataFrame) -> DataFrame:
     """ln(first / last) over the time between, of each label's number of cells."""
     s = series.groupBy("label").agg(F.min_by("n_cells", "time").alias("n1"), F.max_by("n_cells", "time").alias("n2"), F.min("time").alias("t1"), F.max("time").alias("t2"))

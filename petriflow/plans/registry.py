@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from petriflow.plans import catalog, clustering, neighbourhood  # noqa: F401
+    from petriflow.plans import catalog, clustering, neighbourhood, scheduled  # noqa: F401
 
     return dict(_QUERIES)
 
