@@ -61,6 +61,11 @@ def _(s, d):
     return spectrum.spectral_clusters(points(s, d), 10, count=6)
 
 
+@register("spectrum_numbers")
+def _(s, d):
+    return spectrum.cluster_numbers(spectrum.laplacian_spectrum(points(s, d), 10, 12))
+
+
 @register("track_points")
 def _(s, d):
     return tracker.follow_batch(cell_points(s, d).withColumnRenamed("label", "seq"))
