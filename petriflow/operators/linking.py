@@ -96,7 +96,8 @@ def assign_optimal(clusters: DataFrame, slack: float = 1.5) -> DataFrame:
         kept = [p for p in pairs if cost[p] < limit or limit == 0]
         return pd.DataFrame({"time": int(now["time"].iloc[0]), "label": [int(now["label"].iloc[i]) for i, _ in kept], "previous": [int(then["label"].iloc[j]) for _, j in kept], "distance": [float(cost[p]) for p in kept]})
 
-    return a.union(b).groupBy("time").applyInPandas(run, "time int, label int, previous int, distance double")
+    kinds = dict(clusters.dtypes)
+    return a.union(b).groupBy("time").applyInPandas(run, f"time {kinds['time']}, label {kinds['label']}, previous {kinds['label']}, distance double")
 
 
 def ari(found: DataFrame, truth: str, predicted: str, *key: str) -> DataFrame:

@@ -29,7 +29,8 @@ def morphology(cells: DataFrame) -> DataFrame:
         }
         return pd.DataFrame([row])
 
-    schema = "label int, time int, n_cells int, hull_area double, hull_perimeter double, circularity double, density double, compactness double, gyration double, hull_points int"
+    kinds = dict(cells.dtypes)
+    schema = f"label {kinds['label']}, time {kinds['time']}, n_cells int, hull_area double, hull_perimeter double, circularity double, density double, compactness double, gyration double, hull_points int"
     return cells.select("label", "time", "x", "y").groupBy("label", "time").applyInPandas(run, schema)
 
 
