@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from petriflow.operators.cleaning import trim_outliers
-from petriflow.operators.density import gradient_labels
+from petriflow.operators.density import dealt, gradient_labels
 from petriflow.operators.imputation import piecewise
 
 # fixed values: knots (times, values) of the parameters for the first recording
@@ -58,7 +58,7 @@ def scheduled_clusters(points: DataFrame, knots: Knots, *key: str, time: str = "
         label = gradient_labels(pdf[["x", "y"]].to_numpy(float), now["eps"], int(now["min_points"]), angle, now["width"], now["largest"], now["similar"])
         return pdf[[*by, "id", "x", "y"]].assign(cluster=label)
 
-    return asked.groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "id"]) + ", x double, y double, cluster int")
+    return dealt(asked, *by).groupBy(*by).applyInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*by, "id"]) + ", x double, y double, cluster int")
 
 
 def cleaned_clusters(points: DataFrame, knots: Knots, half: float = 1000.0, time: str = "time", first: int = 1, angle: float = 150.0) -> DataFrame:
