@@ -1,8 +1,9 @@
 """Ward's hierarchy by reciprocal nearest neighbours, and BIRCH's clustering features.
 
 Ward: a part is told by its size and centre, from which the Lance-Williams update of Ward's distance follows. Parts that are each other's
-nearest can all be joined at once and in any order, as Ward's distance is reducible. A key of many parts has rounds of such joins over its table;
-once it has PARTS parts or fewer, one task follows chains of nearest neighbours to the end.
+nearest can all be joined at once and in any order, as Ward's distance is reducible. A key of many parts has rounds over cells of PARTS parts or
+fewer: a task follows chains of nearest neighbours as far as no part beyond its cell's border can be nearer, and the next round's cells are larger and
+have other borders. Once a key has PARTS parts or fewer, one task follows the chains to the end.
 
 BIRCH: points go to tiles, the points of a tile to SALTS trees of clustering features, and the features of these trees to one tree for each tile,
 so no task holds more than the features of one tile. Sums of features are exact, however they were merged.
@@ -18,8 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from petriflow.operators.density import dealt
 from petriflow.operators.graph import checkpoint_dir
-from petriflow.operators.spatial import nearest, nearest_to
+from petriflow.operators.spatial import at_level, frames, leaves, nearest, nearest_to
 
 PARTS = 4096
 TILE = 64
@@ -54,12 +56,81 @@ def chain_merges(size: np.ndarray, xy: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return p[:, 0], p[:, 1], np.array(heights)
 
 
+def sure_merges(size: np.ndarray, xy: np.ndarray, box: tuple[float, float, float, float], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, height) of the merges inside a box (x0, y0, x1, y1) that hold whatever parts of `least` points or more lie beyond it, as in chain_merges,
+    and (part, size, xy) of the parts then left.
+
+    A part whose nearest is no nearer than the border may be is stuck, and so is one whose nearest is stuck: neither changes by other merges."""
+    size, xy = size.astype(float).copy(), xy.astype(float).copy()
+    alive, stuck = np.ones(len(size), bool), np.zeros(len(size), bool)
+    pairs, heights, chain, todo = [], [], [], list(range(len(size)))[::-1]
+    while chain or todo:
+        if not chain:
+            at = todo.pop()
+            if alive[at] and not stuck[at]:
+                chain.append(at)
+            continue
+        at = chain[-1]
+        d = 2 * size[at] * size / (size[at] + size) * ((xy - xy[at]) ** 2).sum(axis=1)
+        d[~alive] = np.inf
+        d[at] = np.inf
+        to = int(d.argmin())
+        gap = max(0.0, min(xy[at, 0] - box[0], xy[at, 1] - box[1], box[2] - xy[at, 0], box[3] - xy[at, 1]))
+        back = len(chain) > 1 and d[chain[-2]] <= d[to]
+        if not d[to] < 2 * size[at] * least / (size[at] + least) * gap**2 or (stuck[to] and not back):
+            stuck[chain] = True
+            chain = []
+        elif not back:
+            chain.append(to)
+        else:
+            a, b = sorted((chain.pop(), chain.pop()))
+            pairs.append((a, b))
+            heights.append(np.sqrt(d[to]))
+            xy[a] = (size[a] * xy[a] + size[b] * xy[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+            todo.append(a)
+    p, left = np.array(pairs, np.int64).reshape(-1, 2), np.flatnonzero(alive)
+    return p[:, 0], p[:, 1], np.array(heights), left, size[left], xy[left]
+
+
+def _merge_in_cells(large: DataFrame, turn: int, parts: int, *key: str) -> DataFrame:
+    """(key, a, b, height, x, y, size): a round's sure merges of parts (id, x, y, size, least) in cells of `parts` of them or fewer, and, with b null, the
+    parts left. Cells are laid out anew by the turn, as what lies at a border stays."""
+    kinds = dict(large.dtypes)
+    head = "".join(f"{k} {kinds[k]}, " for k in key)
+    shift = (turn * 0.618033988749895 + 0.31) % 1
+    frame = frames(large, *key).select(*key, *((F.col(f"{c}0") - F.col("span") * s).alias(f"{c}0") for c, s in (("x", shift), ("y", 1 - shift))), (F.col("span") * 2).alias("span"), (F.col("levels") + 1).alias("levels"))
+    placed = large.join(frame, [*key]) if key else large.crossJoin(F.broadcast(frame))  # one row
+    cell = [*key, "level", "cx", "cy"]
+    leaf = leaves(placed, parts, *key)
+    every = placed.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels"))))
+    held = every.select(*key, "level", *at_level(F.col("level")), "id", "x", "y", "size", "least", "x0", "y0", "span").join(leaf, cell)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        level, cx, cy, x0, y0, span, least = pdf[["level", "cx", "cy", "x0", "y0", "span", "least"]].iloc[0].tolist()
+        side, edge = span / 2.0**level, span * 1e-12
+        box = (x0 + cx * side + edge, y0 + cy * side + edge, x0 + (cx + 1) * side - edge, y0 + (cy + 1) * side - edge)
+        a, b, height, left, size, xy = sure_merges(pdf["size"].to_numpy(), pdf[["x", "y"]].to_numpy(), box, least)
+        ids = pdf["id"].to_numpy()
+        out = pdf.loc[np.concatenate([a, left]), [*key]].reset_index(drop=True)
+        out["a"], out["b"] = ids[np.concatenate([a, left])], pd.Series([*ids[b], *[None] * len(left)], dtype=object)
+        out["height"] = np.concatenate([height, np.full(len(left), np.nan)])
+        for c, v in (("x", xy[:, 0]), ("y", xy[:, 1]), ("size", size)):
+            out[c] = np.concatenate([np.full(len(a), np.nan), v])
+        return out
+
+    return dealt(held, *cell).groupBy(*cell).applyInPandas(run, f"{head}a {kinds['id']}, b {kinds['id']}, height double, x double, y double, size double")
+
+
 def ward_merges(points: DataFrame, *key: str, parts: int = PARTS, look: int = 8) -> DataFrame:
     """(key, a, b, height): the merges of each key's points (id, x, y) by Ward's linkage; part b joins part a, parts are called by their smallest
     id, so each id but the smallest is b once. Points without coordinates take no part; coincident ones merge first, at height 0.
 
-    In a round a part's nearest is sought among its `look` nearest centres, and is sure where none beyond them can be nearer for its size; pairs
-    that are surely each other's nearest are joined. Where a round joins nothing, twice as many are looked at."""
+    Rounds over cells join what they surely can. Where such a round joins nothing, a part's nearest is sought among its `look` nearest centres, and is
+    sure where none beyond them can be nearer for its size; pairs that are surely each other's nearest are joined, and twice as many are looked at
+    where there are none."""
     checkpoint_dir(points.sparkSession)
     kinds = dict(points.dtypes)
     head = "".join(f"{k} {kinds[k]}, " for k in key)
@@ -68,11 +139,20 @@ def ward_merges(points: DataFrame, *key: str, parts: int = PARTS, look: int = 8)
     same = p.withColumnRenamed("id", "b").join(first, [*key, "x", "y"]).where("b <> id")
     done = [same.select(*key, F.col("id").alias("a"), "b", F.lit(0.0).alias("height"))]
     now = first.select(*key, "id", "x", "y", "size").checkpoint()
+    turn = 0
     while True:
         counts = now.groupBy(*key).agg(F.count("*").alias("n"), F.min("size").alias("least")).where(F.col("n") > parts)
         if counts.isEmpty():
             break
         large = now.join(counts, [*key]) if key else now.crossJoin(F.broadcast(counts))  # one row
+        turn += 1
+        found = _merge_in_cells(large, turn, parts, *key).checkpoint()
+        merged = found.where("b is not null").select(*key, "a", "b", "height")
+        if not merged.isEmpty():
+            done.append(merged)
+            left = found.where("b is null").select(*key, F.col("a").alias("id"), "x", "y", "size")
+            now = left.unionByName(now.join(counts, [*key], "left_anti")) if key else left
+            continue
         near = nearest(large.withColumn("v", F.col("size")), look, *key)
         square = 2 * F.col("vi") * F.col("vj") / (F.col("vi") + F.col("vj")) * F.col("d") ** 2
         one = F.struct(square.alias("square"), F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
