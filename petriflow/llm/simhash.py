@@ -14,7 +14,7 @@ table gives no rows; other columns are ignored by the query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -83,11 +83,12 @@ class BKTree:
     """Integers under Hamming distance; a child hangs under its parent by their distance."""
 
     def __init__(self, values: list[int]) -> None:
-        self.values, self.children = [], []
+        self.values, self.children, self.parents = [], [], []
         for v in values:
             self.add(v)
 
     def add(self, v: int) -> None:
+        parent = -1
         if self.values:
             at = 0
             while True:
@@ -97,10 +98,12 @@ class BKTree:
                 nxt = self.children[at].get(d)
                 if nxt is None:
                     self.children[at][d] = len(self.values)
+                    parent = at
                     break
                 at = nxt
         self.values.append(v)
         self.children.append({})
+        self.parents.append(parent)
 
     def within(self, v: int, radius: int) -> list[int]:
         found, todo = [], [0] if self.values else []
@@ -212,7 +215,8 @@ WIDE_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a wide fingerprint, standard deviations that candidates may be farther than expected, and the chance to miss a pair at the
 #: least similarity.
 WIDE, SPREAD, MISS = 4, 3, 0.02
-_SMALL, _CHUNK = 32, 1 << 16
+#: Nodes in one BK-tree of wide fingerprints at most.
+WIDE_TILE = 1 << 13
 #: Documents of a candidate group that one task compares with as many others, and shingles of them.
 SET_TILE, TILE_SHINGLES = 256, 1 << 20
 
@@ -254,19 +258,78 @@ def expected_distance(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def flood(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs within the radius: each row found is looked around from once, among rows not found yet."""
-    edges, rest = [], np.arange(len(fps))
-    while len(rest) > 1:
-        front, rest = [int(rest[0])], rest[1:]
-        while front and len(rest):
+def _tree_of(fps: np.ndarray) -> tuple[BKTree, list[int], list[tuple[int, int]]]:
+    """The BK-tree of the rows' fingerprints, the first row of each of its values, and pairs of rows with one value."""
+    first: dict[int, int] = {}
+    data, step, same = fps.astype("<u8").tobytes(), 8 * fps.shape[1], []
+    for row in range(len(fps)):
+        at = first.setdefault(int.from_bytes(data[row * step : row * step + step], "little"), row)
+        if at != row:
+            same.append((at, row))
+    return BKTree(list(first)), list(first.values()), same
+
+
+def spanning(tree: BKTree, radius: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """A spanning forest of the tree's values within the radius, and the number of each one's part: each value found is looked around from
+    once, past the subtrees whose values are all found."""
+    values, children, parents = tree.values, tree.children, tree.parents
+    part, rest, edges = [-1] * len(values), [1] * len(values), []
+    for x in range(len(values) - 1, 0, -1):
+        rest[parents[x]] += rest[x]
+
+    def take(x: int, of: int) -> None:
+        part[x] = of
+        while x >= 0:
+            rest[x] -= 1
+            x = parents[x]
+
+    for start in range(len(values)):
+        if part[start] >= 0:
+            continue
+        take(start, start)
+        front = [start]
+        while front and rest[0]:
             at = front.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1) <= radius
-            new = rest[near].tolist()
-            edges += [(at, x) for x in new]
-            front += new
-            rest = rest[~near]
-    return edges
+            v, todo = values[at], [0]
+            while todo:
+                x = todo.pop()
+                d = (values[x] ^ v).bit_count()
+                if d <= radius and part[x] < 0:
+                    take(x, start)
+                    edges.append((at, x))
+                    front.append(x)
+                todo += [c for k, c in children[x].items() if rest[c] and -radius <= k - d <= radius]
+    return edges, part
+
+
+def flood(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows within the radius, found in a BK-tree."""
+    tree, row, same = _tree_of(fps)
+    return same + [(row[x], row[y]) for x, y in spanning(tree, radius)[0]]
+
+
+def visits(fps: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], Callable[[np.ndarray], list[int]]]:
+    """The forest of the rows, and a search: of each part of the rows that lies within the radius of a fingerprint, one row.
+
+    Subtrees that hold one part only are passed once it is found."""
+    tree, row, same = _tree_of(fps)
+    edges, part = spanning(tree, radius)
+    whole = list(part)  # the part that a subtree belongs to as a whole, else -1
+    for x in range(len(whole) - 1, 0, -1):
+        if whole[x] != whole[tree.parents[x]]:
+            whole[tree.parents[x]] = -1
+
+    def search(fp: np.ndarray) -> list[int]:
+        v, found, todo = int.from_bytes(fp.astype("<u8").tobytes(), "little"), {}, [0] if tree.values else []
+        while todo:
+            x = todo.pop()
+            d = (tree.values[x] ^ v).bit_count()
+            if d <= radius:
+                found.setdefault(part[x], row[x])
+            todo += [c for k, c in tree.children[x].items() if -radius <= k - d <= radius and (whole[c] < 0 or whole[c] not in found)]
+        return list(found.values())
+
+    return same + [(row[x], row[y]) for x, y in edges], search
 
 
 def tables_for(bits: int, far: float, radius: int, k: int) -> int:
@@ -280,15 +343,14 @@ def tables_for(bits: int, far: float, radius: int, k: int) -> int:
     return tables
 
 
-def wide_links(nodes: DataFrame, n: int, similarity: float = SIMILARITY) -> DataFrame:
+def wide_links(nodes: DataFrame, n: int, similarity: float = SIMILARITY, tile: int = WIDE_TILE) -> DataFrame:
     """Edges (a, b) that connect nodes (node, f0..) whose wide fingerprints are at most SPREAD standard deviations farther than sets of that
     similarity are expected to be: candidates, among them sets that are less similar.
 
     Bits are sampled into tables: k = log2(n / 8) bits each, so a key holds about eight unrelated nodes at any size, and as many tables as make
-    the chance of a similar pair to share no key MISS. Nodes of one key are compared in one task, _CHUNK at a time, later chunks with one
-    node of each group found before, so for keys of more than _CHUNK nodes the result is approximate: a node near another one of a group but not
-    near the one kept loses that candidate in this table. Edges of large groups form a forest, so a large group of copies costs what it has
-    members."""
+    the chance of a similar pair to share no key MISS. The nodes of one key make a BK-tree, and their links are found in it. Keys of more
+    than `tile` nodes become several trees, each of which is searched by all nodes of the key, so no link of theirs is lost either. Edges
+    form forests, so a large group of copies costs what it has members."""
     spark, bits = nodes.sparkSession, 64 * WIDE
     far = expected_distance(similarity)
     radius = int(np.ceil(bits * far + SPREAD * np.sqrt(bits * far * (1 - far))))
@@ -310,38 +372,70 @@ def wide_links(nodes: DataFrame, n: int, similarity: float = SIMILARITY) -> Data
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], ["key", "node", *names])
 
     columns = "".join(f", {x} long" for x in names)
-    dealt = nodes.select("node", *names).mapInArrow(deal, f"key long, node long{columns}").repartition(partitions(spark), "key").sortWithinPartitions("key")
+    dealt = nodes.select("node", *names).mapInArrow(deal, f"key long, node long{columns}")
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        x = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x.min(axis=1, initial=2**63 - 1)), pa.array(x.max(axis=1, initial=-(2**63)))], ["a", "b"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        """Edges inside each key of `tile` nodes at most; larger keys are named, with a null beside them."""
+        held, large = np.zeros((0, 2 + WIDE), np.uint64), None
         for last, b in _with_last(batches):
-            x = np.column_stack([b.column(j).to_numpy().view(np.uint64) for j in range(2 + WIDE)])
-            if held:
-                x = np.concatenate([held.pop(), x])
-            begin = np.flatnonzero(np.diff(x[:, 0], prepend=x[0, 0] ^ np.uint64(1)))
-            edges: list[tuple[np.ndarray, np.ndarray]] = []
-            if not last:
-                tail = x[begin[-1] :]
-                x, begin = x[: begin[-1]], begin[:-1]
-                if len(tail) > _CHUNK:  # one key beyond a chunk: one node of each group goes on
-                    pairs = np.array(flood(tail[:, 2:], radius), np.int64).reshape(-1, 2)
-                    edges.append((tail[pairs[:, 0], 1], tail[pairs[:, 1], 1]))
-                    tail = np.delete(tail, pairs[:, 1], axis=0)
-                held.append(tail)
+            x = np.concatenate([held, np.column_stack([b.column(j).to_numpy().view(np.uint64) for j in range(2 + WIDE)])])
+            if large is not None:
+                x = x[np.searchsorted(x[:, 0] != large, True) :]
+            if not len(x):
+                held = x
+                continue
+            begin = np.flatnonzero(np.append(True, x[1:, 0] != x[:-1, 0]))
             size = np.diff(np.append(begin, len(x)))
-            place = np.arange(len(x)) - np.repeat(begin, size)
-            small = np.repeat(size <= _SMALL, size)
-            for d in range(1, _SMALL):
-                i = np.flatnonzero(small & (place >= d))
-                i = i[np.bitwise_count(x[i, 2:] ^ x[i - d, 2:]).sum(axis=1) <= radius]
-                edges.append((x[i - d, 1], x[i, 1]))
-            for s, z in zip(begin[size > _SMALL].tolist(), size[size > _SMALL].tolist(), strict=True):
-                pairs = np.array(flood(x[s : s + z, 2:], radius), np.int64).reshape(-1, 2)
-                edges.append((x[s + pairs[:, 0], 1], x[s + pairs[:, 1], 1]))
-            a, c = (np.concatenate([e[j] for e in edges] or [np.zeros(0, np.uint64)]).view(np.int64) for j in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, c)), pa.array(np.maximum(a, c))], ["a", "b"])
-
-    return dealt.mapInArrow(link, "a long, b long").distinct()
+            begun, over = len(begin) - (not last), size > tile
+            if not last:
+                held = x[begin[-1] :] if not over[-1] else x[:0]
+                large = x[begin[-1], 0] if over[-1] else None
+            out: list[tuple[int, int]] = []
+            node = x[:, 1].view(np.int64)
+            for i in np.flatnonzero((size[:begun] > 1) & ~over[:begun]).tolist():
+                s = int(begin[i])
+                out += [(node[s + u], node[s + v]) for u, v in flood(x[s : s + size[i], 2:], radius)]
+            yield pairs(out)
+            named = x[begin[over], 0].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(named), pa.nulls(len(named), pa.int64())], ["a", "b"])
+
+    found = save(dealt.repartition(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(link, "a long, b long").distinct(), "candidates")
+    edges, large = found.where("b is not null"), found.where("b is null").select(F.col("a").alias("key"))
+    if large.isEmpty():
+        return edges
+    again = dealt.join(large, "key")
+    again = again.join(again.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
+    again = again.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", "tile", (F.col("own") != F.col("tile")).alias("visitor"), "node", *names)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a tile come first and make its tree; then the other nodes of the key look into it."""
+        at, node, prints, find = None, [], [], None
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            f = np.column_stack([b.column(3 + j).to_numpy().view(np.uint64) for j in range(1 + WIDE)])
+            for r, (key, number, visitor) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+                if at != (key, number) or (visitor and find is None):
+                    if find is None and node:
+                        forest_, find = visits(np.array(prints), radius)
+                        out += [(node[u], node[v]) for u, v in forest_]
+                    if at != (key, number):
+                        at, node, prints, find = (key, number), [], [], None
+                name = int(f[r, 0].view(np.int64))
+                if visitor:
+                    out += [(node[u], name) for u in (find(f[r, 1:]) if find else [])]
+                else:
+                    node.append(name)
+                    prints.append(f[r, 1:])
+            yield pairs(out)
+        if find is None and node:
+            yield pairs([(node[u], node[v]) for u, v in flood(np.array(prints), radius)])
+
+    parts = again.repartition(partitions(spark), "key", "tile").sortWithinPartitions("key", "tile", "visitor")
+    return edges.union(parts.mapInArrow(search, "a long, b long")).distinct()
 
 
 def jaccard_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -410,7 +504,7 @@ def exact_links(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(id, component): documents whose sets of five-word shingles reach the Jaccard similarity, and those reachable through such.
 
-    Wide fingerprints only name candidates; groups of candidates are then linked by their sets. Equal sets share a node."""
+    Wide SimHash fingerprints name candidates through BK-trees; groups of candidates are then linked by their sets. Equal sets share a node."""
     slim = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     names = [f"f{j}" for j in range(WIDE)]
     kind = slim.schema["id"].dataType.simpleString()
@@ -452,8 +546,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each group of near copies (Jaccard similarity 0.8 of five-word shingles, checked on the sets), that of the smallest id (ties: of the
-    smallest hash of the text).
+    """Pipeline stage: one row of each group of near copies (candidates by BK-trees of SimHash fingerprints, Jaccard similarity 0.8 of five-word
+    shingles checked on the sets), that of the smallest id (ties: of the smallest hash of the text).
 
     Rows are known by id and hash of the text, so the texts need not be written to be numbered."""
     keyed = docs.select(F.struct("*").alias("doc"), F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h")).alias("key"))
