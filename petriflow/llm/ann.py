@@ -141,8 +141,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
     shards = max(1, -(-nodes.count() // shard))
     # queries in blocks of a fixed size, each block copied once for each group of shards
     asked = good.join(queries.select(F.col(id_col).alias("id")).where("id is not null").distinct(), "id")
-    n_queries = asked.count()
-    blocks, groups = max(1, -(-n_queries // QUERY_BLOCK)), min(shards, 4 * partitions(spark))
+    n_queries, groups = asked.count(), min(shards, 4 * partitions(spark))
+    blocks = max(1, -(-n_queries // QUERY_BLOCK), min(n_queries // _LANES, partitions(spark) // groups))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).repartition(min(shards, 8 * partitions(spark)), "shard").sortWithinPartitions("shard")
 
@@ -173,42 +173,39 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_i
             yield pack(now, ids, np.concatenate(v))
 
     graphs = save(dealt.select("v", "ids", "shard").mapInArrow(index, "shard int, start int, v binary, graph binary, ids binary, ends binary"), "graphs")
-    packed = asked.groupBy("block", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_s")).agg(F.collect_list(F.struct("id", "v")).alias("q"))
-    packed = save(packed.withColumn("slice", F.monotonically_increasing_id()), "queries")
-    packed = packed.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = graphs.withColumn("group", F.col("shard") % groups).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["group", "block"])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                start, v, graph, flat, ends, q = (batch.column(j)[i] for j in range(6))
-                ends = np.frombuffer(ends.as_py(), np.int64)
-                flat = np.frombuffer(flat.as_py(), np.int64)
-                x = np.frombuffer(v.as_py(), np.float64).reshape(len(ends), -1)
-                graph = np.frombuffer(graph.as_py(), np.int32).reshape(len(ends), -1)
-                begins = np.concatenate([[0], ends[:-1]])
-                norms = np.einsum("nd,nd->n", x, x)
-                own = q.values.field(0).to_numpy()
-                vectors = q.values.field(1).flatten().to_numpy().reshape(len(own), -1)
-                out: list[list] = [[], [], []]
-                for at in range(0, len(own), _LANES):
-                    part = vectors[at : at + _LANES]
-                    found = beam_search(x, norms, graph, start.as_py(), part, min(beam, len(ends)))
-                    for r, (query, mine) in enumerate(zip(own[at : at + _LANES].tolist(), found, strict=True)):
-                        mine = mine[mine >= 0][: 3 * k]
-                        true = np.sqrt(((x[mine] - part[r]) ** 2).sum(axis=1))
-                        sizes = (ends - begins)[mine]
-                        ids = np.concatenate([flat[begins[m] : ends[m]] for m in mine.tolist()])
-                        score = np.repeat(true, sizes)
-                        keep = ids != query
-                        ids, score = ids[keep], score[keep]
-                        order = np.lexsort([ids, score])[:k]
-                        out[0].append(np.full(len(order), query))
-                        out[1].append(ids[order])
-                        out[2].append(score[order])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else []) for o in out], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("start", "v", "graph", "ids", "ends", "q").mapInArrow(ask, "query_id long, vec_id long, score double")
+
+    def ask(names: tuple, g: pa.Table, asked: pa.Table) -> pa.Table:
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        own, flat_v = asked.column("id").to_numpy(), asked.column("v").combine_chunks().flatten().to_numpy()
+        for i in range(g.num_rows if len(own) else 0):
+            start, v, graph, flat, ends = (g.column(c)[i] for c in ("start", "v", "graph", "ids", "ends"))
+            ends = np.frombuffer(ends.as_py(), np.int64)
+            flat = np.frombuffer(flat.as_py(), np.int64)
+            x = np.frombuffer(v.as_py(), np.float64).reshape(len(ends), -1)
+            graph = np.frombuffer(graph.as_py(), np.int32).reshape(len(ends), -1)
+            begins = np.concatenate([[0], ends[:-1]])
+            norms, vectors = np.einsum("nd,nd->n", x, x), flat_v.reshape(len(own), -1)
+            for at in range(0, len(own), _LANES):
+                part = vectors[at : at + _LANES]
+                found = beam_search(x, norms, graph, start.as_py(), part, min(beam, len(ends)))
+                for r, (query, mine) in enumerate(zip(own[at : at + _LANES].tolist(), found, strict=True)):
+                    mine = mine[mine >= 0][: 3 * k]
+                    true = np.sqrt(((x[mine] - part[r]) ** 2).sum(axis=1))
+                    sizes = (ends - begins)[mine]
+                    ids = np.concatenate([flat[begins[m] : ends[m]] for m in mine.tolist()])
+                    score = np.repeat(true, sizes)
+                    keep = ids != query
+                    ids, score = ids[keep], score[keep]
+                    order = np.lexsort([ids, score])[:k]
+                    out[0].append(np.full(len(order), query))
+                    out[1].append(ids[order])
+                    out[2].append(score[order])
+        return pa.table([np.concatenate(o) for o in out], ["query_id", "vec_id", "score"])
+
+    # a task meets one block of queries and one group of graphs at a time; no graph becomes a row for each slice of queries
+    held = graphs.withColumn("group", F.col("shard") % groups).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = held.groupBy("group", "block").cogroup(asked.groupBy("group", "block")).applyInArrow(ask, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
