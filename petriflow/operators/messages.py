@@ -10,14 +10,15 @@ After B. Frey and D. Dueck, "Clustering by passing messages between data points"
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from petriflow.operators.graph import checkpoint_dir
 from petriflow.operators.spatial import nearest, nearest_to
 
-IN_TASK = 1 << 21
+#: Edges of a key whose rounds one task does: some 100 bytes an edge, with the tables that they come in.
+IN_TASK = 1 << 24
 #: Rounds between two looks at the exemplars; between them nothing is written.
 STRIDE = 5
 
@@ -38,31 +39,46 @@ def neighbour_similarities(points: DataFrame, k: int, *key: str, preference: flo
     return every.withColumn("s", F.col("s") * (1 + 1e-9 * part))
 
 
-def settle_messages(i: np.ndarray, k: np.ndarray, s: np.ndarray, n: int, damping: float, rounds: int, settle: int) -> np.ndarray:
-    """Which of n nodes are exemplars; edges in any order, one of each (i, i) at most."""
+#: Edges of a task that one step of a round looks at.
+STEP = 1 << 18
+
+
+def settle_messages(i: np.ndarray, k: np.ndarray, s: np.ndarray, n: int, damping: float, rounds: int, settle: int, step: int = STEP) -> np.ndarray:
+    """Which of n nodes are exemplars; edges in any order, one of each (i, i) at most. A round goes through the edges in steps of whole nodes i, so that it
+    holds no more than the messages besides the edges: some 32 bytes an edge."""
     order = np.argsort(i, kind="stable")
-    i, k, s = i[order], k[order], s[order].astype(float)
-    start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-    length = np.diff(np.r_[start, len(i)])
-    row, own = np.repeat(np.arange(len(start)), length), i == k
+    i, k, s = i[order].astype(np.int32), k[order].astype(np.int32), s[order].astype(float)
+    del order
+    start = np.flatnonzero(np.diff(i, prepend=-1))
+    ends = np.append(start, len(i))
+    cut = np.unique(np.append(np.searchsorted(start, np.arange(0, len(i), step)), len(start)))
+    steps = [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+    own = i == k
+    me, self_ = k[own], np.zeros(n)
     r, a = np.zeros(len(i)), np.zeros(len(i))
     before, same = np.zeros(n, bool), 0
     for _ in range(rounds):
-        v = a + s
-        most = np.maximum.reduceat(v, start)[row]
-        top = v == most
-        second = np.maximum.reduceat(np.where(top, -np.inf, v), start)[row]
-        ties = np.add.reduceat(top.astype(np.int64), start)[row] > 1
-        other = np.where(top & ~ties, second, most)
-        other = np.where(np.isinf(other), s - 1, other)
-        r = damping * r + (1 - damping) * (s - other)
-        plus = np.where(own, 0, np.maximum(r, 0))
-        total = np.bincount(k, plus, n)
-        self_ = np.zeros(n)
-        self_[k[own]] = r[own]
-        a = damping * a + (1 - damping) * np.where(own, total[k], np.minimum(0, self_[k] + total[k] - plus))
+        total = np.zeros(n)
+        for x, y in steps:
+            at = slice(ends[x], ends[y])
+            first = start[x:y] - ends[x]
+            row = np.repeat(np.arange(y - x), np.diff(ends[x : y + 1]))
+            v = a[at] + s[at]
+            most = np.maximum.reduceat(v, first)[row]
+            top = v == most
+            second = np.maximum.reduceat(np.where(top, -np.inf, v), first)[row]
+            ties = np.add.reduceat(top.astype(np.int64), first)[row] > 1
+            other = np.where(top & ~ties, second, most)
+            other = np.where(np.isinf(other), s[at] - 1, other)
+            r[at] = damping * r[at] + (1 - damping) * (s[at] - other)
+            np.add.at(total, k[at], np.where(own[at], 0, np.maximum(r[at], 0)))  # one by one, in order, as from all edges at once
+        self_[me] = r[own]
+        for x, y in steps:
+            at = slice(ends[x], ends[y])
+            plus = np.where(own[at], 0, np.maximum(r[at], 0))
+            a[at] = damping * a[at] + (1 - damping) * np.where(own[at], total[k[at]], np.minimum(0, self_[k[at]] + total[k[at]] - plus))
         now = np.zeros(n, bool)
-        now[k[own]] = (r + a)[own] > 0
+        now[me] = r[own] + a[own] > 0
         same = same + 1 if (now == before).all() and now.any() else 0
         before = now
         if same >= settle:
@@ -80,16 +96,14 @@ def exemplars(edges: DataFrame, *key: str, damping: float = 0.5, rounds: int = 2
     edges = edges.select(*key, "i", "k", F.col("s").cast("double").alias("s")).checkpoint()
     large = edges.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > in_task).drop("n")
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, flat = np.unique(np.concatenate([pdf["i"], pdf["k"]]), return_inverse=True)
-        m = len(pdf)
-        chosen = names[settle_messages(flat[:m], flat[m:], pdf["s"].to_numpy(), len(names), damping, rounds, settle)]
-        out = pd.DataFrame({c: [pdf[c].iloc[0]] * len(chosen) for c in key}, index=range(len(chosen)))
-        out["k"] = chosen
-        return out
+    def whole(names: tuple, t: pa.Table) -> pa.Table:
+        i, k = (t.column(c).to_numpy() for c in ("i", "k"))
+        nodes = np.unique(np.concatenate([np.unique(i), np.unique(k)]))
+        chosen = nodes[settle_messages(np.searchsorted(nodes, i), np.searchsorted(nodes, k), t.column("s").to_numpy(), len(nodes), damping, rounds, settle)]
+        return pa.table({c: pa.array([v.as_py()] * len(chosen), v.type) for c, v in zip(key, names, strict=True)} | {"k": chosen})
 
     if large.isEmpty():
-        return edges.groupBy(*key).applyInPandas(whole, f"{head}k {kinds['k']}")
+        return edges.groupBy(*key).applyInArrow(whole, f"{head}k {kinds['k']}")
     small = edges.join(large, [*key], "left_anti") if key else edges.limit(0)
     now = (edges.join(large, [*key], "left_semi") if key else edges).withColumn("r", F.lit(0.0)).withColumn("a", F.lit(0.0))
     of_i, own = Window.partitionBy(*key, "i"), F.col("i") == F.col("k")
@@ -115,7 +129,7 @@ def exemplars(edges: DataFrame, *key: str, damping: float = 0.5, rounds: int = 2
                 break
     if not key:
         return chosen
-    return small.groupBy(*key).applyInPandas(whole, f"{head}k {kinds['k']}").union(chosen)
+    return small.groupBy(*key).applyInArrow(whole, f"{head}k {kinds['k']}").union(chosen)
 
 
 def affinity_clusters(points: DataFrame, k: int, *key: str, preference: float | None = None, in_task: int = IN_TASK, rounds: int = 200) -> DataFrame:
